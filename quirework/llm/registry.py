@@ -1,9 +1,11 @@
 """Queries of this subpackage and, where SQL can express one, its SQL."""
 
-from . import exact_dedup, license_scan, line_dedup, packing, quality, sharding, topk, url_filter
+from . import exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, segment, sharding, topk, url_filter
 
 QUERIES = {
+    "op1_segment": segment.op1_segment,
     "op2_top_k": topk.op2_top_k,
+    "op3_ngram_join": ngram_join.op3_ngram_join,
     "op4_license_scan": license_scan.op4_license_scan,
     "op5_exact_dedup": exact_dedup.op5_exact_dedup,
     "op6_url_filter": url_filter.op6_url_filter,

@@ -63,7 +63,7 @@ class Block:
                 first, q = self.by[d]
                 for at in range(0, len(q), SLICE):
                     s = q[at : at + SLICE] @ vectors.T
-                    own = self.ids[first + at : first + at + SLICE]
+                    own = self.ids[first + at : first + at + len(s)]
                     s[own[:, None] == ids[None, :]] = -1e300
                     yield first + at, ids, s
 

@@ -84,8 +84,8 @@ def ratios(seen: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> float:
-    """The bucket edge with the best mean of the shares of accepted URLs at or above it and of rejected ones below it;
-    of equals, the one nearest to 0. 0 where one side has no held-out URL. Only the histogram (at most BUCKETS * 2
+    """The score with the best mean of the shares of accepted URLs at or above it and of rejected ones below it, halfway
+    between two buckets that have URLs; of equals, the one nearest to 0. 0 where one side has no held-out URL. Only the histogram (at most BUCKETS * 2
     rows) is ordered."""
     bucket = F.least(F.greatest(F.floor(F.col("score") * PER), F.lit(-BUCKETS)), F.lit(BUCKETS))
     rows = scored.groupBy(bucket.alias("b")).agg(*[F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).alias(v) for v in ("allow", "block")])
@@ -93,12 +93,13 @@ def threshold(scored: DataFrame) -> float:
     allow, block = sum(r.allow for r in hist), sum(r.block for r in hist)
     if not allow or not block:
         return 0.0
-    best, above, below = None, allow, 0
+    best, above, below, last = None, allow, 0, hist[0].b - 1
     for r in hist:
-        found = (above / allow + below / block, -abs(r.b), r.b)
+        edge = (last + 1 + r.b) / 2 / PER
+        found = (above / allow + below / block, -abs(edge), edge)
         best = max(best or found, found)
-        above, below = above - r.allow, below + r.block
-    return best[2] / PER
+        above, below, last = above - r.allow, below + r.block, r.b
+    return best[2]
 
 
 def filter_urls(pages: DataFrame, ws: Workspace, rules=RULES) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .functions import text as t
 from .operators import categories, chunking, documents, evaluate, extract, geometry, markdown, match, merge, splitting, summary, tables, translate
 from .plans.views import duck, spark_view
+from .sources import documents as sources
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -495,3 +496,132 @@ def line_placement(spark, d):
 
     p = paragraphs(spark, d).selectExpr("*", "CAST(input_pos%50 AS DOUBLE) AS width", "y1-10 AS y_position", "CAST(CASE doc_id%3 WHEN 0 THEN 0 WHEN 1 THEN 90 ELSE 270 END AS DOUBLE) AS rotation", "CASE input_pos%3 WHEN 0 THEN 'left' WHEN 1 THEN 'center' ELSE 'right' END AS alignment")
     return fit.place_lines(p).select("doc_id", "id", "x", "y")
+
+
+# Objects, regions and drawing
+
+
+def core_json(spark: SparkSession, d: str) -> DataFrame:
+    """A core document for each document: its paragraphs as text objects."""
+    p = paragraphs(spark, d).withColumn("pos", F.col("input_pos"))
+    font = F.struct(F.expr("element_at(array('Times-Roman','Nimbus-Medi','Courier-BoldOblique'), CAST((doc_id+input_pos)%3 AS INT)+1)").alias("name"), F.col("original_font_size").alias("size"), F.col("is_bold"), F.col("is_italic"))
+    objects = p.select("doc_id", "page_number", "pos", "id", "text", "x0", "y0", "x1", "y1", font.alias("font"), F.expr("CAST(NULL AS STRUCT<r:INT,g:INT,b:INT>)").alias("color"),
+                       F.expr("named_struct('a', 1D, 'b', 0D, 'c', 0D, 'd', 1D, 'e', CAST(input_pos%2 AS DOUBLE), 'f', 0D)").alias("transform"))
+    pages_ = p.select("doc_id", "page_number", F.lit(600.0).alias("width"), F.lit(800.0).alias("height"), F.lit(0).alias("rotation")).distinct()
+    meta = p.groupBy("doc_id").agg(F.struct(F.lit("a.pdf").alias("source_file"), F.lit("2024-01-01").alias("created_at"), (F.max("page_number") + 1).alias("page_count")).alias("metadata"))
+    return sources.core_documents(objects, pages_, meta)
+
+
+@query("SELECT doc_id, page_number, id, text, x0, y1 FROM v_paragraphs", "v_paragraphs")
+def core_json_roundtrip(spark, d):
+    return sources.text_objects(sources.parse_core(core_json(spark, d))).select("doc_id", "page_number", "id", "text", "x0", "y1")
+
+
+@query("SELECT doc_id, id, (doc_id+input_pos)%3<>0 AS is_bold, (doc_id+input_pos)%3=2 AS is_italic, input_pos%2=1 AS moved FROM v_paragraphs", "v_paragraphs")
+def object_attributes(spark, d):
+    found = sources.attributes(sources.text_objects(sources.parse_core(core_json(spark, d))))
+    return found.select("doc_id", "id", "is_bold", "is_italic", F.col("transform").isNotNull().alias("moved"))
+
+
+@query("SELECT doc_id, page_number, string_agg(text, ' ' ORDER BY -y1, x0, input_pos) AS text FROM v_paragraphs WHERE (x0+x1)/2 BETWEEN 0 AND 320 AND (y0+y1)/2 BETWEEN 300 AND 800 GROUP BY 1,2", "v_paragraphs")
+def region_text(spark, d):
+    p = paragraphs(spark, d).withColumn("pos", F.col("input_pos"))
+    region = p.select("doc_id", "page_number").distinct().selectExpr("*", "'r' AS region_id", "0D AS x0", "300D AS y0", "320D AS x1", "800D AS y1")
+    return sources.region_text(p, region).drop("region_id")
+
+
+@query("SELECT doc_id, page_number, count(*) AS boxes, min(x0) AS x0 FROM v_paragraphs p JOIN v_translations v USING (doc_id, id) WHERE v.translated_text<>'' GROUP BY 1,2", "v_translations")
+def page_boxes(spark, d):
+    from .operators import drawing
+
+    return drawing.page_boxes(translated(spark, d)).select("doc_id", "page_number", F.size("boxes").cast("long").alias("boxes"), F.expr("array_min(transform(boxes, b -> b.x0))").alias("x0"))
+
+
+@query()
+def draw_plan(spark, d):
+    from .operators import drawing
+
+    return drawing.draw_plan(translated(spark, d).where("input_pos < 12"))
+
+
+@query("""SELECT doc_id, page_number, count(*)*2+2-count(*) FILTER (WHERE input_pos%3=0) AS ops FROM v_paragraphs GROUP BY 1,2""", "v_paragraphs")
+def content_stream_edit(spark, d):
+    """Every paragraph is moved to and shown; those at every third position lie in a box."""
+    from .operators import drawing
+
+    p = paragraphs(spark, d)
+    op = "flatten(transform(array_sort(collect_list(struct(input_pos, x0, y0))), p -> array(named_struct('op', 'Tm', 'args', array(1D, 0D, 0D, 1D, CAST(p.input_pos*10 AS DOUBLE), p.y0)), named_struct('op', 'Tj', 'args', CAST(array() AS ARRAY<DOUBLE>)))))"
+    none = "CAST(array() AS ARRAY<DOUBLE>)"
+    rows = p.groupBy("doc_id", "page_number").agg(
+        F.expr(f"concat(array(named_struct('op', 'BT', 'args', {none})), {op}, array(named_struct('op', 'ET', 'args', {none})))").alias("ops"),
+        F.expr("collect_list(CASE WHEN input_pos % 3 = 0 THEN named_struct('x0', input_pos*10-1D, 'y0', y0-1, 'x1', input_pos*10+1D, 'y1', y0+1) END)").alias("boxes"),
+    )
+    return drawing.edit_stream(rows).select("doc_id", "page_number", F.size("ops").cast("long").alias("ops"))
+
+
+@query("SELECT doc_id, id FROM v_paragraphs WHERE input_pos % 4 <> 1", "v_paragraphs")
+def remove_by_id(spark, d):
+    from .operators import drawing
+
+    p = paragraphs(spark, d)
+    return drawing.remove_objects(p, p.where("input_pos % 4 = 1").select("doc_id", "page_number", "id")).select("doc_id", "id")
+
+
+@query("SELECT doc_id, id, CAST(floor(greatest(x0-2,0)*2) AS INTEGER) AS left_px, CAST(floor((800-y1-2)*2) AS INTEGER) AS top_px FROM v_paragraphs WHERE x1-x0>=230 AND y1-y0>=90", "v_paragraphs")
+def block_crops(spark, d):
+    p = paragraphs(spark, d).withColumns({"page_width": F.lit(600.0), "page_height": F.lit(800.0)})
+    return geometry.crops(p, 144.0, 2.0, 230.0, 90.0).select("doc_id", "id", F.col("left").alias("left_px"), F.col("top").alias("top_px"))
+
+
+@query("SELECT doc_id, least(1, max(page_number)) AS page, CAST(0.25 AS DOUBLE) AS scale, 200 AS height FROM v_paragraphs GROUP BY 1", "v_paragraphs")
+def thumbnail_geometry(spark, d):
+    docs = paragraphs(spark, d).groupBy("doc_id").agg((F.max("page_number") + 1).alias("page_count")).withColumns({"page_width": F.lit(600.0), "page_height": F.lit(800.0)})
+    return geometry.thumbnails(docs, 1, 150)
+
+
+@query("SELECT is_bold, is_italic, substr(sha256(concat('font:0:', string_agg(ch, '' ORDER BY ch))), 1, 16) AS cache_key FROM (SELECT DISTINCT is_bold, is_italic, unnest(string_split(text, '')) AS ch FROM v_paragraphs) GROUP BY 1,2", "v_paragraphs")
+def subset_cache_keys(spark, d):
+    return summary.subset_keys(summary.style_charsets(paragraphs(spark, d)), "font")
+
+
+@query("SELECT category, CASE WHEN a>0 AND b>0 THEN 'common' WHEN a>0 THEN 'only model_a' ELSE 'only model_b' END AS side FROM (SELECT coalesce(category,'none') AS category, count(*) FILTER (WHERE doc_id%2=0) AS a, count(*) FILTER (WHERE doc_id%2=1) AS b FROM v_paragraphs GROUP BY 1)", "v_paragraphs")
+def category_sets(spark, d):
+    return evaluate.category_sets(category_comparison(spark, d), "model_a", "model_b")
+
+
+@query("SELECT doc_id, id, CAST(sum(length(text)) OVER (PARTITION BY doc_id ORDER BY input_pos) AS BIGINT) AS done, CAST(sum(length(text)) OVER (PARTITION BY doc_id) AS BIGINT) AS total FROM v_paragraphs", "v_paragraphs")
+def progress_counter(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("doc_id")
+    n = F.sum(F.length("text"))
+    return paragraphs(spark, d).select("doc_id", "id", n.over(w.orderBy("input_pos")).alias("done"), n.over(w).alias("total"))
+
+
+@query("SELECT doc_id, string_agg(text, chr(10) ORDER BY input_pos) AS text FROM v_paragraphs GROUP BY 1", "v_paragraphs")
+def document_text(spark, d):
+    return summary.document_text(paragraphs(spark, d))
+
+
+@query("SELECT page_id, tag, count(*) AS n FROM (SELECT page_id, unnest(regexp_extract_all(html, '<(h1|p|li|footer|title)>', 1)) AS tag FROM pages) GROUP BY 1,2")
+def page_elements(spark, d):
+    tags = F.explode(F.regexp_extract_all("html", F.lit("<(h1|p|li|footer|title)>"), 1)).alias("tag")
+    return spark.read.parquet(f"{d}/pages.parquet").select("page_id", tags).groupBy("page_id", "tag").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, count(*) AS events, CAST(round(sum(value)) AS BIGINT) AS total FROM events GROUP BY 1,2")
+def event_windows(spark, d):
+    """An extension: hourly windows, as the stream makes them."""
+    from .streaming import landing
+
+    out = landing.windowed_counts(spark.read.parquet(f"{d}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp")))
+    return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "events", F.round("total").cast("long").alias("total"))
+
+
+@query()
+def translate_corpus(spark, d):
+    """The whole pipeline with the mock backend; the Markdown."""
+    from .plans import pipeline
+
+    p = paragraphs(spark, d)
+    return pipeline.run(p, spark_view(spark, d, "v_blocks"), translate.MockBackend(), pipeline.PipelineConfig(), lambda name, df: df).markdown

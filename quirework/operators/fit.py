@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -26,7 +28,8 @@ class Font:
     descent: float = -0.25
 
     def width(self, text: str, size: float) -> float:
-        return sum(self.widths.get(c, 1.0 if is_cjk(c) else self.default) * size for c in text)
+        known = self.widths.get
+        return sum(w if (w := known(c)) is not None else 1.0 if c >= "\u3000" and is_cjk(c) else self.default for c in text) * size
 
     def line_height(self, size: float) -> float:
         return (self.ascent - self.descent) * size * 1.2
@@ -43,44 +46,56 @@ def is_cjk(c: str) -> bool:
     return any(a <= ord(c) <= b for a, b in CJK)
 
 
-def break_point(text: str, width: float, font: Font, size: float) -> int:
-    """How many characters the first line takes, at least one."""
-    used, n = 0.0, 0
-    for c in text:
-        used += font.width(c, size)
-        if used > width:
-            break
-        n += 1
-    if n == 0 or n == len(text):
-        return max(n, 1)
-    if text[n] in NOT_FIRST:
+def _widths(text: str, font: Font) -> list[float]:
+    """Widths up to each character, by em."""
+    return list(accumulate((font.width(c, 1.0) for c in text), initial=0.0))
+
+
+def break_point(text: str, at: int, upto: list[float], ems: float) -> int:
+    """How many characters the line that begins at ``at`` takes, at least one."""
+    left = len(text) - at
+    n = bisect_right(upto, upto[at] + ems, at) - 1 - at
+    if n <= 0 or n >= left:
+        return max(min(n, left), 1)
+    if text[at + n] in NOT_FIRST:
         n += 1
-    elif n > 1 and text[n - 1] in NOT_LAST:
+    elif n > 1 and text[at + n - 1] in NOT_LAST:
         n -= 1
-    if not is_cjk(text[n - 1]):
-        blank = text.rfind(" ", max(0, n - 20) + 1, n)
+    if not is_cjk(text[at + n - 1]):
+        blank = text.rfind(" ", at + max(0, n - 20) + 1, at + n)
         if blank > 0:
-            return blank + 1
+            return blank + 1 - at
     return n
 
 
-def wrap_lines(text: str, width: float, font: Font, size: float) -> list[str]:
-    """Lines, with BREAK between the text's own lines; none at the end."""
+def measured(text: str, font: Font) -> list[tuple[str, list[float]]]:
+    """The text's own lines, stripped, with their widths."""
+    return [(part, _widths(part, font)) for part in map(str.strip, text.split("\n"))]
+
+
+def wrap_measured(parts: list[tuple[str, list[float]]], ems: float) -> list[str]:
     out: list[str] = []
-    for i, part in enumerate(text.split("\n")):
+    for i, (part, upto) in enumerate(parts):
         if i:
             out.append(BREAK)
-        part = part.strip()
-        while part:
-            n = break_point(part, width, font, size)
-            if line := part[:n].rstrip():
+        at = 0
+        while at < len(part):
+            n = break_point(part, at, upto, ems)
+            if line := part[at : at + n].strip():
                 out.append(line)
-            part = part[n:].lstrip()
+            at += n
+            while at < len(part) and part[at].isspace():
+                at += 1
     while out and out[-1] == BREAK:
         out.pop()
     return out
 
 
+def wrap_lines(text: str, width: float, font: Font, size: float) -> list[str]:
+    """Lines, with BREAK between the text's own lines; none at the end."""
+    return wrap_measured(measured(text, font), width / size)
+
+
 def fit_text(text: str, width: float, height: float, size: float, font: Font, config: FitConfig = FitConfig()) -> tuple[float, bool, float, list[str]]:
     """(size, fits, height, lines): the largest size, in steps down, at which the lines fit; else the smallest."""
     if not text:
@@ -90,14 +105,15 @@ def fit_text(text: str, width: float, height: float, size: float, font: Font, co
         breaks = lines.count(BREAK)
         return font.line_height(s) * (len(lines) - breaks + config.break_factor * breaks)
 
+    parts = measured(text, font)
     while size >= config.smallest:
-        lines = wrap_lines(text, width, font, size)
+        lines = wrap_measured(parts, width / size)
         if not lines:
             break
         if tall(lines, size) <= height:
             return size, True, tall(lines, size), lines
         size = round(size - config.step, 2)
-    lines = wrap_lines(text, width, font, config.smallest)
+    lines = wrap_measured(parts, width / config.smallest)
     return config.smallest, False, tall(lines, config.smallest), lines
 
 

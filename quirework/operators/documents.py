@@ -36,7 +36,8 @@ def checked(parsed: Column, name: str = "schema_version", expected: str = VERSIO
 def read_base(docs: DataFrame) -> DataFrame:
     """Paragraphs of ``json``, with input_pos and the document's fields."""
     d = docs.select("doc_id", F.from_json("json", BASE).alias("d"))
-    d = d.select("doc_id", checked(F.col("d")).alias("schema_version"), F.col("d.metadata.paragraph_count").cast("long").alias("paragraph_count"), F.col("d.metadata.page_count").alias("page_count"), F.posexplode("d.paragraphs").alias("input_pos", "p"))
+    d = d.withColumn("version", checked(F.col("d"))).where("version IS NOT NULL")
+    d = d.select("doc_id", F.col("version").alias("schema_version"), F.col("d.metadata.paragraph_count").cast("long").alias("paragraph_count"), F.col("d.metadata.page_count").alias("page_count"), F.posexplode("d.paragraphs").alias("input_pos", "p"))
     return d.select("doc_id", "schema_version", "paragraph_count", "page_count", "input_pos", "p.*")
 
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -32,12 +32,11 @@ def spans(pages: DataFrame) -> DataFrame:
 
 
 BLOCK = ["doc_id", "page_number", "block"]
-_W = F.length("text")
 
 
 def _voted(rows: DataFrame, value: Column, name: str, first_seen: bool) -> DataFrame:
     """Weighted mode: the value with most characters; of equals the first seen, or the smallest."""
-    v = rows.groupBy(*BLOCK, value.alias("v")).agg(F.sum(_W).alias("w"), F.min(F.struct("line_no", "span_no")).alias("first"))
+    v = rows.groupBy(*BLOCK, value.alias("v")).agg(F.sum(F.length("text")).alias("w"), F.min(F.struct("line_no", "span_no")).alias("first"))
     order = F.struct(-F.col("w"), *([F.col("first")] if first_seen else []), "v")
     return v.groupBy(*BLOCK).agg(F.min_by("v", order).alias(name))
 
@@ -61,7 +60,7 @@ def style_votes(rows: DataFrame) -> DataFrame:
     name = F.lower("name")
     bold = (F.col("weight") >= 700) | name.contains("bold") | name.contains("medi")
     italic = (F.col("flags").bitwiseAND(64) != 0) | name.contains("italic") | name.contains("oblique")
-    share = lambda c: F.sum(F.when(c, _W).otherwise(0)) * 2 > F.sum(_W)
+    share = lambda c: F.sum(F.when(c, F.length("text")).otherwise(0)) * 2 > F.sum(F.length("text"))
     return rows.groupBy(*BLOCK).agg(share(bold).alias("is_bold"), share(italic).alias("is_italic"))
 
 
@@ -113,8 +112,6 @@ def text_objects(pages: DataFrame) -> DataFrame:
     """(doc_id, page_number, id, text) of column ``texts``: stripped and normalised; ids count what is left."""
     rows = pages.select("doc_id", "page_number", F.posexplode("texts").alias("at", "raw"))
     rows = rows.withColumn("text", t.strip(t.normalise_controls(F.col("raw")))).where("text <> ''")
-    from pyspark.sql import Window
-
     n = F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("at")) - 1
     return rows.select("doc_id", "page_number", F.format_string("text_p%d_i%d", "page_number", n).alias("id"), "text")
 

@@ -1,7 +1,7 @@
 """Quality classifier: nearest-neighbour voting in a latent-semantic space.
 
-Words are hashed to ``WORDS`` features, and the characters a word ends with that are no letters to ``SHAPES`` more.
-Document frequencies are counted over all documents. Labelled rows (at most ``LABELLED``, those of least hashed id)
+Words are hashed to ``WORDS`` features, and the characters a word ends with that are no letters to ``SHAPES`` more;
+a word that comes again after one to ``LAGS`` words counts in one of ``SPREAD`` features of that distance. Document frequencies are counted over all documents. Labelled rows (at most ``LABELLED``, those of least hashed id)
 give a tf-idf matrix whose singular value decomposition spans the latent space. Their vectors, of fixed number and
 size, are sent to every executor; each document takes its exact cosine to all of them, in blocks, and its
 ``NEIGHBOURS`` most similar ones vote with their similarity as weight.
@@ -20,8 +20,8 @@ from pyspark.sql import functions as F
 
 from .workspace import table
 
-WORDS, SHAPES = 3840, 256
-SIZE = WORDS + SHAPES
+WORDS, SHAPES, LAGS, SPREAD = 3776, 256, 4, 16
+SIZE = WORDS + SHAPES + LAGS * SPREAD
 LABELLED, DIMS, NEIGHBOURS, BLOCK = 4096, 48, 25, 256
 CUT = 0.3
 
@@ -50,7 +50,12 @@ class WordFeatures(dict):
         words = text.encode().lower().split()
         f = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
         out[:WORDS] += np.bincount(f // SHAPES, minlength=WORDS)
-        out[WORDS:] += np.bincount(f % SHAPES, minlength=SHAPES)
+        out[WORDS : WORDS + SHAPES] += np.bincount(f % SHAPES, minlength=SHAPES)
+        for lag in range(1, LAGS + 1):
+            again = np.flatnonzero(f[lag:] == f[:-lag])
+            if len(again):
+                at = WORDS + SHAPES + (lag - 1) * SPREAD
+                out[at : at + SPREAD] += np.bincount(again % SPREAD, minlength=SPREAD)
 
 
 _words = WordFeatures()

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -46,3 +49,24 @@ def subset_keys(charsets: DataFrame, identity: str, number: int = 0) -> DataFram
     """A cache key for each style: 16 hex digits of a digest of font, number and sorted characters."""
     chars = F.array_join(F.array_sort(F.collect_set("ch")), "")
     return charsets.groupBy("is_bold", "is_italic").agg(F.substring(F.sha2(F.concat(F.lit(f"{identity}:{number}:"), chars), 256), 1, 16).alias("cache_key"))
+
+
+def translated_summary(summaries: DataFrame, backend, source: str, target: str, write: Callable[[str], str] | None = None) -> DataFrame:
+    """(doc_id, title, abstract, summary) in the target language; ``write`` makes the summary of ``markdown``. What
+    fails is null, and documents of which all is null are left out."""
+
+    def attempt(f, x):
+        try:
+            return f(x) if x else None
+        except Exception:
+            return None
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        one = lambda x: backend.translate_batch([x], source, target)[0]
+        for pdf in frames:
+            made = [(r.doc_id, attempt(one, r.title), attempt(one, r.abstract), attempt(write, r.markdown) if write else None) for r in pdf.itertuples()]
+            out = pd.DataFrame(made, columns=["doc_id", "title", "abstract", "summary"], dtype=object)
+            yield out[out[["title", "abstract", "summary"]].notna().any(axis=1)]
+
+    columns = summaries.select("doc_id", "title", "abstract", "markdown" if "markdown" in summaries.columns else F.lit(None).cast("string").alias("markdown"))
+    return columns.mapInPandas(run, "doc_id long, title string, abstract string, summary string")

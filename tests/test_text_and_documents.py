@@ -5,8 +5,9 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from quirework import cli
 from quirework.functions import text as t
-from quirework.operators import backends, chunking, documents, drawing, evaluate, fit, geometry, splitting, summary, translate
+from quirework.operators import backends, chunking, detect, documents, drawing, evaluate, fit, geometry, splitting, summary, translate
 from quirework.sources import documents as sources
 from quirework.streaming import landing
 
@@ -214,3 +215,23 @@ def test_landing(spark, tmp_path):
     stream = landing.paragraphs_stream(spark, f"{tmp_path}/in", "doc_id long, text string", 1)
     landing.run(stream, lambda df: df.withColumn("n", F.length("text")), f"{tmp_path}/out", f"{tmp_path}/ck").awaitTermination()
     assert sorted((r.doc_id, r.n, r.batch) for r in spark.read.parquet(f"{tmp_path}/out").collect()) == [(0, 2, 0), (1, 2, 1), (2, 2, 2)] or spark.read.parquet(f"{tmp_path}/out").count() == 3
+
+
+class Model:
+    def detect(self, image):
+        return [{"label": "text", "score": 0.5, "coordinate": [0.0, 0.0, float(len(image)), 1.0]}]
+
+
+def test_detection_and_translated_summary(spark):
+    pages = spark.createDataFrame([(1, 0, b"abc")], "doc_id long, page_number int, image binary")
+    assert [(r.label, r.coordinate[2]) for r in detect.analyse(pages, Model).first().boxes] == [("text", 3.0)]
+    rows = spark.createDataFrame([(1, "T", None, "md"), (2, None, None, None)], "doc_id long, title string, abstract string, markdown string")
+    got = [tuple(r) for r in summary.translated_summary(rows, translate.MockBackend(), "en", "ja", str.upper).collect()]
+    assert got == [(1, "[translated]T", None, "MD")]
+    assert [tuple(r) for r in summary.translated_summary(rows, Odd(fails=9), "en", "ja").collect()] == []
+
+
+def test_command_line(spark, tmp_path):
+    spark.createDataFrame([(1, "a\x02b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    cli.main(["normalize_text", str(tmp_path), "--out", f"{tmp_path}/out"])
+    assert spark.read.parquet(f"{tmp_path}/out").first().text == "a-b"

@@ -9,7 +9,9 @@ found in log2(bins) steps. Groups are independent: a lost one is packed again al
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
+from unicodedata import is_normalized
 
 import numpy as np
 import pandas as pd
@@ -20,6 +22,8 @@ from pyspark.sql import functions as F
 from .workspace import Workspace, table
 
 LENGTH, END_ID, GROUP = 2048, 1, 4096
+#: Marks that the tokenizer cuts off from letters before them, and from which it takes no ending.
+STOPS = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -32,23 +36,58 @@ def default_tokenizer() -> str:
 
 class WordIds(dict):
     """Word -> the bytes of its ids. The tokenizer drops white space and never looks across it, so a text's ids are its
-    words' ids one after another. Holds at most ``most`` words; long words are not held."""
+    words' ids one after another; nor does it look from letters to marks behind them, or at the case of letters.
+    Holds at most ``most`` words; long words are not held."""
 
-    def __init__(self, path: str, most: int = 300_000):
+    def __init__(self, path: str, most: int = 1_200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
 
+    @staticmethod
+    def parts(word: bytes) -> tuple[str, bytes]:
+        """(letters in lower case, marks behind them), or no letters where the word is not of this form."""
+        core = word.rstrip(STOPS)
+        text = core.decode()
+        if not text.isalpha() or not (core.isascii() or is_normalized("NFC", text)):
+            return "", word
+        return text.lower() if max(text) < "\u0130" else text, word[len(core) :]
+
     def __missing__(self, word: bytes) -> bytes:
-        ids = np.array(self.tokenizer.encode(word.decode(), add_special_tokens=False).ids, dtype="<u4").tobytes()
+        low, tail = self.parts(word)
+        if not low:
+            ids = self.encode(word.decode())
+        elif tail or low.encode() != word:
+            ids = self[low.encode()] + (self[tail] if tail else b"")
+        else:
+            ids = self.encode(low)
         if len(word) <= 64:
             self[word] = ids
         return ids
 
+    def learn(self, words: list[bytes]) -> None:
+        """Encodes the letters of new words together: the tokenizer takes each for a word of its own."""
+        parts = {w: self.parts(w) for w in {w for w in words if w not in self}}
+        new = [x for x in {low for low, _ in parts.values()} if x and len(x) <= 20 and x.encode() not in self]
+        if len(new) > 1:
+            got = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
+            ids, at = array("I", got.ids).tobytes(), got.word_ids
+            if at[-1] == len(new) - 1:
+                starts = [4 * i for i, (v, w) in enumerate(zip([-1, *at], at)) if v != w]
+                self.update({x.encode(): ids[a:b] for x, a, b in zip(new, starts, [*starts[1:], len(ids)])})
+        for w, (low, tail) in parts.items():
+            if low and len(w) <= 64:
+                self[w] = self[low.encode()] + (self[tail] if tail else b"")
+
+    def encode(self, word: str) -> bytes:
+        return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
+
     def of(self, text: str) -> bytes:
         if len(self) > self.most:
             self.clear()
-        return b"".join(map(self.__getitem__, text.encode().split()))
+        words = text.encode().split()
+        self.learn(words)
+        return b"".join(map(self.__getitem__, words))
 
 
 _held: dict[str, WordIds] = {}

@@ -92,8 +92,9 @@ class DedupStream:
         texts = _rows(docs, self.normalise, self.digest, text=True)
         hits = self.ws.put("hits", texts.join(F.broadcast(repeated) if few else repeated, "digest"))
         keepers = hits.where(F.col("spot") == F.col("keep")).select("digest", F.col("body").alias("kept_body"))
-        # both sides are read from tables, so Spark can split the partition of a digest that many rows share
-        wrong = hits.join(keepers.hint("merge"), "digest").where(F.col("body") != F.col("kept_body")).select("digest").distinct()
+        # both sides are read from tables and nothing is grouped behind the join, so Spark can split the partition of a
+        # digest that many rows share
+        wrong = hits.join(keepers.hint("merge"), "digest").where(F.col("body") != F.col("kept_body")).select("digest")
         wrong = self.ws.put("wrong", wrong)
         good = placed.select("spot", "keep", "group_size", "digest")
         if not wrong.isEmpty():

@@ -3,12 +3,13 @@
 A document is the set of its word shingles, as 64-bit hashes; equal sets are one class, joined once. Sets are ordered
 globally: shingles that few documents have first, by hash, then the frequent ones by document frequency. Two sets that
 link share one of their first n - ceil(3n/4) + 1 shingles (at threshold 0.75), where the smaller set needs no more than
-its first n - ceil(6n/7) + 1. These prefixes are dealt by shingle; the documents that meet at a shingle are a run, and
-equal runs are one. In each run every set is first compared to one pivot; what that links becomes a component; then all
-pairs of a run that are still in different components are compared, so no link between components is missed.
+its first n - ceil(6n/7) + 1. These prefixes are dealt by shingle. Of the sets that meet at a shingle, the one of least
+digest is the pivot; all that meet it anywhere are its family, so any two sets that can link are in one family.
 
-Comparison: the candidates of a set are stored in a trie of ordered sets. Walking it, the overlap with the probing set
-is carried along shared prefixes, and a subtree is left as soon as the shingles missed exceed what its sets can miss.
+A family's texts are brought together, a long family's block by block, and its ordered sets are stored in a trie. Each
+set walks the trie: the overlap is carried along shared prefixes, and a subtree is left as soon as the shingles missed
+exceed what its sets can miss. Sets that links have joined already are passed over, so near copies take few
+comparisons; only links that join two components leave the task, never pairs.
 """
 
 from __future__ import annotations
@@ -19,6 +20,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
+import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,8 +30,8 @@ WORDS, PERCENT = 5, 75
 #: A shingle is frequent if so many different sets have it; at most FREQUENT of them (8 MB) are sent to executors. The
 #: rest counts as rare: this changes the order of comparison only, no result.
 HOT_DF, FREQUENT = 24, 1 << 20
-#: Shingles of a shuffle bucket; batches of shingles that a task buckets at once; candidates in a trie; members of a run's block.
-BUCKET, BATCH, TRIE, BLOCK = 1 << 19, 1 << 20, 512, 1024
+#: Shingles of a shuffle bucket; batches of shingles that a task buckets at once; sets of a family's block; sets that a task's group gets, about.
+BUCKET, BATCH, BLOCK, CELL = 1 << 19, 1 << 20, 1024, 512
 #: Ids of documents to be compared that are broadcast: at most so many (under 32 MB); beyond it their join is shuffled.
 BROADCAST_IDS = 1 << 20
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -42,7 +44,7 @@ def _mix(h: np.ndarray) -> np.ndarray:
 
 
 class WordHashes(dict):
-    def __init__(self, most: int = 300_000):
+    def __init__(self, most: int = 150_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -60,11 +62,14 @@ class WordHashes(dict):
             self.clear()
         w = np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
         k = min(n, len(w))
-        h = np.full(len(w) - k + 1, k, np.uint64)
-        for j in range(k):
-            h += _mix(w[j : j + len(h)] * _MULT[j % 8] + np.uint64(j))
-            h *= _MULT[0]
-        return np.unique(_mix(h))
+        h = w[: len(w) - k + 1] * _MULT[0]
+        for j in range(1, k):  # words' hashes are random, so a sum with a factor for each place tells shingles apart
+            h += w[j : j + len(h)] * _MULT[j % 8] ** np.uint64(j // 8 + 1)
+        h = _mix(h + np.uint64(k))
+        h.sort()
+        first = np.ones(len(h), bool)
+        np.not_equal(h[1:], h[:-1], out=first[1:])
+        return h[first]
 
 
 _words = WordHashes()
@@ -87,19 +92,6 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, np.n
                 yield d, tokens
 
 
-def summarise(docs: DataFrame, n: int = WORDS) -> DataFrame:
-    """doc_id, n_shingles, d (the set's digest, null for an empty set)."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            sets = [_words.shingles(t.as_py(), n) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) if len(s) else None for s in sets], pa.int64())], names=["doc_id", "n_shingles", "d"]
-            )
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d long")
-
-
 def _planes(a: np.ndarray) -> bytes:
     """The numbers' bytes by significance, so that those that are mostly equal lie together and compress."""
     return np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes()
@@ -118,32 +110,63 @@ def _bucketed(tokens: np.ndarray, buckets: int) -> Iterator[tuple[int, slice]]:
         yield int(i), slice(int(at[i]), int(at[i + 1]))
 
 
-def frequent_shingles(docs: DataFrame, buckets: int, n: int = WORDS, least: int = HOT_DF, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
-    """(shingles, ranks): the ``most`` shingles in most sets, of those in ``least`` or more. Every set is counted, at
-    44 bits of each shingle's hash: shingles that agree in these count together, which only affects the order."""
+def text_hash(text: str) -> int:
+    """As F.xxhash64 of the text."""
+    h = xxhash.xxh64_intdigest(text.encode(), seed=42)
+    return h - (1 << 64) if h >> 63 else h
 
-    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
+
+def read_sets(docs: DataFrame, buckets: int, n: int = WORDS) -> DataFrame:
+    """One pass over the texts, with two kinds of rows: doc_id, n_shingles, d (the set's digest, null for an empty set)
+    and h (the text's xxhash64) for each document; and bucket, blob: 44 bits of the shingles of each different set that a task meets."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        seen: set[int] = set()
+        size = 0
+
+        def rows(ids, ns, ds, hs, at, blobs) -> pa.RecordBatch:
+            fill = lambda x, k, kind: pa.array(x if len(x) else [None] * k, kind)
+            k = max(len(ns), len(at))
+            return pa.RecordBatch.from_arrays([fill(ids, k, pa.int64()), fill(ns, k, pa.int64()), fill(ds, k, pa.int64()), fill(hs, k, pa.int64()), fill(at, k, pa.int32()), fill(blobs, k, pa.binary())], names=["doc_id", "n_shingles", "d", "h", "bucket", "blob"])
 
         def flush() -> pa.RecordBatch:
             t = np.sort(np.concatenate(held))
-            cut = list(_bucketed(t, buckets))
-            blobs = []
+            cut, blobs = list(_bucketed(t, buckets)), []
             for _, s in cut:
                 top = t[s] >> np.uint64(20)
                 steps = np.diff(top, prepend=top[:1])
                 blobs.append(top[:1].tobytes() + (b"\0" + _planes(steps.astype(np.uint32)) if steps.max() < 1 << 32 else b"\1" + _planes(steps)))
-            return pa.RecordBatch.from_arrays([pa.array([i for i, _ in cut], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "blob"])
+            return rows([], [], [], [], [i for i, _ in cut], blobs)
 
-        for _, tokens in _sets(batches, n):
-            held.append(tokens)
-            size += len(tokens)
-            if size > BATCH:
-                yield flush()
-                held, size = [], 0
+        for b in batches:
+            ns, ds, hs = [], [], []
+            for text in b.column(1).to_pylist():
+                tokens = _words.shingles(text, n)
+                hs.append(text_hash(text or ""))
+                ns.append(len(tokens))
+                ds.append(digest(tokens) if len(tokens) else None)
+                if len(tokens) and ds[-1] not in seen:
+                    if len(seen) > 1_000_000:
+                        seen.clear()
+                    seen.add(ds[-1])
+                    held.append(tokens)
+                    size += len(tokens)
+                    if size > BATCH:
+                        yield flush()
+                        held, size = [], 0
+            if ns:
+                yield rows(b.column(0).to_pylist(), ns, ds, hs, [], [])
         if held:
             yield flush()
 
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n_shingles long, d long, h long, bucket int, blob binary")
+
+
+def frequent_shingles(dealt: DataFrame, least: int = HOT_DF, most: int = FREQUENT) -> tuple[np.ndarray, np.ndarray]:
+    """(shingles, ranks): the ``most`` shingles in most sets, of those in ``least`` or more, from rows (bucket, blob).
+    Shingles that agree in 44 bits of their hash count together, which only affects the order."""
+
     def count(pdf: pd.DataFrame) -> pd.DataFrame:
         parts = []
         for raw in pdf["blob"]:
@@ -153,7 +176,7 @@ def frequent_shingles(docs: DataFrame, buckets: int, n: int = WORDS, least: int
         keep = counts >= least
         return pd.DataFrame({"t": tokens[keep].astype(np.int64), "df": counts[keep]})
 
-    found = docs.select("text").mapInArrow(deal, "bucket int, blob binary").groupBy("bucket").applyInPandas(count, "t long, df long")
+    found = dealt.groupBy("bucket").applyInPandas(count, "t long, df long")
     got = found.orderBy(F.desc("df"), "t").limit(most).toArrow()
     t, df = got.column(0).to_numpy().astype(np.uint64), got.column(1).to_numpy()
     order = np.argsort(t)
@@ -184,9 +207,9 @@ def least_overlap(a: int, b: int, percent: int = PERCENT) -> int:
     return -(-percent * (a + b) // (100 + percent))
 
 
-def runs(docs: DataFrame, hot, buckets: int, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
-    """sig, members: documents that meet at a shingle of their prefixes, as 16 bytes each (digest, size, whether the
-    shingle is in the short prefix), sorted by size and digest. ``sig`` stands for the members."""
+def families(docs: DataFrame, hot, buckets: int, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(p, d, m): sets d that share a shingle of their prefixes with others of which p has the least digest, p itself
+    too. m is twice the set's size, plus 1 if such a shingle lies in its short prefix."""
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
@@ -217,100 +240,59 @@ def runs(docs: DataFrame, hot, buckets: int, n: int = WORDS, percent: int = PERC
         t, d, m = t[order], d[order], m[order]
         same = np.zeros(len(t) + 1, bool)
         same[1:-1] = t[1:] == t[:-1]
-        keep = same[1:] | same[:-1]  # shingles that one document has go before the longer sort
+        keep = same[1:] | same[:-1]  # shingles that one set has go before the longer sort
         t, d, m = t[keep], d[keep], m[keep]
-        order = np.lexsort((d, m, t))
+        order = np.lexsort((d, t))
         t, d, m = t[order], d[order], m[order]
-        keep = np.ones(len(t), bool)
-        keep[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])
+        new = np.ones(len(t), bool)
+        new[1:] = (t[1:] != t[:-1]) | (d[1:] != d[:-1])  # several tasks may have dealt one set
+        t, d, m = t[new], d[new], m[new]
+        keep = partnered(t, m.astype(np.int64), percent)
         t, d, m = t[keep], d[keep], m[keep]
-        if not len(t):
-            return pd.DataFrame({"sig": [], "members": []}).astype({"sig": np.int64})
-        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]]))
-        ends = np.append(starts[1:], len(t))
-        sigs = np.add.reduceat(_mix(d.view(np.uint64) + _mix(m.astype(np.uint64))), starts).view(np.int64)
-        body = np.empty(len(t), [("d", np.int64), ("m", np.int64)])
-        body["d"], body["m"] = d, m
-        out = {int(s): (a, e) for s, a, e in zip(sigs, starts, ends) if e - a > 1}
-        return pd.DataFrame({"sig": np.array(list(out), np.int64), "members": [body[a:e].tobytes() for a, e in out.values()]})
-
-    met = docs.select("text").mapInArrow(deal, "bucket int, t binary, d binary, m binary").groupBy("bucket").applyInPandas(meet, "sig long, members binary")
-    return met.groupBy("sig").agg(F.first("members").alias("members"))
-
-
-def _compatible(n: np.ndarray, other, flag: np.ndarray, other_flag, percent: int) -> np.ndarray:
-    """Sizes allow a link, and the shingle they met at lies in the smaller one's short prefix."""
-    small, large = np.minimum(n, other), np.maximum(n, other)
-    of_small = np.where(n < other, flag, np.where(n > other, other_flag, flag | other_flag))
-    return (100 * small >= percent * large) & of_small.astype(bool)
-
-
-def _pair_batch(a: list, b: list) -> pa.RecordBatch:
-    a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
-    return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], names=["a", "b"])
-
-
-def pivot_pairs(found: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): each member of a run with the run's pivot, the member of least digest."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            a, b = [], []
-            for raw in batch.column(1):
-                x = np.frombuffer(raw.as_py(), [("d", np.int64), ("m", np.int64)])
-                n, flag, p = x["m"] >> 1, x["m"] & 1, int(np.argmin(x["d"]))
-                ok = _compatible(n, n[p], flag, flag[p], percent)
-                ok[p] = False
-                b.append(x["d"][ok])
-                a.append(np.full(ok.sum(), x["d"][p]))
-            yield _pair_batch(a, b)
-
-    return found.mapInArrow(run, "a long, b long").distinct()
-
-
-def cross_pairs(found: DataFrame, labels: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(a, b): compatible members of a run in different components, all of them. A run is paired block by block, so a
-    long one is spread over tasks."""
-
-    def members(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for sig, raw in zip(batch.column(0).to_pylist(), batch.column(1)):
-                x = np.frombuffer(raw.as_py(), [("d", np.int64), ("m", np.int64)])
-                for at in range(0, len(x), 65_536):
-                    y = x[at : at + 65_536]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(y), sig)), pa.array(np.arange(at, at + len(y))), pa.array(np.ascontiguousarray(y["d"])), pa.array(np.ascontiguousarray(y["m"]))], names=["sig", "i", "d", "m"])
-
-    rows = found.where(F.octet_length("members") > 32).mapInArrow(members, "sig long, i long, d long, m long")
-    marked = rows.join(labels.hint("merge"), "d", "left").select("sig", "i", "d", "m", F.coalesce("label", "d").alias("label"))
-    return marked
-
-
-def _split_runs(marked: DataFrame, percent: int) -> DataFrame:
-    mixed = marked.groupBy("sig").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("size")).where("lo < hi").select("sig", "size")
-    rows = marked.join(mixed.hint("merge"), "sig")
-    block, blocks = F.floor(F.col("i") / BLOCK), F.floor((F.col("size") - 1) / BLOCK)
-    other = F.explode(F.sequence(F.lit(0), blocks)).alias("o")
-    cells = rows.select("*", block.alias("own"), other).select("sig", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y"), "own", "d", "m", "label")
-
-    def pair(pdf: pd.DataFrame) -> pd.DataFrame:
-        out_a, out_b = [], []
-        x, y = pdf["x"].iloc[0], pdf["y"].iloc[0]
-        one = pdf[pdf["own"] == x]
-        two = one if x == y else pdf[pdf["own"] == y]
-        d, m, label = (one[c].to_numpy() for c in ("d", "m", "label"))
-        for d2, m2, label2 in zip(two["d"].to_numpy(), two["m"].to_numpy(), two["label"].to_numpy()):
-            ok = (label != label2) & _compatible(m >> 1, m2 >> 1, m & 1, m2 & 1, percent)
-            if x == y:
-                ok &= d < d2
-            if ok.any():
-                out_a.append(d[ok])
-                out_b.append(np.full(ok.sum(), d2))
-        if not out_a:
-            return pd.DataFrame({"a": np.zeros(0, np.int64), "b": np.zeros(0, np.int64)})
-        a, b = np.concatenate(out_a), np.concatenate(out_b)
-        return pd.DataFrame({"a": np.minimum(a, b), "b": np.maximum(a, b)})
-
-    return cells.groupBy("sig", "x", "y").applyInPandas(pair, "a long, b long").distinct()
+        starts = np.flatnonzero(np.concatenate([[True], t[1:] != t[:-1]])) if len(t) else np.zeros(0, int)
+        sizes = np.diff(np.append(starts, len(t)))
+        p = np.repeat(d[starts], sizes)  # the first of a run has the least digest
+        keep = np.repeat(sizes > 1, sizes)
+        p, d, m = p[keep], d[keep], m[keep]
+        order = np.lexsort((m, d, p))
+        p, d, m = p[order], d[order], m[order]
+        last = np.ones(len(p), bool)
+        last[:-1] = (p[1:] != p[:-1]) | (d[1:] != d[:-1])
+        return pd.DataFrame({"p": p[last], "d": d[last], "m": m[last].astype(np.int64)})
+
+    met = docs.select("text").mapInArrow(deal, "bucket int, t binary, d binary, m binary").groupBy("bucket").applyInPandas(meet, "p long, d long, m long")
+    return met.groupBy("p", "d").agg(F.max("m").alias("m"))
+
+
+def partnered(t: np.ndarray, m: np.ndarray, percent: int) -> np.ndarray:
+    """Which of the sets that meet (equal t, m as in :func:`families`) have one they may link with, by size and prefix."""
+    if not len(t):
+        return np.zeros(0, bool)
+    order = np.lexsort((m, t))
+    run, n, short = t[order], m[order] >> 1, (m[order] & 1).astype(bool)
+    first = np.ones(len(run), bool)  # of the sets of one size in a run
+    first[1:] = (run[1:] != run[:-1]) | (n[1:] != n[:-1])
+    starts = np.flatnonzero(first)
+    counts = np.diff(np.append(starts, len(run)))
+    grun, gn, any_short = run[starts], n[starts], np.logical_or.reduceat(short, starts)
+    k = np.arange(len(starts))
+    near = np.maximum.accumulate(np.where(any_short, k, -1))  # the last group so far with a short prefix
+    below = np.concatenate([[-1], near[:-1]])
+    fits = (below >= 0) & (grun[below] == grun) & (100 * gn[below] >= percent * gn)
+    above = np.zeros(len(starts), bool)
+    above[:-1] = (grun[1:] == grun[:-1]) & (100 * gn[:-1] >= percent * gn[1:])
+    group = np.repeat(k, counts)
+    ok = fits[group] | (short & above[group]) | ((counts > 1) & any_short)[group]
+    out = np.empty(len(t), bool)
+    out[order] = ok
+    return out
+
+
+def compatible(m: np.ndarray, other: int, percent: int) -> np.ndarray:
+    """Sizes allow a link, and the smaller set has a shared shingle in its short prefix."""
+    n, k = m >> 1, other >> 1
+    of_small = np.where(n < k, m, np.where(n > k, other, m | other)) & 1
+    return (100 * np.minimum(n, k) >= percent * np.maximum(n, k)) & of_small.astype(bool)
 
 
 class Trie:
@@ -327,12 +309,14 @@ class Trie:
             differ = np.flatnonzero(x[:n] != y[:n])
             self.shared[i] = int(differ[0]) if len(differ) else n
 
-    def links(self, probe: np.ndarray, percent: int = PERCENT) -> list[int]:
-        """Rows whose set has the Jaccard similarity with ``probe`` (in any order of shingles)."""
-        probe, out = np.sort(probe), []
+    def links(self, probe: np.ndarray, percent: int = PERCENT, want: np.ndarray | None = None) -> Iterator[int]:
+        """Rows whose set has the Jaccard similarity with ``probe``, a numerically sorted set. ``want`` may change while
+        the trie is walked: rows that are not wanted when they are reached are passed over."""
         missed = np.zeros(0, np.int64)  # along the current path: shingles not in the probe, up to each depth
         for row, tokens, shared in zip(self.rows, self.sets, self.shared):
             missed, n = missed[:shared], len(tokens)
+            if want is not None and not want[row]:
+                continue
             room = n - least_overlap(n, len(probe), percent)  # it may miss so many
             step = 32
             while len(missed) < n and (not len(missed) or missed[-1] <= room):
@@ -341,31 +325,58 @@ class Trie:
                 missed = np.concatenate([missed, np.cumsum(probe[at] != part) + (missed[-1] if len(missed) else 0)])
                 step *= 2
             if len(missed) == n and missed[-1] <= room:
-                out.append(row)
-        return out
-
-
-def compare(pairs: DataFrame, sets: DataFrame, n_pairs: int, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) that link. ``sets``: d, tokens. Candidates of one ``a`` are dealt over as many tries as they
-    need, each with a copy of the set of ``a``."""
-    spread = F.floor(F.col("k") / TRIE) + 1
-    counts = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("k"))
-    salted = pairs.join(counts.hint("merge"), "a").select("a", "b", F.pmod(F.xxhash64("b"), spread).alias("c"))
-    groups = max(1, -(-n_pairs // 256))
-    cell = F.pmod(F.xxhash64("a", "c"), F.lit(groups)).alias("cell")
-    needs = salted.select(cell, "a", "c", F.col("b").alias("d")).unionByName(salted.select(cell, "a", "c", F.col("a").alias("d")).distinct())
-    given = needs.join(sets.hint("merge"), "d")
+                yield row
+
+
+def join_block(one: list[np.ndarray], m1: np.ndarray, two: list[np.ndarray] | None, m2: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """Links that join components: (row of ``one``, row of ``two``), or within ``one`` if there is no ``two``."""
+    trie, out, n = Trie(one), [], len(one)
+    root = np.arange(n + (len(two) if two is not None else 0))
+    rows = np.arange(n)
+    for j, tokens in enumerate(one if two is None else two):
+        own, m = (j, m1[j]) if two is None else (n + j, m2[j])
+        want = (root[:n] != root[own]) & compatible(m1, int(m), percent)
+        if two is None:
+            want &= rows < j
+        if not want.any():
+            continue
+        for i in trie.links(np.sort(tokens), percent, want):
+            out.append((i, j))
+            root[root == root[i]] = root[own]
+            want &= root[:n] != root[own]
+            if not want.any():
+                break
+    return out
+
+
+def compare(found: DataFrame, texts: DataFrame, ws: Workspace, hot, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
+    """(a, b): links of the families ``found`` that join components. ``texts``: d, text. A family of more than BLOCK
+    sets is dealt over blocks, and every two blocks meet in a task."""
+    big = ws.put("big", found.groupBy("p").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > BLOCK).select("p", F.ceil(F.col("k") / BLOCK).cast("int").alias("blocks")))
+    rows = found.join(big, "p", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1)))
+    own = F.pmod(F.xxhash64("d"), F.col("blocks")).cast("int")
+    cells = rows.select("p", "d", "m", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("o"))
+    cells = ws.put("cells", cells.select("p", "d", "m", "own", F.least("own", "o").alias("x"), F.greatest("own", "o").alias("y")))
+    groups = max(1, -(-cells.count() // CELL))
+    given = cells.join(texts.hint("merge"), "d").withColumn("cell", F.pmod(F.xxhash64("p", "x", "y"), F.lit(groups)))
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        a, b = [], []
-        for (probe, _), g in pdf.groupby(["a", "c"], sort=True):
-            d, tokens = g["d"].to_numpy(), [np.frombuffer(x, np.uint64) for x in g["tokens"]]
-            own = np.flatnonzero(d == probe)[0]
-            rest = np.flatnonzero(d != probe)
-            for i in Trie([tokens[j] for j in rest]).links(tokens[own], percent):
-                a.append(int(probe))
-                b.append(int(d[rest[i]]))
-        return pd.DataFrame({"a": np.array(a, np.int64), "b": np.array(b, np.int64)})
+        held: dict[int, np.ndarray] = {}
+        unpack = zstandard.ZstdDecompressor().decompress
+        for d, text in zip(pdf["d"], pdf["text"]):
+            if d not in held:
+                held[d] = ordered(_words.shingles(unpack(text).decode(), n), hot.value)
+        order = np.lexsort((pdf["own"], pdf["y"], pdf["x"], pdf["p"]))
+        p, x, y, own, d, m = (pdf[c].to_numpy()[order] for c in ("p", "x", "y", "own", "d", "m"))
+        cut = np.flatnonzero((p[1:] != p[:-1]) | (x[1:] != x[:-1]) | (y[1:] != y[:-1])) + 1
+        out: list[tuple[int, int]] = []
+        for a, b in zip([0, *cut], [*cut, len(p)]):
+            mid = b if x[a] == y[a] else a + int(np.searchsorted(own[a:b], y[a]))
+            sets = [held[i] for i in d[a:b]]
+            two = (None, None) if mid == b else (sets[mid - a :], m[mid:b])
+            shift = a if mid == b else mid
+            out += [(int(d[a + i]), int(d[shift + j])) for i, j in join_block(sets[: mid - a], m[a:mid], *two, percent)]
+        return pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
 
     return given.groupBy("cell").applyInPandas(run, "a long, b long")
 
@@ -390,18 +401,15 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
         labels = new.select("d", "label")
 
 
-def _ordered_sets(docs: DataFrame, ids: DataFrame, few: bool, hot, n: int) -> DataFrame:
-    rows = docs.join(F.broadcast(ids) if few else ids, "doc_id").select("text")
+def _packed(rows: DataFrame) -> DataFrame:
+    """(d, text) with the texts compressed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            d, blobs = [], []
-            for x, tokens in _sets(iter([batch]), n):
-                d.append(x)
-                blobs.append(ordered(tokens, hot.value).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(blobs, pa.binary())], names=["d", "tokens"])
+        pack = zstandard.ZstdCompressor(level=3).compress
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([pack(x) for x in b.column(1).cast(pa.binary()).to_pylist()], pa.binary())], names=["d", "text"])
 
-    return rows.mapInArrow(run, "d long, tokens binary")
+    return rows.select("d", "text").mapInArrow(run, "d long, text binary")
 
 
 def ngram_components(docs: DataFrame, ws: Workspace, n: int = WORDS, percent: int = PERCENT) -> DataFrame:
@@ -415,30 +423,23 @@ def ngram_components(docs: DataFrame, ws: Workspace, n: int = WORDS, percent: in
 
     Two texts count as the same set when 64-bit digests of their sets agree."""
     plain = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    summary = ws.put("summary", summarise(plain, n))
-    classes = ws.put("classes", summary.where("d IS NOT NULL").groupBy("d").agg(F.min("doc_id").alias("first"), F.first("n_shingles").alias("n")))
-    total = classes.agg(F.sum("n")).first()[0] or 0
-    buckets = max(1, -(-total // BUCKET))
-    hot = docs.sparkSession.sparkContext.broadcast(frequent_shingles(plain, buckets, n))
-    found = ws.put("runs", runs(plain, hot, buckets, n, percent))
-
-    def sets_of(pairs: DataFrame, name: str) -> DataFrame:
-        nodes = pairs.select(F.col("a").alias("d")).unionByName(pairs.select(F.col("b").alias("d"))).distinct()
-        ids = ws.put(f"{name}-ids", nodes.join(classes, "d").select(F.col("first").alias("doc_id")))
-        return ws.put(f"{name}-sets", _ordered_sets(plain, ids, ids.count() <= BROADCAST_IDS, hot, n))
-
-    first = ws.put("pairs1", pivot_pairs(found, percent))
-    edges = ws.put("edges1", compare(first, sets_of(first, "first"), first.count(), percent))
-    labels = components(edges, ws, "first")
-    ws.drop("first-sets")
-    marked = ws.put("marked", cross_pairs(found, labels, percent))
-    second = ws.put("pairs2", _split_runs(marked, percent).join(first.hint("merge"), ["a", "b"], "left_anti"))
-    more = second.count()
-    if more:
-        edges = ws.put("edges2", edges.unionByName(compare(second, sets_of(second, "second"), more, percent)))
-        labels = components(edges, ws, "second")
-        ws.drop("second-sets")
-    linked = ws.put("linked", labels.join(classes, "d"))
+    words = plain.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    buckets = max(1, -(-(words // 6) // BUCKET))
+    read = ws.put("read", read_sets(plain, buckets, n))
+    summary = ws.put("summary", read.where("bucket IS NULL").select("doc_id", "n_shingles", "d", "h"))
+    classes = ws.put("classes", summary.where("d IS NOT NULL").groupBy("d").agg(F.min("doc_id").alias("first"), F.min(F.struct(F.coalesce("doc_id", F.lit((1 << 63) - 1)).alias("i"), "doc_id", "h")).alias("spot")))
+    hot = docs.sparkSession.sparkContext.broadcast(frequent_shingles(read.where("bucket IS NOT NULL").select("bucket", "blob"), HOT_DF))
+    ws.drop("read")
+    found = ws.put("families", families(plain, hot, buckets, n, percent))
+    ids = ws.put("ids", found.select("d").distinct().join(classes, "d").select("d", F.col("spot.doc_id").alias("__id"), F.col("spot.h").alias("__h")))
+    few = ids.count() <= BROADCAST_IDS
+    # rows that share a doc_id may have other texts, so the text's hash must agree too
+    at = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
+    texts = ws.put("texts", _packed(plain.join(F.broadcast(ids) if few else ids, at)))
+    edges = ws.put("edges", compare(found, texts, ws, hot, n, percent))
+    ws.drop("texts")
+    labels = components(edges, ws, "labels")
+    linked = ws.put("linked", labels.join(classes.select("d", "first"), "d"))
     least = ws.put("least", linked.groupBy("label").agg(F.min("first").alias("component_id")))
     known = ws.put("known", linked.join(least, "label").select("d", "component_id"))
     whole = ws.put("whole", classes.join(known, "d", "left").select("d", F.coalesce("component_id", "first").alias("component_id")))

@@ -38,6 +38,7 @@ def corpus(seed=0, n=60):
 @pytest.mark.parametrize("seed", [0, 1])
 def test_ngram_join_is_brute_force(spark, seed, monkeypatch):
     monkeypatch.setattr(ngram_join, "HOT_DF", 4)
+    monkeypatch.setattr(ngram_join, "BLOCK", 3)
     rows = corpus(seed)
     got = ngram_join.ngram_components(documents(spark, rows, "d string"), Workspace(spark, "t")).collect()
     sets = {i: shingles(t) for i, t in rows}
@@ -55,8 +56,8 @@ def test_ngram_join_without_rows_and_with_repeats(spark):
     assert sorted((str(r.doc_id) for r in kept.collect())) == ["3", "4", "None"]
 
 
-def test_second_round_finds_links_that_pivots_miss(spark):
-    """A run of chains: neighbours link, ends don't."""
+def test_chains(spark):
+    """Neighbours link, ends don't."""
     words = [f"q{i}" for i in range(100)]
     rows = [(i, " ".join(words[i * 3 : i * 3 + 40])) for i in range(15)]
     sets = {i: shingles(t) for i, t in rows}
@@ -70,7 +71,7 @@ def test_trie_agrees_with_sets():
     trie = ngram_join.Trie(sets)
     for probe in sets:
         want = [i for i, s in enumerate(sets) if 100 * len(np.intersect1d(s, probe)) >= 75 * len(np.union1d(s, probe))]
-        assert sorted(trie.links(probe)) == want
+        assert sorted(trie.links(np.sort(probe))) == want
 
 
 def test_line_dedup(spark):
@@ -199,3 +200,27 @@ def test_text_digests_of_the_line_query(spark, tmp_path):
     documents(spark, [(1, "a\nb"), (2, None)]).write.parquet(f"{tmp_path}/documents.parquet")
     got = {r.doc_id: r.kept_sha256 for r in line_dedup.op9_line_dedup(spark, str(tmp_path)).collect()}
     assert got == {1: hashlib.sha256(b"a\nb").hexdigest(), 2: hashlib.sha256(b"").hexdigest()}
+
+
+def test_partnered_is_the_pairwise_rule():
+    rng = np.random.default_rng(0)
+    for _ in range(60):
+        k = int(rng.integers(1, 30))
+        t, m = np.sort(rng.integers(0, 5, k)).astype(np.uint64), rng.integers(2, 60, k)
+        want = [any(i != j and t[i] == t[j] and ngram_join.compatible(m[j : j + 1], int(m[i]), 75)[0] for j in range(k)) for i in range(k)]
+        assert ngram_join.partnered(t, m, 75).tolist() == want
+
+
+def test_text_hash_is_sparks(spark):
+    from pyspark.sql import functions as F
+
+    texts = ["", "a", "é漢" * 50, "x" * 1000]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.xxhash64("t").alias("h"))
+    assert all(r.h == ngram_join.text_hash(r.t) for r in df.collect())
+
+
+def test_rows_that_share_an_id(spark):
+    long = "a b c d e f g h i j k l m n o p q r s t u v w x y z"
+    rows = [(1, long), (1, "other words stand here under the same id"), (2, long + " tail"), (3, "other words stand here under the same id now")]
+    got = sorted((r.doc_id, r.component_id) for r in ngram_join.ngram_components(documents(spark, rows), Workspace(spark, "t")).collect())
+    assert got == [(1, 1), (1, 1), (2, 1), (3, 1)]

@@ -39,7 +39,7 @@ WHERE (category IS NULL OR category IN ('text','vertical_text','abstract','aside
 _GRID = """
 SELECT l_orderkey AS table_id, CAST(rn*3+c AS BIGINT) AS pos, CASE c WHEN 0 THEN CAST(l_partkey AS {str}) WHEN 1 THEN concat('<', CAST(l_suppkey AS {str}), '|') ELSE CAST(CAST(l_quantity AS INT) AS {str}) END AS text,
  CAST(100+120*c+(l_partkey*(c+1))%9 AS DOUBLE) AS x0, CAST(700-14*rn+(l_suppkey+c)%4 AS DOUBLE) AS y0, CAST(140+120*c+(l_partkey*(c+1))%9 AS DOUBLE) AS x1, CAST(709-14*rn+(l_suppkey+c)%4 AS DOUBLE) AS y1
-FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem WHERE l_orderkey%25=0) g,
+FROM (SELECT *, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice) AS rn FROM lineitem) g,
  (SELECT 0 AS c UNION ALL SELECT 1 UNION ALL SELECT 2) cs
 """
 _SPANS_DUCK = """

@@ -23,3 +23,14 @@ def test_queries_match_their_sql(spark, name):
     got = entry.queries()[name](spark, SF).toPandas()[list(want.columns)]
     rows = lambda df: sorted(map(repr, df.astype(object).where(df.notna(), None).values.tolist()))
     assert rows(got) == rows(want)
+
+
+TABLES = ["table_row_cluster", "table_column_bounds", "table_cells", "table_markdown", "table_html", "table_methods"]
+
+
+@pytest.mark.parametrize("name", TABLES)
+def test_every_order_is_a_table(spark, tmp_path, name):
+    rows = [(order, 7 * order + line, 3 * order, line, float(line), 10.0 * line) for order in range(1, 31) for line in range(1, order % 4 + 2)]
+    spark.createDataFrame(rows, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    found = entry.queries()[name](spark, str(tmp_path)).select("table_id").distinct().collect()
+    assert sorted(r.table_id for r in found) == list(range(1, 31))

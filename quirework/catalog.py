@@ -541,7 +541,7 @@ def page_boxes(spark, d):
 def draw_plan(spark, d):
     from .operators import drawing
 
-    return drawing.draw_plan(translated(spark, d).where("input_pos < 12"))
+    return drawing.draw_plan(translated(spark, d))
 
 
 @query("""SELECT doc_id, page_number, count(*)*2+2-count(*) FILTER (WHERE input_pos%3=0) AS ops FROM v_paragraphs GROUP BY 1,2""", "v_paragraphs")

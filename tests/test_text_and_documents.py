@@ -235,3 +235,24 @@ def test_command_line(spark, tmp_path):
     spark.createDataFrame([(1, "a\x02b")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     cli.main(["normalize_text", str(tmp_path), "--out", f"{tmp_path}/out"])
     assert spark.read.parquet(f"{tmp_path}/out").first().text == "a-b"
+
+
+def test_draw_plan_of_several_pages(spark, tmp_path):
+    """Every translated paragraph of every page, against fit_text line by line."""
+    import __spark_entry__ as entry
+    from quirework import catalog
+
+    lines = [f"line {i} " + "word " * (i % 30) for i in range(40)]
+    spark.createDataFrame([(1, "\n".join(lines)), (2, "\n".join(lines[:14]))], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    font, want = fit.Font(), []
+    for r in catalog.translated(spark, str(tmp_path)).where("translated_text <> ''").collect():
+        size, _, _, made = fit.fit_text(r.translated_text, r.x1 - r.x0, r.y1 - r.y0, r.original_font_size, font)
+        y, n = r.y1 - font.ascent * size, 0
+        for line in made:
+            if line != fit.BREAK:
+                want.append((r.doc_id, r.page_number, r.id, n, line, size, r.x0, y))
+                n += 1
+            y -= font.line_height(size) * (0.5 if line == fit.BREAK else 1)
+    got = [tuple(r) for r in entry.queries()["draw_plan"](spark, str(tmp_path)).collect()]
+    assert sorted(got) == sorted(want)
+    assert {(d, p) for d, p, *_ in got} == {(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1)}

@@ -274,8 +274,8 @@ def category_comparison(spark, d):
 _NEW = "(SELECT doc_id, CASE WHEN input_pos%11=3 THEN concat(id,'x') ELSE id END AS id, CASE WHEN input_pos%7=2 THEN concat(text,'!') ELSE concat(text, ' ') END AS text, x0+input_pos%5 AS x0, y0, x1+input_pos%5 AS x1, y1 FROM v_paragraphs WHERE input_pos%13<>4)"
 
 
-def _changed(p: DataFrame) -> DataFrame:
-    return p.where("input_pos % 13 <> 4").selectExpr("doc_id", "CASE WHEN input_pos%11=3 THEN concat(id,'x') ELSE id END AS id", "CASE WHEN input_pos%7=2 THEN concat(text,'!') ELSE concat(text,' ') END AS text", "x0+input_pos%5 AS x0", "y0", "x1+input_pos%5 AS x1", "y1")
+def _changed(p: DataFrame, *more: str) -> DataFrame:
+    return p.where("input_pos % 13 <> 4").selectExpr("doc_id", "CASE WHEN input_pos%11=3 THEN concat(id,'x') ELSE id END AS id", "CASE WHEN input_pos%7=2 THEN concat(text,'!') ELSE concat(text,' ') END AS text", "x0+input_pos%5 AS x0", "y0", "x1+input_pos%5 AS x1", "y1", *more)
 
 
 @query(f"""SELECT coalesce(o.doc_id,n.doc_id) AS doc_id, count(*) FILTER (WHERE n.id IS NULL) AS missing, count(*) FILTER (WHERE o.id IS NULL) AS extra, count(*) FILTER (WHERE o.id IS NOT NULL AND n.id IS NOT NULL AND trim(o.text)<>trim(n.text)) AS text_mismatch,
@@ -293,6 +293,19 @@ def evaluation_rates(spark, d):
     return evaluate.rates(p, _changed(p), 2.0)
 
 
+_RESIZED = "(SELECT doc_id, CASE WHEN input_pos%11=3 THEN concat(id,'x') ELSE id END AS id, CASE WHEN input_pos%7=2 THEN concat(text,'!') ELSE concat(text, ' ') END AS text, x0+input_pos%5 AS x0, y0, x1+input_pos%5+(CASE WHEN input_pos%6=1 THEN 7 ELSE 0 END) AS x1, y1-input_pos%4 AS y1, original_font_size+(input_pos%3)*0.25e0 AS original_font_size FROM v_paragraphs WHERE input_pos%13<>4)"
+
+
+@query(f"""SELECT doc_id, count(*) FILTER (WHERE o) AS objects, count(*) FILTER (WHERE n IS NULL) AS missing, count(*) FILTER (WHERE o IS NULL) AS extra, count(*) FILTER (WHERE differs) AS text_mismatch, count(*) FILTER (WHERE shift>4) AS position_errors,
+ count(*) FILTER (WHERE size>0.25e0) AS font_size_errors, max(shift) AS position_error, max(size) AS font_size_error, CASE WHEN count(*) FILTER (WHERE o)=0 THEN 1e0 ELSE CAST(count(*) FILTER (WHERE NOT differs AND shift<=4 AND size<=0.25e0) AS DOUBLE)/count(*) FILTER (WHERE o) END AS match_rate
+ FROM (SELECT coalesce(a.doc_id,b.doc_id) AS doc_id, a.id IS NOT NULL OR NULL AS o, b.id IS NOT NULL OR NULL AS n, trim(a.text)<>trim(b.text) AS differs, CASE WHEN a.id IS NOT NULL AND b.id IS NOT NULL THEN greatest(abs(a.x0-b.x0),abs(a.y0-b.y0),abs(a.x1-b.x1),abs(a.y1-b.y1)) END AS shift,
+ abs(a.original_font_size-b.original_font_size) AS size FROM v_paragraphs a FULL JOIN {_RESIZED} b ON a.doc_id=b.doc_id AND a.id=b.id) GROUP BY 1""", "v_paragraphs")
+def document_agreement(spark, d):
+    p = paragraphs(spark, d)
+    new = _changed(p.withColumns({"x1": F.expr("x1 + CASE WHEN input_pos % 6 = 1 THEN 7 ELSE 0 END"), "y1": F.expr("y1 - input_pos % 4"), "size": F.expr("original_font_size + (input_pos % 3) * 0.25D")}), "size AS original_font_size")
+    return evaluate.agreement(p, new, 4.0, 0.25)
+
+
 @query("SELECT doc_id, id, row_number() OVER (PARTITION BY doc_id ORDER BY input_pos) AS n, concat('table_', lpad(CAST(row_number() OVER (PARTITION BY doc_id ORDER BY input_pos) AS VARCHAR), 3, '0')) AS name FROM v_paragraphs WHERE category='table'", "v_paragraphs")
 def file_numbering(spark, d):
     return documents.numbered(paragraphs(spark, d).where("category = 'table'"), "table").select("doc_id", "id", F.col("n").cast("long").alias("n"), "name")

@@ -256,3 +256,16 @@ def test_draw_plan_of_several_pages(spark, tmp_path):
     got = [tuple(r) for r in entry.queries()["draw_plan"](spark, str(tmp_path)).collect()]
     assert sorted(got) == sorted(want)
     assert {(d, p) for d, p, *_ in got} == {(1, 0), (1, 1), (1, 2), (1, 3), (2, 0), (2, 1)}
+
+
+def test_versions_are_compared_whole(spark):
+    schema = "doc_id long, id string, text string, x0 double, y0 double, x1 double, y1 double, original_font_size double"
+    rows = [(1, i, i, 0.0, 0.0, 10.0, 10.0, 9.0) for i in "abcdef"]
+    old = spark.createDataFrame([*rows, (2, "a", "a", 0.0, 0.0, 1.0, 1.0, 9.0)], schema)
+    changed = [(1, "a", "a ", 0.0, 0.0, 12.0, 10.0, 9.5), (1, "b", "other", 0.0, 0.0, 10.0, 10.0, 9.0), (1, "c", "c", 0.0, 0.0, 17.0, 10.0, 9.0), (1, "d", "d", 0.0, 0.0, 10.0, 4.0, 9.0), (1, "e", "e", 0.0, 0.0, 10.0, 10.0, 10.0)]
+    new = spark.createDataFrame([*changed, (2, "a", "all new", 0.0, 0.0, 1.0, 1.0, None), (3, "z", "z", 0.0, 0.0, 1.0, 1.0, 9.0)], schema)
+    got = {r.doc_id: r for r in evaluate.diff(old, new).collect()}
+    assert (got[1].position_error, got[1].font_size_error, got[1].text_mismatch, got[1].missing) == (7.0, 1.0, 1, 1)
+    assert {r.doc_id: r.position_rate for r in evaluate.rates(old, new, 2.0).collect()} == {1: 0.5, 2: 1.0}
+    full = {r.doc_id: tuple(r)[1:] for r in evaluate.agreement(old, new, 2.0, 0.5).collect()}
+    assert full == {1: (6, 1, 0, 1, 2, 1, 7.0, 1.0, 1 / 6), 2: (1, 0, 0, 1, 0, 0, 0.0, None, 0.0), 3: (0, 0, 1, 0, 0, 0, None, None, 1.0)}

@@ -263,6 +263,11 @@ def first_page_text(spark, d):
 
 @query("SELECT DISTINCT is_bold, is_italic, unnest(string_split(text, '')) AS ch FROM v_paragraphs", "v_paragraphs")
 def style_charsets(spark, d):
+    return summary.style_charsets(paragraphs(spark, d), margin="")
+
+
+@query(f"SELECT DISTINCT is_bold, is_italic, unnest(list_concat(string_split(text, ''), string_split('{summary.MARGIN}', ''))) AS ch FROM v_paragraphs", "v_paragraphs")
+def subset_charsets(spark, d):
     return summary.style_charsets(paragraphs(spark, d))
 
 
@@ -594,6 +599,11 @@ def thumbnail_geometry(spark, d):
 
 @query("SELECT is_bold, is_italic, substr(sha256(concat('font:0:', string_agg(ch, '' ORDER BY ch))), 1, 16) AS cache_key FROM (SELECT DISTINCT is_bold, is_italic, unnest(string_split(text, '')) AS ch FROM v_paragraphs) GROUP BY 1,2", "v_paragraphs")
 def subset_cache_keys(spark, d):
+    return summary.subset_keys(summary.style_charsets(paragraphs(spark, d), margin=""), "font")
+
+
+@query(f"SELECT is_bold, is_italic, substr(sha256(concat('font:0:', string_agg(ch, '' ORDER BY ch))), 1, 16) AS cache_key FROM (SELECT DISTINCT is_bold, is_italic, unnest(list_concat(string_split(text, ''), string_split('{summary.MARGIN}', ''))) AS ch FROM v_paragraphs) GROUP BY 1,2", "v_paragraphs")
+def subset_margin_keys(spark, d):
     return summary.subset_keys(summary.style_charsets(paragraphs(spark, d)), "font")
 
 

@@ -40,9 +40,15 @@ def document_text(paragraphs: DataFrame) -> DataFrame:
     return paragraphs.groupBy("doc_id").agg(_joined(F.struct("input_pos", "text"), "\n").alias("text"))
 
 
-def style_charsets(paragraphs: DataFrame) -> DataFrame:
-    """Different characters by style; rows are made distinct map-side before they move."""
-    return paragraphs.select("is_bold", "is_italic", F.explode(F.array_distinct(F.split("text", ""))).alias("ch")).where("ch <> ''").distinct()
+#: Fixed characters that every subset has besides those of its texts.
+MARGIN = "。、！？「」『』（）…―　0123456789"
+
+
+def style_charsets(paragraphs: DataFrame, margin: str = MARGIN) -> DataFrame:
+    """Different characters by style, and those of ``margin`` for each style that has any; rows are made distinct
+    map-side before they move."""
+    chars = F.concat(F.split("text", ""), F.lit(list(margin)).cast("array<string>"))
+    return paragraphs.where("text <> ''").select("is_bold", "is_italic", F.explode(F.array_distinct(chars)).alias("ch")).where("ch <> ''").distinct()
 
 
 def subset_keys(charsets: DataFrame, identity: str, number: int = 0) -> DataFrame:

@@ -269,3 +269,10 @@ def test_versions_are_compared_whole(spark):
     assert {r.doc_id: r.position_rate for r in evaluate.rates(old, new, 2.0).collect()} == {1: 0.5, 2: 1.0}
     full = {r.doc_id: tuple(r)[1:] for r in evaluate.agreement(old, new, 2.0, 0.5).collect()}
     assert full == {1: (6, 1, 0, 1, 2, 1, 7.0, 1.0, 1 / 6), 2: (1, 0, 0, 1, 0, 0, 0.0, None, 0.0), 3: (0, 0, 1, 0, 0, 0, None, None, 1.0)}
+
+
+def test_charsets_have_the_margin(spark):
+    p = spark.createDataFrame([(True, False, "ab1"), (False, False, "b"), (False, True, "")], "is_bold boolean, is_italic boolean, text string")
+    got = {(r.is_bold, r.is_italic, r.ch) for r in summary.style_charsets(p).collect()}
+    assert got == {(True, False, c) for c in "ab" + summary.MARGIN} | {(False, False, c) for c in "b" + summary.MARGIN}
+    assert sorted(tuple(r) for r in summary.style_charsets(p, margin="").collect()) == [(False, False, "b"), (True, False, "1"), (True, False, "a"), (True, False, "b")]

@@ -32,6 +32,7 @@ SPACE, BARE = "▁", "\x01"
 UNKNOWN = 10
 NEVER = -(1 << 60)
 RESULT = "doc_id long, rank int, score long, n_ids int, ids_crc32 long, ids array<int>"
+DECODED = ", text_crc32 long, round_trip boolean"
 
 
 def default_model() -> str:
@@ -59,6 +60,7 @@ class Pieces:
             self.text[i] = piece
         self.byte_of = {i: b for b, i in self.bytes_.items()}
         self.control = {i for i in range(self.size) if sp.is_control(i) or sp.is_unknown(i)}
+        self.utf8 = np.array([bytes([self.byte_of[i]]) if i in self.byte_of else b"" if i in self.control else self.text[i].encode() for i in range(self.size)], object)
         self.unknown_id = sp.unk_id()
         self.edges = ahocorasick.Automaton()
         for piece, i, score in normal:
@@ -147,6 +149,7 @@ class Words(dict):
 
     def __init__(self, pieces: Pieces, most: int = 1_200_000):
         self.pieces, self.most, self.others = pieces, most, {}
+        self.normal = ""  # the normalised text last split
 
     def __missing__(self, key: str) -> tuple[bytes, int, int]:
         word = self.word(key)
@@ -199,7 +202,7 @@ class Words(dict):
 
     def split(self, text: str) -> list[str]:
         """The normalised text's keys, cut where no piece lies across."""
-        text = self.pieces.normalise(text)
+        text = self.normal = self.pieces.normalise(text)
         if not text:
             return []
         if len(self) > self.most:
@@ -257,13 +260,15 @@ class Words(dict):
 
     def decode(self, ids: np.ndarray) -> str:
         """The normalised text that ids stand for, without the space mark in front."""
-        p, out = self.pieces, []
-        for i in ids.tolist():
-            if i in p.byte_of:
-                out.append(bytes([p.byte_of[i]]))
-            elif i not in p.control:
-                out.append(p.text[i].encode())
-        text = b"".join(out).decode(errors="replace").replace(SPACE, " ")
+        return self.plain(self.joined(ids).decode(errors="replace"))
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        return b"".join(self.pieces.utf8[ids].tolist())
+
+    @staticmethod
+    def plain(text: str) -> str:
+        """Normalised text without space marks."""
+        text = text.replace(SPACE, " ")
         return text[1:] if text[:1] == " " else text
 
 
@@ -274,14 +279,15 @@ def words_for(model: str) -> Words:
     return _held.get(model) or _held.setdefault(model, Words(Pieces(model)))
 
 
-def segment_documents(docs: DataFrame, model: str | None = None, n: int = N) -> DataFrame:
+def segment_documents(docs: DataFrame, model: str | None = None, n: int = N, decode: bool = False) -> DataFrame:
     """A row for each document and each of its ``n`` best segmentations: doc_id, rank from 1, score, n_ids, ids_crc32
     (of the ids as little-endian 32-bit numbers) and ids.
 
     A null or empty text has one segmentation, without ids, of score 0; a text with fewer segmentations has all. Texts
     are segmented whole, and a rank's ties are broken the same way in every run. Unknown characters become byte pieces.
     Rows that share a doc_id are segmented each; other columns are not read; an empty table gives no rows. Nothing is
-    shuffled, and memory is bounded by a text and the words held."""
+    shuffled, and memory is bounded by a text and the words held. With ``decode``, every row's ids are decoded too:
+    text_crc32 (of the decoded text in UTF-8) and round_trip (whether it equals the normalised text)."""
     path = model or default_model()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,22 +295,36 @@ def segment_documents(docs: DataFrame, model: str | None = None, n: int = N) ->
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 b = batch.slice(at, 256)
-                doc, rank, score, ids = [], [], [], []
+                doc, rank, score, ids, crc, same = [], [], [], [], [], []
                 for d, text in zip(b.column(0).to_pylist(), b.column(1)):
-                    for r, (s, x) in enumerate(words.segment(text.as_py() or "", n), 1):
+                    found = words.segment(text.as_py() or "", n)
+                    if decode:
+                        whole, normal = words.normal.encode(), words.plain(words.normal)
+                        whole_crc = zlib.crc32(normal.encode())
+                    for r, (s, x) in enumerate(found, 1):
                         doc.append(d)
                         rank.append(r)
                         score.append(s)
                         ids.append(x)
+                        if not decode:
+                            continue
+                        if words.joined(x) == whole:  # the same bytes decode to the same text
+                            crc.append(whole_crc)
+                            same.append(True)
+                        else:
+                            back = words.decode(x)
+                            crc.append(zlib.crc32(back.encode()))
+                            same.append(back == normal)
                 sizes = np.array([len(x) for x in ids], np.int32)
                 offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
                 flat = pa.array(np.concatenate(ids).astype(np.int32)) if ids else pa.array([], pa.int32())
+                more = [pa.array(crc, pa.int64()), pa.array(same, pa.bool_())] if decode else []
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc, pa.int64()), pa.array(rank, pa.int32()), pa.array(score, pa.int64()), pa.array(sizes), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat)],
-                    names=["doc_id", "rank", "score", "n_ids", "ids_crc32", "ids"],
+                    [pa.array(doc, pa.int64()), pa.array(rank, pa.int32()), pa.array(score, pa.int64()), pa.array(sizes), pa.array([zlib.crc32(x) for x in ids], pa.int64()), pa.ListArray.from_arrays(pa.array(offsets), flat), *more],
+                    names=["doc_id", "rank", "score", "n_ids", "ids_crc32", "ids", *(["text_crc32", "round_trip"] if decode else [])],
                 )
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT)
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, RESULT + DECODED if decode else RESULT)
 
 
 def decode_documents(segmented: DataFrame, model: str | None = None) -> DataFrame:
@@ -326,4 +346,4 @@ def decode_documents(segmented: DataFrame, model: str | None = None) -> DataFram
 
 
 def op1_segment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segment_documents(table(spark, sf_dir, "documents"))
+    return segment_documents(table(spark, sf_dir, "documents"), decode=True)

@@ -224,3 +224,15 @@ def test_rows_that_share_an_id(spark):
     rows = [(1, long), (1, "other words stand here under the same id"), (2, long + " tail"), (3, "other words stand here under the same id now")]
     got = sorted((r.doc_id, r.component_id) for r in ngram_join.ngram_components(documents(spark, rows), Workspace(spark, "t")).collect())
     assert got == [(1, 1), (1, 1), (2, 1), (3, 1)]
+
+
+def test_the_query_decodes_what_it_segments(spark, tmp_path):
+    rows = [(1, None), (2, "one  two "), (3, "naïve é漢☃\n\n x"), (4, "▁a ▁"), (5, "word " * 400)]
+    documents(spark, rows).write.parquet(f"{tmp_path}/documents.parquet")
+    out = segment.op1_segment(spark, str(tmp_path))
+    words = segment.words_for(segment.default_model())
+    plain = {i: words.pieces.normalise(t or "").replace("▁", " ").removeprefix(" ") for i, t in rows}
+    got = out.collect()
+    assert {r.doc_id for r in got} == {1, 2, 3, 4, 5} and all(r.round_trip for r in got)
+    assert all(r.text_crc32 == zlib.crc32(plain[r.doc_id].encode()) for r in got)
+    assert all(r.text == plain[r.doc_id] for r in segment.decode_documents(out).collect())

@@ -111,15 +111,40 @@ class Scanner:
         hits = self.vocabulary.intersection(words)
         if not hits:
             return []
+        taken: dict[str, list[tuple[int, int]]] = {}
+        out = self._around(words, hits, None, taken)
+        # what was interrupted by foreign words, closed up: each template's own words only
+        for name in sorted({name for w in hits for name, _ in self.keys[w]}):
+            own, spans = frozenset(self.words[name]), taken.get(name, [])
+            free = bytearray(b"\1") * len(words)
+            for a, b in spans:
+                free[a:b] = bytes(b - a)
+            at = [i for i, w in enumerate(words) if w in own and free[i]]
+            if len(at) < self.need[name]:
+                continue
+            for cut in self._free(at, spans):
+                for _, first, last, n in self._around([words[i] for i in cut], hits, name, {}):
+                    out.append((name, cut[first], cut[last - 1] + 1, n))
+        return sorted(out, key=lambda x: (x[1], x[0]))
+
+    @staticmethod
+    def _free(at: list[int], spans: list[tuple[int, int]]) -> list[list[int]]:
+        """Positions, apart where a span lies between them."""
+        ends = [0, *(bisect_left(at, i) for i, _ in sorted(spans)), len(at)]
+        return [at[i:j] for i, j in zip(ends, ends[1:]) if i < j]
+
+    def _around(self, words: list[str], hits: frozenset[str], only: str | None, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, int]]:
+        """What aligns around the places that the words of ``hits`` propose; ``spans`` gets the places by template."""
         begins: dict[str, Counter] = {}
         for i, w in enumerate(words):
             if w in hits:
                 for name, j in self.keys[w]:
-                    begins.setdefault(name, Counter())[i - j] += 1
+                    if only is None or name == only:
+                        begins.setdefault(name, Counter())[i - j] += 1
         out = []
         for name, votes in begins.items():
             t = self.words[name]
-            slack, taken = max(2, len(t) // 4), []
+            slack, taken = max(2, len(t) // 4), spans.setdefault(name, [])
             for begin, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
                 a, b = max(0, begin - slack), min(len(words), begin + len(t) + slack)
                 for i, j in taken:  # what a better start has taken is left alone
@@ -131,7 +156,7 @@ class Scanner:
                     span = (a + part[0][0], a + part[-1][0] + 1)
                     taken.append(span)
                     out.append((name, *span, len(part)))
-        return sorted(out, key=lambda x: (x[1], x[0]))
+        return out
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, coverage: float = COVERAGE) -> DataFrame:
@@ -140,7 +165,8 @@ def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None, cove
 
     Words are runs of letters a-z and digits, lower-cased, with inner dots and hyphens. Texts are read whole; null and
     empty ones, and such without a template, have no row. A template that occurs several times has a row for each
-    place. Repeated rows are scanned each. Other columns are not read, and an empty table gives no rows. Nothing is
+    place. Words that a template doesn't have may stand between its words, however many; of words that it has, about a
+    quarter of its length (two at least) may be inserted before a lower coverage is found. Repeated rows are scanned each. Other columns are not read, and an empty table gives no rows. Nothing is
     shuffled; memory is bounded by a text."""
     scanner = Scanner(TEMPLATES if templates is None else templates, coverage)
 

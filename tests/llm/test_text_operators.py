@@ -236,3 +236,16 @@ def test_the_query_decodes_what_it_segments(spark, tmp_path):
     assert {r.doc_id for r in got} == {1, 2, 3, 4, 5} and all(r.round_trip for r in got)
     assert all(r.text_crc32 == zlib.crc32(plain[r.doc_id].encode()) for r in got)
     assert all(r.text == plain[r.doc_id] for r in segment.decode_documents(out).collect())
+
+
+def test_an_interrupted_notice_is_found_whole():
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE)
+    foreign = " ".join(f"x{i}" for i in range(60))
+    found = [x for x in scanner.scan(f"a b Released under {foreign} the MIT License. End") if x[0] == "MIT"]
+    assert found == [("MIT", 2, 67, 5)]
+    words = license_scan.TEMPLATES["Apache-2.0-header"].split()
+    whole = len(license_scan.words_of(" ".join(words)))
+    text = " ".join([*words[:40], *(f"x{i}" for i in range(200)), *words[40:]])
+    assert [(a, b, n) for name, a, b, n in scanner.scan(text) if name == "Apache-2.0-header"] == [(0, whole + 200, whole)]
+    twice = f"Released under the MIT License. and Released under {foreign} the MIT License. Released under the MIT License."
+    assert [x[1:] for x in scanner.scan(twice) if x[0] == "MIT"] == [(0, 5, 5), (6, 71, 5), (71, 76, 5)]

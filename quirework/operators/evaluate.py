@@ -47,8 +47,8 @@ def diff(old: DataFrame, new: DataFrame) -> DataFrame:
 def rates(old: DataFrame, new: DataFrame, tolerance: float) -> DataFrame:
     """Shares of a document's objects: found by id, with all edges within ``tolerance`` of their place, and different
     texts kept. Objects that agree in all are in ``agreement``."""
-    m = _matched(old, new).where("o IS NOT NULL")
-    found = m.groupBy("doc_id").agg((F.count("n") / F.count(F.lit(1))).alias("match_rate"), (F.count_if(_shift() <= tolerance) / F.count(F.lit(1))).alias("position_rate"))
+    m = old.select("doc_id", "id", *[F.col(c).alias(f"o_{c}") for c in BOX]).join(new.select("doc_id", "id", *[F.col(c).alias(f"n_{c}") for c in BOX]), ["doc_id", "id"], "left")
+    found = m.groupBy("doc_id").agg((F.count("n_x0") / F.count(F.lit(1))).alias("match_rate"), (F.count_if(_shift() <= tolerance) / F.count(F.lit(1))).alias("position_rate"))
     texts = lambda df: df.select("doc_id", t.compare_key(F.col("text")).alias("text")).distinct()
     kept = texts(old).join(texts(new).withColumn("kept", F.lit(1)), ["doc_id", "text"], "left").groupBy("doc_id").agg((F.count("kept") / F.count(F.lit(1))).alias("preservation_rate"))
     return found.join(kept, "doc_id")

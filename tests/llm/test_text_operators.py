@@ -249,3 +249,54 @@ def test_an_interrupted_notice_is_found_whole():
     assert [(a, b, n) for name, a, b, n in scanner.scan(text) if name == "Apache-2.0-header"] == [(0, whole + 200, whole)]
     twice = f"Released under the MIT License. and Released under {foreign} the MIT License. Released under the MIT License."
     assert [x[1:] for x in scanner.scan(twice) if x[0] == "MIT"] == [(0, 5, 5), (6, 71, 5), (71, 76, 5)]
+
+
+def unigram_model(path, pieces):
+    """A unigram model of given pieces and scores, in the model files' protocol-buffer form."""
+    import struct
+
+    def field(number, body):
+        return bytes([number << 3 | 2, *((len(body) & 127 | 128, len(body) >> 7) if len(body) > 127 else (len(body),))]) + body
+
+    rows = [("<unk>", 0.0, 2), ("<s>", 0.0, 3), ("</s>", 0.0, 3), *((p, s, 1) for p, s in pieces)]
+    body = b"".join(field(1, field(1, p.encode()) + b"\x15" + struct.pack("<f", s) + bytes([3 << 3, kind])) for p, s, kind in rows)
+    trainer = bytes([3 << 3, 1])  # unigram
+    normaliser = field(1, b"identity") + bytes([3 << 3, 1, 4 << 3, 1, 5 << 3, 1])
+    path.write_bytes(body + field(2, trainer) + field(3, normaliser))
+    return str(path)
+
+
+def test_unigram_n_best_is_the_librarys(tmp_path):
+    import sentencepiece
+
+    rng = random.Random(0)
+    letters = "abcde"
+    pieces = {"▁": -4.1, **{c: -5.0 - rng.random() for c in letters}}
+    while len(pieces) < 60:
+        p = "".join(rng.choice(letters) for _ in range(rng.randrange(1, 4)))
+        pieces.setdefault(rng.choice(["", "▁"]) + p, -3.0 - 4 * rng.random())
+    model = unigram_model(tmp_path / "unigram.model", sorted(pieces.items()))
+    sp, words = sentencepiece.SentencePieceProcessor(model_file=model), segment.Words(segment.Pieces(model))
+    for _ in range(200):
+        text = " ".join("".join(rng.choice(letters) for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 4)))
+        text = text.replace("ab", rng.choice(["ab", "axb"]))  # an unknown character
+        got = words.segment(text, 4)
+        want = sp.nbest_encode_as_ids(text, 4)
+        assert got[0][1].tolist() == sp.encode(text)
+        score = lambda ids: sum(sp.get_score(i) if i else min(pieces.values()) - segment.UNKNOWN for i in ids)
+        assert [s for s, _ in got] == pytest.approx([score(i) for i in want], abs=1e-4)
+        assert [s for s, _ in got] == pytest.approx([score(i.tolist()) for _, i in got], abs=1e-4)
+
+
+def test_words_that_a_full_cache_drops_are_segmented_alike():
+    model = segment.default_model()
+    few, all_ = segment.Words(segment.Pieces(model), most=50), segment.words_for(model)
+    rng = random.Random(1)
+    texts = [" ".join("".join(rng.choice("abtheionré漢,.") for _ in range(rng.randrange(1, 60))) for _ in range(rng.randrange(0, 80))) for _ in range(60)]
+    for _ in range(2):
+        for text in texts:
+            assert [(s, i.tolist()) for s, i in few.segment(text)] == [(s, i.tolist()) for s, i in all_.segment(text)]
+    assert len(few) < 500
+    one_by_one = [all_.segment(t) for t in texts]
+    together = [found for _, found in segment.Words(segment.Pieces(model)).segment_all(texts)]
+    assert [[(s, i.tolist()) for s, i in x] for x in together] == [[(s, i.tolist()) for s, i in x] for x in one_by_one]

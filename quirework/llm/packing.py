@@ -1,13 +1,14 @@
 """Packing: first-fit decreasing over a tournament tree of bin capacities, in randomised groups of documents.
 
 Documents are tokenized where they lie, cut at every multiple of the sequence length, and only the pieces' lengths are
-moved: pieces are dealt at random into groups of about ``GROUP`` and packed group by group. In a group, pieces go in
+moved: documents are dealt at random into groups of about ``GROUP`` pieces and packed group by group. In a group, pieces go in
 descending length to the first bin that still has room; the tree holds the largest room below each node, so that bin is
 found in log2(bins) steps. Groups are independent: a lost one is packed again alone, and memory is bounded by a group.
 """
 
 from __future__ import annotations
 
+import json
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -22,8 +23,15 @@ from pyspark.sql import functions as F
 from .workspace import Workspace, table
 
 LENGTH, END_ID, GROUP = 2048, 1, 4096
-#: Marks that the tokenizer cuts off from letters before them, and from which it takes no ending.
+#: Words of a text that are looked up at a time.
+CHUNK = 1 << 16
+#: Marks that the tokenizer cuts off from letters before them, and from which it takes no ending: those of ASCII but '.
 STOPS = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
+#: Letters that the tokenizer's normaliser turns into one letter, whatever stands beside them: Latin ones, by rule.
+PLAIN = frozenset(c for c in map(chr, range(65, 0x250)) if c.isalpha() and is_normalized("NFC", c) and len(c.lower()) == 1 and c.lower().isalpha())
+#: The rules of a tokenizer by which words, and letters and the marks behind them, have ids of their own.
+NORMALISER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long"
 PACKED = f"{PIECES}, sequence_id long, offset long"
 
@@ -35,40 +43,51 @@ def default_tokenizer() -> str:
 
 
 class WordIds(dict):
-    """Word -> the bytes of its ids. The tokenizer drops white space and never looks across it, so a text's ids are its
-    words' ids one after another; nor does it look from letters to marks behind them, or at the case of letters.
-    Holds at most ``most`` words; long words are not held."""
+    """Word -> the bytes of its ids. A tokenizer of the rules above drops white space and never looks across it, so a
+    text's ids are its words' ids one after another; nor does it look from plain letters to ASCII marks behind them, or
+    at the case of plain letters. Words with other characters are encoded whole; by a tokenizer of other rules, texts
+    are. About ``most`` words are held in two halves: when the newer one is full, the older one goes, but for the words
+    met since. Long words are not held."""
 
-    def __init__(self, path: str, most: int = 1_200_000):
+    def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.older = Tokenizer.from_file(path), most, {}
+        rules = json.loads(self.tokenizer.to_str())
+        inner = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
+        own = rules["model"].get("end_of_word_suffix") == "</w>" and inner[1:] == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
+        # an added token with white space, or one found in letters and marks, would be found across words
+        added = all(not set(x["content"]) & set(" \t\n\r\v\f") and not x["lstrip"] and not x["rstrip"] and any(c.isdigit() or c == "|" for c in x["content"]) for x in rules["added_tokens"])
+        self.by_word = rules["normalizer"] == NORMALISER and inner[0] == SPLIT and own and added
 
-    @staticmethod
-    def parts(word: bytes) -> tuple[str, bytes]:
+    def parts(self, word: bytes) -> tuple[str, bytes]:
         """(letters in lower case, marks behind them), or no letters where the word is not of this form."""
         core = word.rstrip(STOPS)
+        if core.isalpha():  # of ASCII
+            return core.decode().lower(), word[len(core) :]
         text = core.decode()
-        if not text.isalpha() or not (core.isascii() or is_normalized("NFC", text)):
-            return "", word
-        return text.lower() if max(text) < "\u0130" else text, word[len(core) :]
+        if text and PLAIN.issuperset(text):
+            return text.lower(), word[len(core) :]
+        return "", word
 
     def __missing__(self, word: bytes) -> bytes:
-        low, tail = self.parts(word)
-        if not low:
-            ids = self.encode(word.decode())
-        elif tail or low.encode() != word:
-            ids = self[low.encode()] + (self[tail] if tail else b"")
-        else:
-            ids = self.encode(low)
+        ids = self.older.get(word)
+        if ids is None:
+            low, tail = self.parts(word)
+            if not low:
+                ids = self.encode(word.decode())
+            elif tail or low.encode() != word:
+                ids = self[low.encode()] + (self[tail] if tail else b"")
+            else:
+                ids = self.encode(low)
         if len(word) <= 64:
             self[word] = ids
         return ids
 
     def learn(self, words: list[bytes]) -> None:
         """Encodes the letters of new words together: the tokenizer takes each for a word of its own."""
-        parts = {w: self.parts(w) for w in {w for w in words if w not in self}}
-        new = [x for x in {low for low, _ in parts.values()} if x and len(x) <= 20 and x.encode() not in self]
+        parts = {w: self.parts(w) for w in {w for w in words if w not in self and w not in self.older}}
+        new = [x for x in {low for low, _ in parts.values()} if x and len(x) <= 20 and (y := x.encode()) not in self and y not in self.older]
         if len(new) > 1:
             got = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
             ids, at = array("I", got.ids).tobytes(), got.word_ids
@@ -83,34 +102,41 @@ class WordIds(dict):
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def of(self, text: str) -> bytes:
-        if len(self) > self.most:
-            self.clear()
-        words = text.encode().split()
-        self.learn(words)
-        return b"".join(map(self.__getitem__, words))
+        if not self.by_word:
+            return self.encode(text)
+        words, out = text.encode().split(), []
+        for i in range(0, len(words), CHUNK):
+            if len(self) > self.most // 2:
+                self.older = dict(self)
+                self.clear()
+            some = words[i : i + CHUNK]
+            self.learn(some)
+            out.append(b"".join(map(self.__getitem__, some)))
+        return b"".join(out)
 
 
 _held: dict[str, WordIds] = {}
 
 
-def cut_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID) -> DataFrame:
-    """A row for each piece of each document (:data:`PIECES`)."""
+def cut_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id: int = END_ID, seed: int = 0) -> DataFrame:
+    """A row for each piece of each document (:data:`PIECES`), and ``deal``, a random number of the document's row."""
     end = np.array([end_id], dtype="<u4").tobytes()
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _held.get(tokenizer) or _held.setdefault(tokenizer, WordIds(tokenizer))
         for b in batches:
-            cols: list[list] = [[], [], [], [], []]
-            for doc, text in zip(b.column(0).to_pylist(), b.column(1)):
+            cols: list[list] = [[], [], [], [], [], []]
+            for doc, text, deal in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
                 ids = words.of(text.as_py() or "") + end
                 n, view = len(ids) // 4, memoryview(ids)
                 for start in range(0, n, length):
                     part = view[4 * start : 4 * (start + length)]
-                    for c, v in zip(cols, (doc, start, len(part) // 4, zlib.crc32(part), n)):
+                    for c, v in zip(cols, (doc, start, len(part) // 4, zlib.crc32(part), n, deal)):
                         c.append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(cut, PIECES)
+    deal = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
+    return docs.select(F.col("doc_id").cast("long"), "text", deal.alias("deal")).mapInArrow(cut, PIECES + ", deal long")
 
 
 def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.ndarray]:
@@ -138,23 +164,23 @@ def first_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray
     return bins, offsets
 
 
-def pack(pieces: DataFrame, n_pieces: int, length: int = LENGTH, group: int = GROUP, seed: int = 0) -> DataFrame:
-    """``pieces`` (a written table of :data:`PIECES`) with the sequence each lies in and its offset there.
+def pack(pieces: DataFrame, n_pieces: int, length: int = LENGTH, group: int = GROUP) -> DataFrame:
+    """``pieces`` (a written table of :func:`cut_documents`) with the sequence each lies in and its offset there.
     sequence_id is group * 2**32 + bin: unique, not consecutive."""
     groups = max(1, -(-n_pieces // group))
-    dealt = pieces.withColumn("grp", F.pmod(F.xxhash64(F.lit(seed), "doc_id", "start", "ids_crc32"), F.lit(groups)))
+    dealt = pieces.withColumn("grp", F.pmod("deal", F.lit(groups)))
 
     def fit(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["length", "doc_id", "start", "deal"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
         bins, offsets = first_fit_decreasing(pdf["length"].to_numpy(), length)
-        return pdf.assign(sequence_id=pdf["grp"].to_numpy() * 2**32 + bins, offset=offsets).drop(columns="grp")
+        return pdf.assign(sequence_id=pdf["grp"].to_numpy() * 2**32 + bins, offset=offsets).drop(columns=["grp", "deal"])
 
     return dealt.groupBy("grp").applyInPandas(fit, PACKED)
 
 
 def pack_documents(docs: DataFrame, ws: Workspace, tokenizer: str | None = None, length: int = LENGTH) -> DataFrame:
     """Every piece of ``docs`` with its place (:data:`PACKED`). Null and empty texts are the end id alone. Rows that
-    share a doc_id, or have none, are packed each by itself. A text of any length is cut; none is dropped. An empty
+    share a doc_id, or have none, are packed each by itself, and identical rows are dealt apart. A text of any length is cut; none is dropped. An empty
     table gives no rows; other columns are not read."""
     pieces = ws.put("pieces", cut_documents(docs, tokenizer or default_tokenizer(), length))
     return pack(pieces, pieces.count(), length)

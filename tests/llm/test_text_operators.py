@@ -300,3 +300,47 @@ def test_words_that_a_full_cache_drops_are_segmented_alike():
     one_by_one = [all_.segment(t) for t in texts]
     together = [found for _, found in segment.Words(segment.Pieces(model)).segment_all(texts)]
     assert [[(s, i.tolist()) for s, i in x] for x in together] == [[(s, i.tolist()) for s, i in x] for x in one_by_one]
+
+
+def test_packing_ids_are_the_tokenizers():
+    from tokenizers import Tokenizer
+
+    tok, words = Tokenizer.from_file(packing.default_tokenizer()), packing.WordIds(packing.default_tokenizer(), most=3000)
+    whole = lambda t: np.array(tok.encode(t, add_special_tokens=False).ids, "<u4").tobytes()
+    assert words.by_word
+    for c in sorted(packing.PLAIN):  # every letter that is cut off from marks, alone, between others, with a mark
+        for t in (c, f"a{c}b", f"{c}.", f"x{c}...", f"{c}{c.upper()}!?"):
+            assert words.of(t) == whole(t), t
+    rng = random.Random(0)
+    letters = "aZeßéÉÑıİǅǆſΣσςДяäÄŁĐŉǰΐﬁ漢字かなカ한ａＡⅣªº"
+    marks = ".,;:!?'\"()[]{}<|>-_#$%&*+/\\~^`@=¡¿«»…—’“”·„̸̧́̇̈​‍﻿­\u0085  　☃🙂\U0001f3fd"
+    pieces = [*letters, *marks, *"0129٣²", "'s", "'LL", "n't", "<|endoftext|>", "<|startoftext|>", "word", "Café", "Kocaelİ", " ", " ", " ", "\n", "\t", "\x0b", "\x1c", "\x1f"]
+    for _ in range(20_000):
+        t = "".join(rng.choice(pieces) for _ in range(rng.randrange(1, 14)))
+        assert words.of(t) == whole(t), t
+    assert words.of("KOCAELİ, 2 dedİ. İ- " * 3) == whole("KOCAELİ, 2 dedİ. İ- " * 3)
+
+
+def test_packing_with_another_tokenizer(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    text = "Two  words, AND\n more don't"
+    assert not packing.WordIds(path).by_word
+    (row,) = packing.pack_documents(documents(spark, [(1, text)]), Workspace(spark, "t"), tokenizer=path).collect()
+    ids = [*Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids, 1]
+    assert (row.doc_tokens, row.ids_crc32) == (len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+
+
+def test_packing_deals_identical_rows_apart(spark, monkeypatch):
+    monkeypatch.setattr(packing, "GROUP", 40)
+    rows = [(None, None)] * 400
+    df = documents(spark, rows).repartition(4)
+    ws = Workspace(spark, "t")
+    got = packing.pack(ws.put("pieces", packing.cut_documents(df, packing.default_tokenizer())), 400, group=40).collect()
+    sizes = {}
+    for r in got:
+        sizes[r.sequence_id >> 32] = sizes.get(r.sequence_id >> 32, 0) + 1
+    assert sum(sizes.values()) == 400 and len(sizes) == 10 and max(sizes.values()) < 80
+    assert all((r.doc_id, r.length, r.doc_tokens) == (None, 1, 1) for r in got)

@@ -2,7 +2,7 @@
 
 The stream reads the documents' files and groups them by the digest of the whole text. Its state, in RocksDB without
 expiry, holds for each digest how many rows had it, the largest identifier among them and where that row's text lies
-(file and row number). More files can arrive later: the same state goes on. Rows that hit a digest with other rows
+(path of the file and row number). More files can arrive later: the same state goes on. Rows that hit a digest with other rows
 are then checked byte by byte against the text at that place; should a digest ever stand for different texts, these are
 regrouped by the text itself.
 """
@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .workspace import Workspace
+from .workspace import Workspace, settings
 
 #: Files are read in micro-batches of this many bytes at most.
 BATCH_BYTES = 256 << 30
@@ -35,7 +35,7 @@ def sha256(text: Column) -> Column:
 
 def _rows(df: DataFrame, normalise: Callable[[Column], Column], digest: Callable[[Column], Column], text: bool = False) -> DataFrame:
     body = normalise(F.coalesce(F.col("text"), F.lit("")))
-    where = F.struct(F.col("doc_id").alias("doc_id"), F.col("_metadata.file_name").alias("file"), F.col("_metadata.row_index").alias("row"))
+    where = F.struct(F.col("doc_id").alias("doc_id"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.row_index").alias("row"))
     out = df.select(where.alias("spot"), body.alias("body"))
     return out.select("spot", digest(F.col("body")).alias("digest"), *["body"] * text)
 
@@ -56,31 +56,21 @@ class DedupStream:
     def advance(self, path: str, batch_bytes: int = BATCH_BYTES, files: int | None = None) -> None:
         """Takes in the files at ``path`` that the state has not seen, and ends when there are no more."""
         schema = self.spark.read.parquet(path).schema
-        before = {k: self.spark.conf.get(k, None) for k in ROCKSDB}
-        for k, v in ROCKSDB.items():
-            self.spark.conf.set(k, v)
-        try:
+        with settings(self.spark, ROCKSDB):
             reader = self.spark.readStream.schema(schema)
             reader = reader.option("maxFilesPerTrigger", files) if files else reader.option("maxBytesPerTrigger", batch_bytes)
             seen = _rows(reader.parquet(_stream_path(self.spark, path)), self.normalise, self.digest)
             state = seen.groupBy("digest").agg(F.max("spot").alias("keep"), F.count(F.lit(1)).alias("group_size"))
             query = state.writeStream.outputMode("update").format("noop").option("checkpointLocation", self.ws.path("state")).trigger(availableNow=True).start()
             query.awaitTermination()
-        finally:
-            for k, v in before.items():
-                if v is None:
-                    self.spark.conf.unset(k)
-                else:
-                    self.spark.conf.set(k, v)
 
     def state(self) -> DataFrame:
         """digest, keep (doc_id, file, row), group_size."""
-        for k, v in ROCKSDB.items():
-            self.spark.conf.set(k, v)
-        rows = self.spark.read.format("statestore").load(self.ws.path("state")).select(F.col("key.*"), F.col("value.*"))
-        digest, keep, size = rows.columns
-        rows = rows.select(F.col(f"`{digest}`").alias("digest"), F.col(f"`{keep}`").alias("keep"), F.col(f"`{size}`").alias("group_size"))
-        return self.ws.put("groups", rows)
+        with settings(self.spark, ROCKSDB):
+            rows = self.spark.read.format("statestore").load(self.ws.path("state")).select(F.col("key.*"), F.col("value.*"))
+            digest, keep, size = rows.columns
+            rows = rows.select(F.col(f"`{digest}`").alias("digest"), F.col(f"`{keep}`").alias("keep"), F.col(f"`{size}`").alias("group_size"))
+            return self.ws.put("groups", rows)
 
     def resolve(self, path: str) -> DataFrame:
         """A row for each document of ``path``: doc_id, keep_id, group_size, kept, digest."""
@@ -112,7 +102,7 @@ def exact_dedup(spark: SparkSession, path: str, ws: Workspace, **how) -> DataFra
     """Which of the documents in the Parquet files at ``path`` stay: of equal texts, the row with the largest doc_id.
 
     doc_id, keep_id, group_size, kept, digest; one row per row of the input. Null text counts as empty. Rows that share
-    text and doc_id are one group in which the row latest by file name and row number stays. A null doc_id is less than
+    text and doc_id are one group in which the row latest by file path and row number stays. A null doc_id is less than
     any other. Other columns are not read. An empty table gives no rows. Texts of any length are digested whole."""
     stream = DedupStream(spark, ws, **how)
     stream.advance(path)

@@ -119,10 +119,12 @@ def document_frequencies(docs: DataFrame) -> tuple[int, np.ndarray]:
 
 
 def labelled_counts(docs: DataFrame, labels: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Feature counts and labels of the ``most`` labelled documents of least hashed id, outside the held-out fifth."""
+    """Feature counts and labels of the ``most`` labelled documents of least hashed id, outside the held-out fifth. Of
+    rows that share an id, the one of least text counts; of its labels, the least."""
     ids = labels.where(F.col("quality").isin(0, 1) & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.min("quality").alias("quality"))
     ids = ids.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
     rows = docs.select(F.col("doc_id").cast("long"), "text").join(F.broadcast(ids.select(F.col("doc_id").cast("long"), F.col("quality").cast("int"))), "doc_id")
+    rows = rows.groupBy("doc_id", "quality").agg(F.min("text").alias("text"))  # at most ``most`` rows from here on
 
     def sparse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b, x in blocks(batches, 1):
@@ -131,8 +133,7 @@ def labelled_counts(docs: DataFrame, labels: DataFrame, most: int) -> tuple[np.n
                 [b.column(0), b.column(2), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([r[a].tobytes() for a, r in zip(at, x)], pa.binary())], names=["doc_id", "y", "at", "n"]
             )
 
-    got = sorted(rows.select("doc_id", "text", "quality").mapInArrow(sparse, "doc_id long, y int, at binary, n binary").collect(), key=lambda r: (r.doc_id, bytes(r.at)))
-    got = list({r.doc_id: r for r in reversed(got)}.values())[::-1]
+    got = sorted(rows.select("doc_id", "text", "quality").mapInArrow(sparse, "doc_id long, y int, at binary, n binary").collect(), key=lambda r: r.doc_id)
     x = np.zeros((len(got), SIZE), np.float32)
     for row, r in zip(x, got):
         row[np.frombuffer(r["at"], "<u2")] = np.frombuffer(r["n"], np.float32)

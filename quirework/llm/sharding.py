@@ -49,15 +49,17 @@ def lookup_table(shards: tuple[str, ...], size: int = TABLE_SIZE) -> list[int]:
 def assign_shards(df: DataFrame, key: str, shards: tuple[str, ...] = SHARDS, size: int = TABLE_SIZE) -> DataFrame:
     """``df`` with ``slot`` and ``shard``. The table has ``size`` rows whatever the data, so it is broadcast; no row
     of ``df`` is shuffled, and no key, however frequent, meets others in one task. Equal keys get equal shards; a null
-    key is a key of its own; an empty table stays empty. Columns named slot or shard are replaced."""
+    key is a key of its own; an empty table stays empty. Columns named slot or shard are replaced, all others pass, whatever
+    their names."""
     spark = df.sparkSession
     owner = lookup_table(tuple(shards), size)
-    slots = F.broadcast(spark.createDataFrame([(s, shards[i]) for s, i in enumerate(owner)], "__slot long, __shard string"))
+    slots = F.broadcast(spark.createDataFrame([(s, shards[i]) for s, i in enumerate(owner)], "slot long, shard string"))
     hashed = F.pmod(F.xxhash64(F.coalesce(F.concat(F.lit("k"), F.col(f"`{key}`").cast("string")), F.lit(""))), F.lit(size))
     rest = df.drop("slot", "shard")
     if key in ("slot", "shard"):
         raise ValueError(f"the key column can't be named {key}")
-    return rest.withColumn("__slot", hashed).join(slots, "__slot").select(*[F.col(f"`{c}`") for c in rest.columns], F.col("__slot").alias("slot"), F.col("__shard").alias("shard"))
+    rows = rest.select(F.struct(*[F.col(f"`{c}`") for c in rest.columns]).alias("row"), hashed.alias("slot"))
+    return rows.join(slots, "slot").select("row.*", "slot", "shard")
 
 
 def op10_sharding(spark, sf_dir: str) -> DataFrame:

@@ -23,6 +23,7 @@ K, SCALE, EVERY = 5, 256, 50
 #: Queries in a block (with vectors of 64 numbers 4 MB), buckets of a histogram, candidates scored at a time.
 BLOCK, BUCKETS, STEP = 8192, 1024, 512
 SLICE = 2048
+FOUND = "key long, query_id long, vec_id long, score long"
 
 
 def quantise(vector: Column, scale: int = SCALE) -> Column:
@@ -46,12 +47,12 @@ def _matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarr
 
 
 class Block:
-    """Queries of one block: ids and vectors by dimension. Rows are numbered over all dimensions."""
+    """Queries of one block: keys of the query rows, ids and vectors by dimension. Rows are numbered over all dimensions."""
 
-    def __init__(self, ids: np.ndarray, vectors: list[np.ndarray]):
+    def __init__(self, keys: np.ndarray, ids: np.ndarray, vectors: list[np.ndarray]):
         sizes = np.array([len(v) for v in vectors])
         order = np.argsort(sizes, kind="stable")
-        self.ids, self.by = ids[order], {}
+        self.keys, self.ids, self.by = keys[order], ids[order], {}
         for d in np.unique(sizes):
             rows = np.flatnonzero(sizes[order] == d)
             self.by[int(d)] = (int(rows[0]), np.stack([vectors[i] for i in order[rows]]).astype(np.float64).reshape(len(rows), int(d)))
@@ -140,7 +141,7 @@ def _at_least(block: Block, least: np.ndarray, k: int):
         settle()
         if held:
             q, ids, v = held[0]
-            yield pa.RecordBatch.from_arrays([pa.array(block.ids[q]), pa.array(ids), pa.array(v.astype(np.int64))], names=["query_id", "vec_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(block.keys[q]), pa.array(block.ids[q]), pa.array(ids), pa.array(v.astype(np.int64))], names=["key", "query_id", "vec_id", "score"])
 
     return run
 
@@ -162,7 +163,7 @@ def _search_block(rows: DataFrame, block: Block, reach: float, k: int) -> DataFr
         short = above < k  # fewer than k rows in all: everything counts
         low[short] = -reach
         if (short | (width == 1)).all():
-            return rows.mapInArrow(_at_least(block, low, k), "query_id long, vec_id long, score long")
+            return rows.mapInArrow(_at_least(block, low, k), FOUND)
 
 
 def top_k(rows: DataFrame, queries: DataFrame, ws: Workspace, k: int = K, block: int = BLOCK) -> DataFrame:
@@ -170,22 +171,27 @@ def top_k(rows: DataFrame, queries: DataFrame, ws: Workspace, k: int = K, block:
 
     ``rows`` and ``queries``: vec_id long and vector, an array of whole numbers as doubles; null vectors take no part. A
     query is scored against all rows but those of its own vec_id and those of another dimension. A query with fewer than
-    ``k`` such rows gets all of them, one with none has no row in the result; repeated rows of a vec_id count each.
-    Inner products must stay below 2**53, where doubles are exact. An empty table gives no rows."""
-    rows, queries = (ws.put(name, df.select(F.col("vec_id").cast("long"), "vector").where("vec_id IS NOT NULL AND vector IS NOT NULL")) for name, df in (("rows", rows), ("queries", queries)))
+    ``k`` such rows gets all of them, one with none has no row in the result; repeated rows of a vec_id count each, and
+    each of several query rows that share a vec_id has ranks of its own. Other columns are not read. Inner products must
+    stay below 2**53, where doubles are exact: longer vectors raise ValueError. An empty table gives no rows."""
+    rows, queries = (df.select(F.col("vec_id").cast("long"), "vector").where("vec_id IS NOT NULL AND vector IS NOT NULL") for df in (rows, queries))
+    rows = ws.put("rows", rows)
+    queries = ws.put("queries", queries.withColumn("key", F.monotonically_increasing_id()))
     reach = rows.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
-    found = ws.spark.createDataFrame([], "query_id long, vec_id long, score long")
-    last, at = None, 0
-    while reach is not None:
-        rest = queries if last is None else queries.where(F.col("vec_id") > last)
-        got = rest.dropDuplicates(["vec_id"]).orderBy("vec_id").limit(block).collect()  # at most a block
-        if not got:
-            break
-        last = got[-1].vec_id
-        made = Block(np.array([r.vec_id for r in got]), [np.array(r.vector) for r in got])
-        found = found.unionByName(ws.put(f"found{at}", _search_block(rows, made, float(reach), k)))
+    longest = queries.agg(F.max(F.aggregate("vector", F.lit(0.0), lambda a, x: a + x * x))).first()[0]
+    if reach is None or longest is None:
+        return ws.spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    reach = max(reach, longest)
+    if reach >= 1 << 53:
+        raise ValueError("inner products of these vectors may reach 2**53")
+    last, at = -1, 0
+    while got := queries.where(F.col("key") > last).orderBy("key").limit(block).collect():  # at most a block
+        last = got[-1].key
+        made = Block(np.array([r.key for r in got]), np.array([r.vec_id for r in got]), [np.array(r.vector) for r in got])
+        ws.put(f"found/block={at}", _search_block(rows, made, float(reach), k))
         at += 1
-    order = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    found = ws.spark.read.schema(FOUND).parquet(ws.path("found"))
+    order = W.partitionBy("key").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

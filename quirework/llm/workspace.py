@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -11,43 +14,73 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; where that is unset (tests on one machine) a temporary folder."""
+    """The folder in spark.checkpoint.dir, or the context's checkpoint folder. Where neither is set and executors run in
+    the driver's own process (tests), a temporary folder; on a cluster that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        found = spark.sparkContext._jsc.sc().getCheckpointDir()
-        if found.isDefined():
-            return found.get()
-        folder = tempfile.mkdtemp(prefix="quirework-")
-        spark.sparkContext.setCheckpointDir(folder)
-        folder = spark.sparkContext._jsc.sc().getCheckpointDir().get()
-    return folder
+    if folder:
+        return folder
+    found = spark.sparkContext._jsc.sc().getCheckpointDir()
+    if found.isDefined():
+        return found.get()
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+    spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="quirework-"))
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
+@contextmanager
+def settings(spark: SparkSession, values: dict[str, str]) -> Iterator[None]:
+    """The session with ``values``, and as it was afterwards."""
+    before = {k: spark.conf.get(k, None) for k in values}
+    for k, v in values.items():
+        spark.conf.set(k, v)
+    try:
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 class Workspace:
     """Tables of one run. A written table cuts lineage: a lost executor costs its running tasks only,
-    and the shuffle files behind a table go as soon as it is written."""
+    and the shuffle files behind a table go as soon as it is written. All tables go at the end of a ``with`` block, or
+    else when the driver ends: results that read them must be written by then."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
         self.root = f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+        self._path, self._conf = spark._jvm.org.apache.hadoop.fs.Path, spark.sparkContext._jsc.hadoopConfiguration()
+        atexit.register(self._leave)
+
+    def __enter__(self) -> Workspace:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.drop()
+        atexit.unregister(self._leave)
+
+    def _leave(self) -> None:
+        try:
+            self.drop()
+        except Exception:  # the JVM may have ended before
+            pass
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
 
     def put(self, name: str, df: DataFrame) -> DataFrame:
-        before = self.spark.conf.get(CLEANUP)
-        self.spark.conf.set(CLEANUP, "true")
-        try:
+        with settings(self.spark, {CLEANUP: "true"}):
             df.write.mode("overwrite").parquet(self.path(name))
-        finally:
-            self.spark.conf.set(CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
-    def drop(self, name: str = "") -> None:
-        """Deletes a table that nothing needs any more (all of them without a name)."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
-        path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    def drop(self, *names: str) -> None:
+        """Deletes tables that nothing needs any more (all of them without a name)."""
+        for name in names or ("",):
+            path = self._path(self.path(name) if name else self.root)
+            path.getFileSystem(self._conf).delete(path, True)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -213,3 +213,80 @@ def test_assign_shards(spark):
     assert len(got) == 4 and all(r.shard == sharding.SHARDS[owner[r.slot]] for r in got)
     assert len({r.shard for r in got if r.doc_id == 1}) == 1
     assert sharding.assign_shards(df.limit(0), "doc_id").collect() == []
+
+
+def test_equally_named_files_of_two_folders(spark, tmp_path):
+    """Rows at the same place of files with the same name are two rows."""
+    import shutil
+
+    for folder in ("p=1", "p=2"):
+        documents(spark, [(1, "same")]).coalesce(1).write.parquet(f"{tmp_path}/docs/{folder}")
+    names = [next((tmp_path / "docs" / f).glob("*.parquet")) for f in ("p=1", "p=2")]
+    shutil.move(names[0], names[0].with_name("x.parquet"))
+    shutil.move(names[1], names[1].with_name("x.parquet"))
+    path = f"{tmp_path}/docs"
+    before = spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    got = exact_dedup.exact_dedup(spark, path, Workspace(spark, "t")).collect()
+    assert sorted((r.doc_id, r.keep_id, r.group_size, r.kept) for r in got) == [(1, 1, 2, False), (1, 1, 2, True)]
+    assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == before
+
+
+def test_queries_that_share_an_id_have_ranks_of_their_own(spark):
+    df = spark.createDataFrame([(0, [1.0]), (0, [-1.0]), (1, [3.0]), (2, [2.0])], "vec_id long, vector array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(df, df.where("vec_id = 0"), Workspace(spark, "t"), block=1).collect())
+    assert got == [(0, 1, 1, 3), (0, 1, 2, -2), (0, 2, 1, -3), (0, 2, 2, 2)]
+    with pytest.raises(ValueError):
+        topk.top_k(spark.createDataFrame([(0, [1e9])], df.schema), df, Workspace(spark, "t"))
+
+
+def test_columns_named_as_helpers_pass(spark):
+    names = ["row", "slot2", "__slot", "__shard", "url", "said", "n", "gram", "key", "drops", "lines", "body", "__id", "__drops", "__kept", "__lines", "__row", "__n", "__said", "holder", "pos"]
+    long = "A line that is long enough to be counted"
+    df = spark.createDataFrame([(i, f"x://a.fr/{i}", f"{long}\n{i}", *names) for i in range(4)], ", ".join(["doc_id long", "url string", "text string", *[f"{n}_ string" for n in names]]))
+    df = df.select("doc_id", "text", *[F.col(f"{n}_").alias(n) if n != "url" else F.col("url") for n in names])
+    rest = lambda out: {(r.doc_id, *(r[n] for n in names if n != "url")) for r in out.collect()}
+    want = {(i, *(n for n in names if n != "url")) for i in range(4)}
+    assert rest(sharding.assign_shards(df, "doc_id")) == want
+    assert rest(url_filter.filter_urls(df, Workspace(spark, "t"))) == want
+    from quirework.llm import line_dedup
+
+    out = line_dedup.dedup_lines(df, Workspace(spark, "t"))
+    assert rest(out) == want and out.columns == [*df.columns, "n_lines", "n_dropped"]
+    assert {(r.doc_id, r.text) for r in out.collect()} == {(3, f"{long}\n3"), (2, "2"), (1, "1"), (0, "0")}
+
+
+def test_very_long_urls_take_linear_time(spark):
+    import time
+
+    rows = [(1, "http://x.net/de/" + "ab" * 200), (2, "http://x.com/en/" + "cd" * 200), (3, "http://x.fr/" + "abcd" * 250_000)]
+    df = spark.createDataFrame(rows, "page_id long, url string")
+    began = time.time()
+    got = {r.page_id: r for r in url_filter.filter_urls(df, Workspace(spark, "t")).collect()}
+    assert got[3].path == "/" + "abcd" * 250_000 and got[3].score is not None
+    assert time.time() - began < 60
+
+
+def test_url_threshold_is_the_best_cut(spark):
+    rows = [(-1.5, "block", 3), (-0.25, "block", 1), (0.5, "allow", 2), (0.75, "block", 1), (2.0, "allow", 4)]
+    df = spark.createDataFrame(rows, "score double, verdict string, n long")
+    least = url_filter.threshold(df)
+    good = lambda t: sum(n for s, v, n in rows if v == "allow" and s >= t) / 6 + sum(n for s, v, n in rows if v == "block" and s < t) / 5
+    assert good(least) == max(good(s + d) for s, _, _ in rows for d in (-0.01, 0.01)) and -0.25 < least <= 0.5
+    assert url_filter.threshold(df.where("verdict = 'allow'")) == 0 == url_filter.threshold(df.limit(0))
+
+
+def test_quality_with_an_id_that_many_rows_share(spark):
+    docs = documents(spark, [(1, f"word{i} good") for i in range(500)] + [(2, "bad###")])
+    labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0)], "doc_id long, quality int, toxic int")
+    x, y = quality.labelled_counts(docs, labels, 10)
+    assert len(y) == len(x) <= 2
+
+
+def test_a_workspace_leaves_nothing(spark):
+    import os
+
+    with Workspace(spark, "t") as ws:
+        ws.put("x", spark.range(3))
+        root = ws.root.removeprefix("file:")
+        assert os.path.exists(root)
+    assert not os.path.exists(root)

@@ -29,6 +29,8 @@ UNIT = 1 << 20
 BUCKETS, PER = 2048, 64
 #: Windows of four characters whose table is broadcast: at most so many (under 40 MB); beyond it the join is shuffled.
 BROADCAST_WINDOWS = 500_000
+#: URLs whose scores are broadcast: at most so many and, all together, bytes.
+BROADCAST_URLS, BROADCAST_URL_BYTES = 200_000, 32 << 20
 
 
 def host_of(url: Column) -> Column:
@@ -50,15 +52,20 @@ def match_rules(host: Column, path: Column, rules=RULES) -> tuple[Column, Column
 
 
 def windows(url: Column) -> Column:
-    """Each character with the ORDER before it; none for an empty or null URL."""
-    padded = F.concat(F.lit(PAD * ORDER), url, F.lit(END))
-    return F.when(F.length(url) > 0, F.transform(F.sequence(F.lit(1), F.length(url) + 1), lambda i: F.substring(padded, i, F.lit(ORDER + 1))))
+    """Each character with the ORDER before it; none for an empty or null URL. The URL is cut into characters once, and
+    the array is put beside itself, shifted: the work is linear in its length."""
+    chars = F.split(F.concat(F.lit(PAD * ORDER), url, F.lit(END)), "")
+    grams = F.slice(chars, F.lit(1), F.length(url) + 1)
+    for k in range(1, ORDER + 1):
+        grams = F.zip_with(grams, F.slice(chars, F.lit(k + 1), F.length(url) + 1), lambda a, b: F.concat(a, b))
+    return F.when(F.length(url) > 0, grams)
 
 
 def train(labelled: DataFrame, ws: Workspace) -> DataFrame:
-    """(gram, acc, rej): counts of four-character windows in URLs with verdict allow and block."""
-    grams = labelled.select("verdict", F.explode(windows(F.col("url"))).alias("gram"))
-    count = lambda v: F.sum(F.when(F.col("verdict") == v, 1).otherwise(0))
+    """(gram, acc, rej): counts of four-character windows in URLs (url, verdict, and n, how often each occurs) with
+    verdict allow and block."""
+    grams = labelled.select("verdict", "n", F.explode(windows(F.col("url"))).alias("gram"))
+    count = lambda v: F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0))
     return ws.put("counts", grams.groupBy("gram").agg(count("allow").alias("acc"), count("block").alias("rej")))
 
 
@@ -69,12 +76,14 @@ def ratios(seen: DataFrame, counts: DataFrame) -> DataFrame:
     for k in range(ORDER + 1):
         suffix = lambda g, n=k + 1: F.substring(g, ORDER + 2 - n, n)
         grams = counts.groupBy(suffix(F.col("gram")).alias(f"g{k}")).agg(F.sum("acc").alias(f"acc{k}"), F.sum("rej").alias(f"rej{k}"))
-        context = F.substring(F.col(f"g{k}"), 1, k) if k else F.lit("")
-        totals = grams.groupBy(context.alias(f"c{k}")).agg(
-            *[f(c).alias(f"{n}_{c[:3]}{k}") for c in (f"acc{k}", f"rej{k}") for n, f in (("n", F.sum), ("t", lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))))]
-        )
-        rows = rows.withColumn(f"g{k}", suffix(F.col("gram"))).withColumn(f"c{k}", F.substring(F.col(f"g{k}"), 1, k) if k else F.lit(""))
-        rows = rows.join(grams, f"g{k}", "left").join(totals, f"c{k}", "left")
+        context = F.substring(F.col(f"g{k}"), 1, k)
+        sums = [f(c).alias(f"{n}_{c[:3]}{k}") for c in (f"acc{k}", f"rej{k}") for n, f in (("n", F.sum), ("t", lambda c: F.sum(F.when(F.col(c) > 0, 1).otherwise(0))))]
+        rows = rows.withColumn(f"g{k}", suffix(F.col("gram"))).join(grams, f"g{k}", "left")
+        if k:
+            rows = rows.withColumn(f"c{k}", F.substring(F.col(f"g{k}"), 1, k)).join(grams.groupBy(context.alias(f"c{k}")).agg(*sums), f"c{k}", "left")
+        else:  # one context, the empty one: four numbers
+            whole = grams.agg(*sums).first().asDict()
+            rows = rows.select("*", *[F.lit(v or 0).cast("long").alias(c) for c, v in whole.items()])
         for c in p:
             n, t = (F.coalesce(F.col(f"{x}_{c}{k}"), F.lit(0)) for x in "nt")
             p[c] = F.when(n + t > 0, (F.coalesce(F.col(f"{c}{k}"), F.lit(0)) + t * p[c]) / (n + t)).otherwise(p[c])
@@ -84,11 +93,11 @@ def ratios(seen: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def threshold(scored: DataFrame) -> float:
-    """The score with the best mean of the shares of accepted URLs at or above it and of rejected ones below it, halfway
+    """From (score, verdict, n): the score with the best mean of the shares of accepted URLs at or above it and of rejected ones below it, halfway
     between two buckets that have URLs; of equals, the one nearest to 0. 0 where one side has no held-out URL. Only the histogram (at most BUCKETS * 2
     rows) is ordered."""
     bucket = F.least(F.greatest(F.floor(F.col("score") * PER), F.lit(-BUCKETS)), F.lit(BUCKETS))
-    rows = scored.groupBy(bucket.alias("b")).agg(*[F.sum(F.when(F.col("verdict") == v, 1).otherwise(0)).alias(v) for v in ("allow", "block")])
+    rows = scored.groupBy(bucket.alias("b")).agg(*[F.sum(F.when(F.col("verdict") == v, F.col("n")).otherwise(0)).alias(v) for v in ("allow", "block")])
     hist = sorted(rows.collect())
     allow, block = sum(r.allow for r in hist), sum(r.block for r in hist)
     if not allow or not block:
@@ -106,32 +115,38 @@ def filter_urls(pages: DataFrame, ws: Workspace, rules=RULES) -> DataFrame:
     """``pages`` with host, path, rule, score (null where a rule decides) and verdict.
 
     Null URLs and such without ``://`` have empty host and path; a null or empty URL scores 0. Long URLs are scored
-    whole. Repeated rows are judged alike. An empty table stays empty; without rules that fit, no model can be learned,
-    every ratio is 0 and the verdict is allow. Columns named as the results are replaced, others pass unchanged. A host
-    or URL that a third of all rows share is no key of any shuffle: windows are counted map-side, and a URL's sum is
-    made in the task that holds it."""
+    whole, in time linear in their length. Repeated rows are judged alike. An empty table stays empty; without rules that
+    fit, no model can be learned, every ratio is 0 and the verdict is allow. Columns named as the results are replaced,
+    others pass unchanged, whatever their names. URLs are counted map-side first, so models and scores are made once for
+    each different URL, and no other column of ``pages`` takes part. Scores go back to the rows by a broadcast of the
+    URLs that no rule decides, or, where these are too many or too long, by a plain shuffled join, whose skewed partitions
+    Spark splits at run time."""
     kept = pages.drop("host", "path", "rule", "score", "verdict")
-    rule, verdict = match_rules(F.col("host"), F.col("path"), rules)
-    judged = kept.withColumn("host", host_of(F.col("url"))).withColumn("path", path_of(F.col("url")))
-    judged = judged.withColumn("rule", rule).withColumn("__said", verdict)
-    slim = judged.select(F.col("url"), F.col("__said").alias("verdict"), (F.pmod(F.crc32(F.coalesce(F.col("url"), F.lit("")).cast("binary")), F.lit(5)) == 0).alias("held"))
-    decided = ws.put("decided", slim.where("verdict IS NOT NULL"))
+    url = F.coalesce(F.col("url"), F.lit(""))
+    counted = ws.put("urls", pages.groupBy(url.alias("url")).agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    _, said = match_rules(host_of(F.col("url")), path_of(F.col("url")), rules)
+    counted = counted.select("id", "url", "n", said.alias("verdict"), (F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5)) == 0).alias("held"))
+    decided, free = counted.where("verdict IS NOT NULL"), counted.where("verdict IS NULL")
     counts = train(decided.where("NOT held"), ws)
-    seen = judged.select(F.explode(windows(F.col("url"))).alias("gram")).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    seen = counted.where("verdict IS NULL OR held").select(F.explode(windows(F.col("url"))).alias("gram")).distinct()
     model = ws.put("ratios", ratios(ws.put("windows", seen), counts))
     few = model.count() <= BROADCAST_WINDOWS
 
-    def score(df: DataFrame) -> DataFrame:
-        names = [F.col(f"`{c}`") for c in df.columns]
-        rows = df.select(F.struct(*names).alias("__row"), F.monotonically_increasing_id().alias("__n"))
-        rows = rows.select("__row", "__n", F.explode_outer(windows(F.col("__row.url"))).alias("gram"))
-        summed = rows.join(F.broadcast(model) if few else model, "gram", "left").groupBy("__n").agg(F.first("__row").alias("__row"), F.sum("delta").alias("__sum"), F.count("gram").alias("__len"))
-        return summed.select("__row.*", F.when(F.col("__len") > 0, F.coalesce(F.col("__sum"), F.lit(0)) / F.col("__len") / UNIT).otherwise(0.0).alias("score"))
+    def score(urls: DataFrame) -> DataFrame:
+        """(id, verdict, n, score); a window's row has no more than these of its URL."""
+        rows = urls.select("id", "verdict", "n", F.explode_outer(windows(F.col("url"))).alias("gram"))
+        summed = rows.join(F.broadcast(model) if few else model, "gram", "left").groupBy("id", "verdict", "n").agg(F.sum("delta").alias("sum"), F.count("gram").alias("size"))
+        return summed.select("id", "verdict", "n", F.when(F.col("size") > 0, F.coalesce("sum", F.lit(0)) / F.col("size") / UNIT).otherwise(0.0).alias("score"))
 
     least = threshold(score(decided.where("held")))
-    open_ = score(judged.where("__said IS NULL")).withColumn("verdict", F.when(F.col("score") >= least, "allow").otherwise("block")).drop("__said")
-    ruled = judged.where("__said IS NOT NULL").withColumn("score", F.lit(None).cast("double")).withColumn("verdict", F.col("__said")).drop("__said")
-    return ruled.unionByName(open_)
+    scores = ws.put("scores", free.select("id", "url").join(score(free).select("id", "score"), "id").select("url", "score"))
+    rule, said = match_rules(F.col("host"), F.col("path"), rules)
+    rows = pages.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row"), url.alias("url"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    rows = rows.select("row", "url", "host", "path", rule.alias("rule"), said.alias("verdict"))
+    n, size = scores.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("url")), F.lit(0))).first()
+    joined = rows.join(F.broadcast(scores) if n <= BROADCAST_URLS and size <= BROADCAST_URL_BYTES else scores, "url", "left")
+    verdict = F.coalesce("verdict", F.when(F.col("score") >= least, "allow").otherwise("block"))
+    return joined.select("row.*", "host", "path", "rule", "score", verdict.alias("verdict"))
 
 
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -344,3 +344,24 @@ def test_packing_deals_identical_rows_apart(spark, monkeypatch):
         sizes[r.sequence_id >> 32] = sizes.get(r.sequence_id >> 32, 0) + 1
     assert sum(sizes.values()) == 400 and len(sizes) == 10 and max(sizes.values()) < 80
     assert all((r.doc_id, r.length, r.doc_tokens) == (None, 1, 1) for r in got)
+
+
+def test_line_dedup_of_long_documents_is_linear(spark):
+    import time
+
+    lines = [f"This line number {i} is long enough" for i in range(100_000)]
+    df = documents(spark, [(i, "\n".join([*lines, f"own {i}"])) for i in range(3)])
+    began = time.time()
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.text) for r in line_dedup.dedup_lines(df, Workspace(spark, "t")).select("doc_id", "n_lines", "n_dropped", "text").collect()}
+    assert got == {0: (100_001, 100_000, "own 0"), 1: (100_001, 100_000, "own 1"), 2: (100_001, 0, "\n".join([*lines, "own 2"]))}
+    assert time.time() - began < 60
+
+
+def test_lines_of_rows_that_share_an_id(spark):
+    """Two rows of one doc_id are one holder."""
+    line = "This line is long enough to go"
+    two = documents(spark, [(1, line), (1, f"{line}\nx"), (2, line)])
+    assert all(r.n_dropped == 0 for r in line_dedup.dedup_lines(two, Workspace(spark, "t")).collect())
+    three = documents(spark, [(1, line), (1, f"{line}\nx"), (2, line), (None, line), (3, f"y\n{line}\n{line}")])
+    got = sorted((str(r.doc_id), r.n_dropped, r.text) for r in line_dedup.dedup_lines(three, Workspace(spark, "t")).collect())
+    assert got == [("1", 1, ""), ("1", 1, "x"), ("2", 1, ""), ("3", 0, f"y\n{line}\n{line}"), ("None", 1, "")]

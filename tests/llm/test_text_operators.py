@@ -365,3 +365,34 @@ def test_lines_of_rows_that_share_an_id(spark):
     three = documents(spark, [(1, line), (1, f"{line}\nx"), (2, line), (None, line), (3, f"y\n{line}\n{line}")])
     got = sorted((str(r.doc_id), r.n_dropped, r.text) for r in line_dedup.dedup_lines(three, Workspace(spark, "t")).collect())
     assert got == [("1", 1, ""), ("1", 1, "x"), ("2", 1, ""), ("3", 0, f"y\n{line}\n{line}"), ("None", 1, "")]
+
+
+def test_one_row_of_each_component_stays(spark):
+    a, b, c = ("first text with more words than five", "quite another text of some length here", "the third of them is not like the others")
+    rows = [(0, a), (1, a), (1, b), (2, c), (2, c), (3, None), (3, None), (None, a)]
+    df = documents(spark, rows, "row string")
+    got = sorted((str(r.doc_id), r.text or "") for r in ngram_join.keep_one(df, Workspace(spark, "t")).collect())
+    assert got == sorted([("0", a), ("1", b), ("2", c), ("3", ""), ("3", ""), ("None", a)])
+    assert ngram_join.keep_one(df.limit(0), Workspace(spark, "t")).collect() == []
+
+
+@pytest.mark.parametrize("seed", [2, 3])
+def test_crowded_families_are_brute_force(spark, seed, monkeypatch):
+    """A large group of near copies, shingles that many sets have, and sets beside them that link with few."""
+    monkeypatch.setattr(ngram_join, "HOT_DF", 4)
+    monkeypatch.setattr(ngram_join, "CROWD", 6)
+    monkeypatch.setattr(ngram_join, "BLOCK", 5)
+    monkeypatch.setattr(ngram_join, "CELL", 7)
+    rng = random.Random(seed)
+    base, passage = prose(rng, 60, 900).split(), prose(rng, 30, 900)
+    rows = []
+    for i in range(70):
+        w = list(base)
+        for _ in range(rng.randrange(0, 3 if i % 3 else 6)):
+            w[rng.randrange(len(w))] = f"n{rng.randrange(50)}"
+        rows.append((i, " ".join(w) if i % 4 else passage + " " + " ".join(w[: rng.randrange(1, 60)])))
+    got = ngram_join.ngram_components(documents(spark, rows), Workspace(spark, "t")).collect()
+    sets = {i: shingles(t) for i, t in rows}
+    want = components(sets)
+    assert len(set(want.values())) > 5
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}

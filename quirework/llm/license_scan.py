@@ -9,7 +9,7 @@ no unique word in common, its equal words at both ends are taken. Coverage is th
 from __future__ import annotations
 
 import re
-from bisect import bisect_left
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -104,6 +104,7 @@ class Scanner:
                         self.keys.setdefault(w, []).append((name, i))
             self.need[name] = len(t) - most
         self.vocabulary = frozenset(self.keys)
+        self.own, self.counts = {name: frozenset(t) for name, t in self.words.items()}, {name: Counter(t) for name, t in self.words.items()}
 
     def scan(self, text: str) -> list[tuple[str, int, int, int]]:
         """(template, first word, end word, words matched), without overlap within a template."""
@@ -111,51 +112,64 @@ class Scanner:
         hits = self.vocabulary.intersection(words)
         if not hits:
             return []
-        taken: dict[str, list[tuple[int, int]]] = {}
-        out = self._around(words, hits, None, taken)
-        # what was interrupted by foreign words, closed up: each template's own words only
-        for name in sorted({name for w in hits for name, _ in self.keys[w]}):
-            own, spans = frozenset(self.words[name]), taken.get(name, [])
-            free = bytearray(b"\1") * len(words)
-            for a, b in spans:
-                free[a:b] = bytes(b - a)
-            at = [i for i, w in enumerate(words) if w in own and free[i]]
+        names = sorted({name for w in hits for name, _ in self.keys[w]})
+        # places of each template's words
+        places = {name: [i for i, w in enumerate(words) if w in self.own[name]] for name in names}
+        begins: dict[str, Counter] = {}
+        for i, w in enumerate(words):
+            if w in hits:
+                for name, j in self.keys[w]:
+                    begins.setdefault(name, Counter())[i - j] += 1
+        out = []
+        for name in names:
+            at = places[name]
             if len(at) < self.need[name]:
                 continue
-            for cut in self._free(at, spans):
-                for _, first, last, n in self._around([words[i] for i in cut], hits, name, {}):
-                    out.append((name, cut[first], cut[last - 1] + 1, n))
+            found = self._around(words, name, begins[name], at)
+            out += [(name, *x) for x in found]
+            # what was interrupted by foreign words, closed up: the template's own words only
+            for cut in self._free(at, [x[:2] for x in found]):
+                if len(cut) >= self.need[name]:
+                    some = [words[i] for i in cut]
+                    votes = Counter(i - j for i, w in enumerate(some) if w in hits for other, j in self.keys[w] if other == name)
+                    out += [(name, cut[first], cut[last - 1] + 1, n) for first, last, n in self._around(some, name, votes, None)]
         return sorted(out, key=lambda x: (x[1], x[0]))
 
     @staticmethod
     def _free(at: list[int], spans: list[tuple[int, int]]) -> list[list[int]]:
-        """Positions, apart where a span lies between them."""
-        ends = [0, *(bisect_left(at, i) for i, _ in sorted(spans)), len(at)]
-        return [at[i:j] for i, j in zip(ends, ends[1:]) if i < j]
-
-    def _around(self, words: list[str], hits: frozenset[str], only: str | None, spans: dict[str, list[tuple[int, int]]]) -> list[tuple[str, int, int, int]]:
-        """What aligns around the places that the words of ``hits`` propose; ``spans`` gets the places by template."""
-        begins: dict[str, Counter] = {}
-        for i, w in enumerate(words):
-            if w in hits:
-                for name, j in self.keys[w]:
-                    if only is None or name == only:
-                        begins.setdefault(name, Counter())[i - j] += 1
-        out = []
-        for name, votes in begins.items():
-            t = self.words[name]
-            slack, taken = max(2, len(t) // 4), spans.setdefault(name, [])
-            for begin, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
-                a, b = max(0, begin - slack), min(len(words), begin + len(t) + slack)
-                for i, j in taken:  # what a better start has taken is left alone
-                    a, b = (max(a, j), b) if i <= max(begin, 0) else (a, min(b, i))
-                if b - a < self.need[name]:
-                    continue
-                part = patience(words[a:b], t)
-                if len(part) >= self.need[name]:
-                    span = (a + part[0][0], a + part[-1][0] + 1)
-                    taken.append(span)
-                    out.append((name, *span, len(part)))
+        """Positions outside spans, apart where a span lies between them."""
+        out, last = [], 0
+        for i, j in sorted(spans):
+            out.append(at[last : bisect_left(at, i)])
+            last = bisect_left(at, j)
+        return [x for x in [*out, at[last:]] if x]
+
+    def _around(self, words: list[str], name: str, votes: Counter, at: list[int] | None) -> list[tuple[int, int, int]]:
+        """What aligns around the places that ``votes`` propose, best first; ``at``: the places of the template's words
+        (None: all words are of the template). A place is aligned only if the words around it that no better place has
+        taken hold enough words of the template, and a span that is tried again with the same ends is not."""
+        t, need, out = self.words[name], self.need[name], []
+        slack = max(2, len(t) // 4)
+        starts, ends, tried = [], [], set()  # of the spans taken, in order
+        for begin, _ in sorted(votes.items(), key=lambda x: (-x[1], x[0])):
+            a, b = max(0, begin - slack), min(len(words), begin + len(t) + slack)
+            k = bisect_right(starts, max(begin, 0))
+            if k:
+                a = max(a, ends[k - 1])
+            if k < len(starts):
+                b = min(b, starts[k])
+            if b - a < need or (at is not None and bisect_left(at, b) - bisect_left(at, a) < need) or (a, b) in tried:
+                continue
+            tried.add((a, b))
+            if (Counter(words[a:b]) & self.counts[name]).total() < need:
+                continue
+            part = patience(words[a:b], t)
+            if len(part) >= need:
+                first, last = a + part[0][0], a + part[-1][0] + 1
+                k = bisect_left(starts, first)
+                starts.insert(k, first)
+                ends.insert(k, last)
+                out.append((first, last, len(part)))
         return out
 
 

@@ -396,3 +396,54 @@ def test_crowded_families_are_brute_force(spark, seed, monkeypatch):
     want = components(sets)
     assert len(set(want.values())) > 5
     assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == {i: (len(sets[i]), want[i]) for i in sets}
+
+
+def test_license_scan_finds_what_every_window_does():
+    """A template is found in a text if and only if patience alignment covers enough of it in some window."""
+    rng = random.Random(0)
+    templates = {"one": "the quick brown fox jumps over the lazy dog today", "two": "this text may be copied by any person for the good of all and for any use", "short": "copied by any person"}
+    scanner = license_scan.Scanner(templates, 0.8)
+    hits = 0
+    for _ in range(400):
+        words = []
+        while len(words) < 40:
+            kind = rng.randrange(4)
+            if kind:
+                words += [f"f{rng.randrange(20)}" for _ in range(rng.randrange(6))]
+            if kind != 1:
+                t = templates[rng.choice(list(templates))].split()
+                for _ in range(rng.randrange(4)):
+                    i = rng.randrange(len(t))
+                    t[i : i + rng.randrange(2)] = [] if rng.random() < 0.5 else [rng.choice(["fox", "any", "zzz"])]
+                words += t
+        found = scanner.scan(" ".join(words))
+        for name, t in scanner.words.items():
+            slack = max(2, len(t) // 4)
+            best = max(len(license_scan.patience(words[a : a + len(t) + k], t)) for a in range(len(words)) for k in (-slack, 0, slack))
+            some = [x for x in found if x[0] == name]
+            hits += len(some)
+            if best >= scanner.need[name]:
+                assert some, (name, words)
+            assert all(n >= scanner.need[name] and n <= b - a for _, a, b, n in some)
+            spans = sorted(x[1:3] for x in some)
+            assert all(b <= c for (_, b), (c, _) in zip(spans, spans[1:]))
+            for _, a, b, n in some:  # what is stated can be aligned there
+                assert len(license_scan.patience([w for w in words[a:b] if w in scanner.own[name]], t)) >= n or len(license_scan.patience(words[a:b], t)) >= n
+    assert hits > 300
+
+
+def test_license_scan_of_odd_rows(spark):
+    mit = license_scan.TEMPLATES["MIT"]
+    rows = [(None, mit), (1, mit), (1, mit), (2, f"{mit} {license_scan.TEMPLATES['GPL-3.0']}"), (3, None)]
+    got = sorted(((str(r.doc_id), r.license, r.start) for r in license_scan.scan_licenses(documents(spark, rows, "start int")).collect()))
+    assert got == [("1", "MIT", 0), ("1", "MIT", 0), ("2", "GPL-3.0", 5), ("2", "MIT", 0), ("None", "MIT", 0)]
+    assert license_scan.scan_licenses(documents(spark, [])).collect() == []
+
+
+def test_license_scan_of_very_long_texts():
+    import time
+
+    scanner = license_scan.Scanner(license_scan.TEMPLATES, license_scan.COVERAGE)
+    began, n = time.time(), 16_000
+    assert len(scanner.scan((license_scan.TEMPLATES["MIT-text"] + "\n") * n)) == n  # 10 MB
+    assert time.time() - began < 30

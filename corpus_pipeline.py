@@ -19,31 +19,48 @@ ORACLE_SQL = None
 
 
 def _ready(spark: SparkSession) -> None:
+    """Python workers that start from now on can import the package from where this file lies."""
     known, here = spark.sparkContext.environment, os.path.dirname(os.path.abspath(__file__))
     if here not in known.get("PYTHONPATH", "").split(os.pathsep):
         known["PYTHONPATH"] = os.pathsep.join(x for x in (here, known.get("PYTHONPATH", "")) if x)
 
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier rejects go."""
+    """Documents that the quality classifier rejects (score below 0.3) go.
+
+    Null and empty texts score the share of label 1 among the labelled rows. Repeated rows fare alike, whatever their
+    number; rows with a null doc_id are scored like others. All columns pass, and an empty table gives an empty table."""
     _ready(spark)
     return quality.keep_good(docs, quality.fit(docs, table(spark, sf_dir, "labels")))
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that several documents hold go, but for the one with the largest doc_id; n_chars follows the text."""
+    """Lines that three documents hold go, but for the one with the largest doc_id; n_chars, if there, follows the text.
+
+    No row goes: a document without lines left, a null and an empty text are the empty text from here on. Rows that share
+    a doc_id are one holder, and each keeps what it holds; a null doc_id is less than any other. All columns pass, those
+    named n_lines and n_dropped too; an empty table gives an empty table."""
     _ready(spark)
-    out = line_dedup.dedup_lines(docs, Workspace(spark, "lines")).drop("n_lines", "n_dropped")
-    return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    out = line_dedup.dedup_lines(rows, Workspace(spark, "lines"))
+    follow = {"text": F.col("text"), "n_chars": F.length("text")}
+    return out.select(*[follow[f.name].cast(f.dataType).alias(f.name) if f.name in follow else F.col(f"row.`{f.name}`") for f in docs.schema])
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that n-gram Jaccard links join, the one with the smallest doc_id stays."""
+    """Of each group of documents that n-gram Jaccard links join, one row stays: that of least doc_id.
+
+    Of rows that share that id and group one stays, too (see keep_one). Rows without doc_id, text or words stay all. All
+    columns pass, and an empty table gives an empty table."""
     _ready(spark)
     return ngram_join.keep_one(docs, Workspace(spark, "near"))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents with their places in sequences of 2048 tokens.
+
+    Null and empty texts are an end mark alone; rows that share a doc_id, or have none, are packed each by itself. Other
+    columns are not read, and an empty table gives no rows."""
     _ready(spark)
     return packing.pack_documents(docs, Workspace(spark, "pack"))
 
@@ -57,8 +74,11 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages one after another over the table documents; each one's rows are written and read again by the next."""
     ws = Workspace(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         docs = ws.put(f"stage{i}", stage(spark, docs, sf_dir))
+        if i:
+            ws.drop(f"stage{i - 1}")
     return STAGES[-1][1](spark, docs, sf_dir)

@@ -45,3 +45,28 @@ def test_registered(spark):
 
     names = entry.queries()
     assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in names}
+
+
+def test_stages_with_odd_rows(spark, tmp_path):
+    """Empty tables, repeated rows, null ids and texts, and columns with the operators' own names."""
+    line = "A line that is long enough and in many documents"
+    text = prose(random.Random(9), 40, 500)
+    rows = [(1, text), (1, text), (1, line), (2, f"{line}\nx"), (None, line), (None, None), (3, ""), (4, text), (5, f"y\n{line}")]
+    extra = "n_lines int, row string, __id string, h long, d long, lines string, score double"
+    docs = spark.createDataFrame([(i, t, "en", "s", *[None] * 7) for i, t in rows], f"doc_id long, text string, lang string, source string, {extra}")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    seen = docs
+    for i, (name, stage) in enumerate(corpus_pipeline.STAGES):
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.collect() == [] and (name == "packing" or empty.columns == docs.columns)
+        ws = Workspace(spark, "t")
+        seen = ws.put(f"s{i}", stage(spark, seen, str(tmp_path)))
+        got = sorted((str(r.doc_id), getattr(r, "text", None) or "") for r in seen.collect())
+        if i == 0:
+            assert len(got) == len(rows)
+        if i == 1:
+            kept = sorted([("1", text), ("1", text), ("1", ""), ("2", "x"), ("None", ""), ("None", ""), ("3", ""), ("4", text), ("5", f"y\n{line}")])
+            assert got == kept
+        if i == 2:
+            assert got == sorted([("1", text), ("1", ""), ("2", "x"), ("None", ""), ("None", ""), ("3", ""), ("5", f"y\n{line}")])
+    assert sorted(str(r.doc_id) for r in seen.collect()) == ["1", "1", "2", "3", "5", "None", "None"]

@@ -249,6 +249,37 @@ def translation_json(spark, d):
     return documents.read_translations(made).select("doc_id", "id", "text", F.col("translated_count").cast("long").alias("translated_count"))
 
 
+_STYLED = "CAST(input_pos%4*90 AS DOUBLE) AS rotation, CASE input_pos%3 WHEN 0 THEN 'left' WHEN 1 THEN 'center' ELSE 'right' END AS alignment, concat('font', CAST(input_pos%5 AS {str})) AS font_name, concat('blk', CAST(input_pos AS {str})) AS layout_block_id"
+
+
+def styled(spark: SparkSession, d: str) -> DataFrame:
+    """Paragraphs with made-up styles."""
+    return paragraphs(spark, d).selectExpr("*", *_STYLED.format(str="STRING").replace(" AS rotation, ", " AS rotation;").replace(" AS alignment, ", " AS alignment;").replace(" AS font_name, ", " AS font_name;").split(";"), "named_struct('r', CAST(input_pos%7 AS INT), 'g', 1, 'b', 2) AS text_color")
+
+
+@query(_MERGE + f" SELECT mg.doc_id, mg.id, s.rotation, s.alignment, s.font_name, s.layout_block_id, CAST(s.input_pos%7 AS INTEGER) AS red FROM mg JOIN (SELECT doc_id, id, input_pos, {_STYLED.format(str='VARCHAR')} FROM v_paragraphs) s ON mg.doc_id=s.doc_id AND mg.id=s.id", "v_paragraphs")
+def merge_styles(spark, d):
+    return merge.merge_paragraphs(styled(spark, d)).select("doc_id", "id", "rotation", "alignment", "font_name", "layout_block_id", F.col("text_color.r").alias("red"))
+
+
+@query(f"SELECT doc_id, input_pos, id, page_number, x0, y0, x1, y1, line_count, original_font_size, category, category_confidence, is_bold, is_italic, CAST(input_pos%7 AS INTEGER) AS red, concat('d', CAST(doc_id AS VARCHAR), '.pdf') AS source_file, {_STYLED.format(str='VARCHAR')} FROM v_paragraphs WHERE true", "v_paragraphs")
+def base_document_fields(spark, d):
+    p = styled(spark, d).withColumn("source_file", F.format_string("d%d.pdf", "doc_id"))
+    # input_pos counts a document's paragraphs without gaps only after writing
+    n = p.select("doc_id", "id", F.col("input_pos").alias("at"))
+    back = documents.read_base(documents.base_documents(p, "en", "source_file")).drop("input_pos").join(n, ["doc_id", "id"])
+    return back.select("doc_id", F.col("at").alias("input_pos"), "id", "page_number", "x0", "y0", "x1", "y1", "line_count", "original_font_size", "category", "category_confidence", "is_bold", "is_italic", F.col("text_color.r").alias("red"), "source_file", "rotation", "alignment", "font_name", "layout_block_id")
+
+
+@query("SELECT doc_id, concat('d', CAST(doc_id AS VARCHAR), '.json') AS base_file, 'ja' AS target_lang, count(*) AS translated_count, string_agg(id, ',' ORDER BY id) AS ids, concat('[translated]', any_value(t)) AS title FROM v_translations JOIN (SELECT doc_id, string_agg(text, chr(10)||chr(10) ORDER BY page_number, -y1, input_pos) FILTER (WHERE category='doc_title' AND text<>'') AS t FROM v_paragraphs GROUP BY 1) USING (doc_id) WHERE translated_text<>'' GROUP BY 1", "v_paragraphs", "v_translations")
+def translation_document_fields(spark, d):
+    p = translated(spark, d).withColumn("base_file", F.format_string("d%d.json", "doc_id"))
+    titles = summary.layout_summary(paragraphs(spark, d), "doc_title", "paragraph_title").select("doc_id", F.concat(F.lit("[translated]"), "title").alias("title"))
+    made = documents.translation_documents(p, "ja", "mock", "2024-01-01T00:00:00", "base_file", titles)
+    rows = documents.read_translations(made).groupBy("doc_id", "base_file", "target_lang").agg(F.count(F.lit(1)).alias("translated_count"), F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    return rows.join(documents.read_summaries(made, True).select("doc_id", "title"), "doc_id", "left")
+
+
 @query(f"""SELECT doc_id, string_agg(text, chr(10)||chr(10) ORDER BY page_number, -y1, input_pos) FILTER (WHERE category='doc_title' AND text<>'') AS title,
  string_agg(text, chr(10)||chr(10) ORDER BY page_number, -y1, input_pos) FILTER (WHERE category='paragraph_title' AND text<>'') AS abstract,
  CASE WHEN bool_or(coalesce(category='doc_title',false)) THEN 'layout' ELSE 'llm' END AS title_source FROM v_paragraphs GROUP BY 1""", "v_paragraphs")
@@ -559,7 +590,7 @@ def page_boxes(spark, d):
 def draw_plan(spark, d):
     from .operators import drawing
 
-    return drawing.draw_plan(translated(spark, d))
+    return drawing.draw_plan(translated(spark, d).withColumns({"rotation": F.lit(0.0), "alignment": F.lit("left")}))
 
 
 @query("""SELECT doc_id, page_number, count(*)*2+2-count(*) FILTER (WHERE input_pos%3=0) AS ops FROM v_paragraphs GROUP BY 1,2""", "v_paragraphs")

@@ -15,11 +15,12 @@ def page_boxes(paragraphs: DataFrame) -> DataFrame:
 
 
 def draw_plan(paragraphs: DataFrame, font: fit.Font = fit.Font(), config: fit.FitConfig = fit.FitConfig()) -> DataFrame:
-    """(doc_id, page_number, id, line_no, text, font_size, x, y): the fitted lines of each translated paragraph."""
-    some = paragraphs.where("translated_text <> ''")
-    for name, default in (("rotation", F.lit(0.0)), ("alignment", F.lit("left"))):
-        if name not in some.columns:
-            some = some.withColumn(name, default)
+    """(doc_id, page_number, id, line_no, text, font_size, x, y): the fitted lines of each translated paragraph,
+    by its rotation and alignment (nulls: upright, left)."""
+    missing = {"rotation", "alignment"} - set(paragraphs.columns)
+    if missing:
+        raise ValueError(f"paragraphs need {sorted(missing)}")
+    some = paragraphs.where("translated_text <> ''").withColumns({"rotation": F.coalesce("rotation", F.lit(0.0)), "alignment": F.coalesce("alignment", F.lit("left"))})
     fitted = fit.fit(some.withColumn("text", F.col("translated_text")), font, config)
     rows = some.select("doc_id", "page_number", "id", "x0", "y0", "x1", "y1", "rotation", "alignment").join(fitted, ["doc_id", "id"])
     lines = rows.select("*", F.posexplode("lines").alias("line_no", "l")).withColumn("width", F.col("l.width")).withColumn("y_position", F.col("l.y_position"))

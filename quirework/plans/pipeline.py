@@ -6,6 +6,7 @@ from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..operators import documents, drawing, markdown, match, merge, translate
 
@@ -49,10 +50,14 @@ def run(paragraphs: DataFrame, blocks: DataFrame | None, backend: translate.Back
         except Exception as e:
             raise PipelineError(stages[i], e) from e
 
-    sorted_ = at(0, lambda: paragraphs if blocks is None else match.assign_categories(paragraphs, blocks).join(paragraphs.select("doc_id", "id"), ["doc_id", "id"]))
+    sorted_ = at(0, lambda: paragraphs if blocks is None else match.assign_categories(paragraphs, blocks))
     merged = at(1, lambda: keep("merged", merge.merge_paragraphs(sorted_, config.merge)).drop("input_pos"))
     merged = merged.selectExpr("*", "CAST(page_number * 1000000L + out_pos AS BIGINT) AS input_pos")
     done = at(2, lambda: keep("translated", translate.translate_paragraphs(merged, backend, config.source_lang, config.target_lang, config.batch_size, strict=config.strict)))
+    styled = done
+    for name, default in (("rotation", F.lit(0.0)), ("alignment", F.lit("left"))):
+        if name not in done.columns:  # paragraphs that came without styles are upright and left
+            styled = styled.withColumn(name, default)
     look = markdown.MarkdownConfig(metadata={"source_lang": config.source_lang, "target_lang": config.target_lang}, translated_at=config.translated_at, page_breaks=config.page_breaks)
     made = at(3, lambda: markdown.documents(done, look))
-    return Result(done, made, documents.base_documents(done, config.source_lang), documents.translation_documents(done, config.target_lang, backend.name, config.translated_at or ""), drawing.draw_plan(done), documents.run_stats(paragraphs, merged))
+    return Result(done, made, documents.base_documents(done, config.source_lang), documents.translation_documents(done, config.target_lang, backend.name, config.translated_at or ""), drawing.draw_plan(styled), documents.run_stats(paragraphs, merged))

@@ -72,22 +72,43 @@ def block_text(rows: DataFrame) -> DataFrame:
     return lines.groupBy(*BLOCK).agg(t.collapse(text).alias("text"), F.count(F.lit(1)).cast("int").alias("line_count"))
 
 
+def _block_mode(spans: str, value: str, first_seen: bool, some: str = "true") -> str:
+    """SQL of the weighted mode of ``value`` over an array of spans ``s`` (text, w, and n, the place): the one with most
+    characters; of equals the first seen, or the smallest. Null where no span is in ``some``."""
+    kept = f"filter({spans}, s -> {some})"
+    seen = f"array_distinct(transform({kept}, s -> {value}))"
+    weighed = f"transform({seen}, v -> named_struct('w', -aggregate(filter({kept}, s -> {value} = v), 0L, (a, s) -> a + s.w), 'v', v))"
+    placed = f"transform({seen}, (v, i) -> named_struct('w', -aggregate(filter({kept}, s -> {value} = v), 0L, (a, s) -> a + s.w), 'i', i, 'v', v))"
+    return f"array_min({placed if first_seen else weighed}).v"
+
+
 def paragraphs(docs: DataFrame, page_range: list[int] | None = None) -> DataFrame:
-    """(doc_id, page_number, id, text, box, line_count, style) from column ``pages`` (:data:`PAGES`)."""
+    """(doc_id, page_number, id, text, box, line_count, style) from column ``pages`` (:data:`PAGES`). All that a
+    paragraph needs lies in its block, so blocks are exploded and nothing is shuffled."""
     pages = select_pages(docs, page_range)
-    boxes = pages.select("doc_id", "page_number", F.coalesce(F.get("page.bbox", F.lit(3)), "page.height").alias("h"), F.posexplode("page.blocks").alias("block", "b"))
-    boxes = boxes.where(F.size("b.bbox") == 4).withColumn("h", F.coalesce("h", F.raise_error(F.lit("page without height")).cast("double")))
+    h = F.coalesce(F.get("page.bbox", F.lit(3)), "page.height")
+    rows = pages.select("doc_id", "page_number", h.alias("h"), F.posexplode("page.blocks").alias("block", "b")).where(F.size("b.bbox") == 4)
+    # a line's spans as plain fields; blocks without spans or text go
+    span = "named_struct('text', coalesce(s.text, ''), 'w', CAST(length(coalesce(s.text, '')) AS BIGINT), 'size', round(s.font.size, 1), 'weight', coalesce(s.font.weight, 400), 'flags', coalesce(s.font.flags, 0), 'name', coalesce(s.font.name, ''), 'rotation', degrees(coalesce(s.rotation, 0D)))"
+    rows = rows.withColumn("ls", F.expr(f"transform(coalesce(b.lines, array()), l -> transform(coalesce(l.spans, array()), s -> {span}))"))
+    texts = F.filter(F.transform("ls", lambda x: t.strip(F.array_join(F.transform(x, lambda s: s["text"]), ""))), lambda x: x != "")
+    rows = rows.withColumn("ss", F.flatten("ls")).withColumn("texts", texts).where(F.size("texts") > 0)
+    weight = "aggregate(ss, 0L, (a, s) -> a + s.w)"
+    share = lambda c: F.expr(f"aggregate(filter(ss, s -> {c}), 0L, (a, s) -> a + s.w) * 2 > {weight}")
+    name = "lower(s.name)"
+    rows = rows.select(
+        *BLOCK, "h", "b", t.collapse(F.array_join("texts", " ")).alias("text"), F.size("texts").cast("int").alias("line_count"),
+        F.coalesce(F.expr(_block_mode("ss", "s.size", False, "s.size IS NOT NULL")), F.lit(12.0)).alias("original_font_size"),
+        share(f"s.weight >= 700 OR contains({name}, 'bold') OR contains({name}, 'medi')").alias("is_bold"), share(f"s.flags & 64 <> 0 OR contains({name}, 'italic') OR contains({name}, 'oblique')").alias("is_italic"),
+        F.expr(_block_mode("ss", "s.name", True, "s.name <> ''")).alias("font_name"), F.expr(_block_mode("ss", "s.rotation", True)).alias("rotation"),
+    )
+    h = F.coalesce("h", F.raise_error(F.lit("page without height")).cast("double"))
     box = lambda i: F.get("b.bbox", F.lit(i))
-    boxes = boxes.select(*BLOCK, box(0).alias("x0"), (F.col("h") - box(3)).alias("y0"), box(2).alias("x1"), (F.col("h") - box(1)).alias("y1"), alignment(F.col("b")).alias("lined"))
-    rows = spans(pages)
-    out = boxes.join(block_text(rows), BLOCK)
-    for part in (font_size_mode(rows), font_name_mode(rows), style_votes(rows), rotation_mode(rows)):
-        out = out.join(part, BLOCK, "left")
     turn = F.pmod("rotation", F.lit(360.0))
     upright = ~(turn.between(85, 95) | turn.between(265, 275))
-    return out.select(
-        "doc_id", "page_number", "block", F.format_string("para_p%d_b%d", "page_number", "block").alias("id"), "text", "x0", "y0", "x1", "y1", "line_count",
-        F.col("font_size").alias("original_font_size"), "is_bold", "is_italic", "font_name", F.lit(None).cast("struct<r:int,g:int,b:int>").alias("text_color"), "rotation", F.when(upright, F.col("lined")).otherwise("left").alias("alignment"),
+    return rows.select(
+        *BLOCK, F.format_string("para_p%d_b%d", "page_number", "block").alias("id"), "text", box(0).alias("x0"), (h - box(3)).alias("y0"), box(2).alias("x1"), (h - box(1)).alias("y1"), "line_count",
+        "original_font_size", "is_bold", "is_italic", "font_name", F.lit(None).cast("struct<r:int,g:int,b:int>").alias("text_color"), "rotation", F.when(upright, alignment(F.col("b"))).otherwise("left").alias("alignment"),
     )
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
 from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import accumulate
+from functools import cached_property
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,21 +22,50 @@ CJK = ((0x4E00, 0x9FFF), (0x3400, 0x4DBF), (0x3040, 0x309F), (0x30A0, 0x30FF), (
 
 @dataclass(frozen=True)
 class Font:
-    """Widths by em; characters without one are 0 wide unless ``default`` says otherwise."""
+    """Widths by em. Characters without one are ``cjk`` wide if they are CJK, else ``default``. The table of a real font
+    comes from :func:`glyph_font`, where unknown characters are 0 wide."""
 
     widths: dict[str, float] = field(default_factory=lambda: {" ": 0.25, "i": 0.25, "l": 0.25, ".": 0.25, ",": 0.25, "m": 0.75, "w": 0.75})
     default: float = 0.5
     ascent: float = 0.75
     descent: float = -0.25
+    cjk: float = 1.0
+
+    @cached_property
+    def table(self) -> np.ndarray:
+        """Widths by code point; the last entry is that of all code points beyond the basic plane."""
+        out = np.full((1 << 16) + 1, self.default)
+        for a, b in CJK:
+            out[max(a, 0x3000) : b + 1] = self.cjk
+        for c, w in self.widths.items():
+            if ord(c) < 1 << 16:
+                out[ord(c)] = w
+        return out
+
+    def ems(self, text: str) -> np.ndarray:
+        codes = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
+        out = self.table[np.minimum(codes, 1 << 16)]
+        if len(codes) and codes.max() >= 1 << 16:
+            for i in np.flatnonzero(codes >= 1 << 16):
+                out[i] = self.widths.get(text[i], out[i])
+        return out
 
     def width(self, text: str, size: float) -> float:
-        known = self.widths.get
-        return sum(w if (w := known(c)) is not None else 1.0 if c >= "\u3000" and is_cjk(c) else self.default for c in text) * size
+        return float(self.ems(text).sum()) * size
 
     def line_height(self, size: float) -> float:
         return (self.ascent - self.descent) * size * 1.2
 
 
+def glyph_font(glyphs: DataFrame, most: int = 1 << 17) -> Font:
+    """The font of a table of glyphs (code int, width double, by em): at most ``most`` rows, else ValueError. Of repeated
+    codes the greatest width counts; characters without a row are 0 wide."""
+    rows = glyphs.where("code IS NOT NULL AND width IS NOT NULL").groupBy("code").agg(F.max("width").alias("width")).limit(most + 1).collect()
+    if len(rows) > most:
+        raise ValueError(f"more than {most} glyphs")
+    return Font({chr(r.code): float(r.width) for r in rows}, default=0.0, cjk=0.0)
+
+
 @dataclass(frozen=True)
 class FitConfig:
     step: float = 0.5
@@ -48,7 +79,7 @@ def is_cjk(c: str) -> bool:
 
 def _widths(text: str, font: Font) -> list[float]:
     """Widths up to each character, by em."""
-    return list(accumulate((font.width(c, 1.0) for c in text), initial=0.0))
+    return np.concatenate([[0.0], np.cumsum(font.ems(text))]).tolist()
 
 
 def break_point(text: str, at: int, upto: list[float], ems: float) -> int:
@@ -96,8 +127,21 @@ def wrap_lines(text: str, width: float, font: Font, size: float) -> list[str]:
     return wrap_measured(measured(text, font), width / size)
 
 
+def least_lines(parts: list[tuple[str, list[float]]], font: Font) -> list[tuple[float, float]]:
+    """(width of what is no blank, widest character) of each of the text's lines that has characters: a wrapped line
+    takes no more than its width and one character beyond, so their number has a lower bound."""
+    out = []
+    for part, _ in parts:
+        if part:
+            ems = font.ems(part)
+            ink = ems[[not c.isspace() for c in part]]
+            out.append((float(ink.sum()), float(ems.max())))
+    return out
+
+
 def fit_text(text: str, width: float, height: float, size: float, font: Font, config: FitConfig = FitConfig()) -> tuple[float, bool, float, list[str]]:
-    """(size, fits, height, lines): the largest size, in steps down, at which the lines fit; else the smallest."""
+    """(size, fits, height, lines): the largest size, in steps down, at which the lines fit; else the smallest. Sizes at
+    which the ink alone takes more lines than fit are passed over."""
     if not text:
         return size, True, 0.0, []
 
@@ -106,12 +150,16 @@ def fit_text(text: str, width: float, height: float, size: float, font: Font, co
         return font.line_height(s) * (len(lines) - breaks + config.break_factor * breaks)
 
     parts = measured(text, font)
+    ink = least_lines(parts, font)
     while size >= config.smallest:
-        lines = wrap_measured(parts, width / size)
-        if not lines:
-            break
-        if tall(lines, size) <= height:
-            return size, True, tall(lines, size), lines
+        ems = width / size
+        least = sum(math.ceil(w / (ems + top) - 1e-9) for w, top in ink) if ems > 0 else 0
+        if font.line_height(size) * least <= height * (1 + 1e-9) + 1e-9:
+            lines = wrap_measured(parts, ems)
+            if not lines:
+                break
+            if tall(lines, size) <= height:
+                return size, True, tall(lines, size), lines
         size = round(size - config.step, 2)
     lines = wrap_measured(parts, width / config.smallest)
     return config.smallest, False, tall(lines, config.smallest), lines
@@ -120,11 +168,12 @@ def fit_text(text: str, width: float, height: float, size: float, font: Font, co
 def wrap(paragraphs: DataFrame, size: float, font: Font = Font()) -> DataFrame:
     """(doc_id, id, line_no, line, is_break)."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "id": pdf["id"], "lines": [wrap_lines(t or "", w, font, size) for t, w in zip(pdf["text"], pdf["w"])]})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            lines = [wrap_lines(t or "", w, font, size) for t, w in zip(b.column(2).to_pylist(), b.column(3).to_pylist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(lines, pa.list_(pa.string()))], names=["doc_id", "id", "lines"])
 
-    rows = paragraphs.select("doc_id", "id", "text", F.expr("x1 - x0").alias("w")).mapInPandas(run, "doc_id long, id string, lines array<string>")
+    rows = paragraphs.select("doc_id", "id", "text", F.expr("x1 - x0").alias("w")).mapInArrow(run, "doc_id long, id string, lines array<string>")
     out = rows.select("doc_id", "id", F.posexplode("lines").alias("line_no", "line"))
     return out.withColumn("is_break", F.col("line") == BREAK)
 
@@ -137,22 +186,31 @@ def fit(paragraphs: DataFrame, font: Font = Font(), config: FitConfig = FitConfi
     w, h = F.expr("x1 - x0"), F.expr("y1 - y0")
     rows = paragraphs.select("doc_id", "id", "text", F.when(sideways, h).otherwise(w).alias("w"), F.when(sideways, w).otherwise(h).alias("h"), "y1", F.col("original_font_size").alias("size"))
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in frames:
-            out = []
-            for r in pdf.itertuples():
-                size, fits, tall, lines = fit_text(r.text or "", r.w, r.h, r.size, font, config)
-                y, placed, step = r.y1 - font.ascent * size, [], font.line_height(size)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            sizes, oks, talls, counts = [], [], [], []
+            texts, widths, places = [], [], []
+            for text, w, h, top, size in zip(*(b.column(i).to_pylist() for i in range(2, 7))):
+                size, fits, tall, lines = fit_text(text or "", w, h, size, font, config)
+                y, step, before = top - font.ascent * size, font.line_height(size), len(texts)
                 for line in lines:
                     if line == BREAK:
                         y -= step * config.break_factor
                     else:
-                        placed.append({"text": line, "width": font.width(line, size), "y_position": y})
+                        texts.append(line)
+                        widths.append(font.width(line, size))
+                        places.append(y)
                         y -= step
-                out.append((r.doc_id, r.id, size, fits, tall, placed))
-            yield pd.DataFrame(out, columns=["doc_id", "id", "font_size", "fits", "total_height", "lines"])
-
-    return rows.mapInPandas(run, "doc_id long, id string, font_size double, fits boolean, total_height double, lines array<struct<text: string, width: double, y_position: double>>")
+                for c, v in zip((sizes, oks, talls, counts), (size, fits, tall, len(texts) - before)):
+                    c.append(v)
+            lines = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(widths, pa.float64()), pa.array(places, pa.float64())], ["text", "width", "y_position"])
+            offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(1), pa.array(sizes, pa.float64()), pa.array(oks, pa.bool_()), pa.array(talls, pa.float64()), pa.ListArray.from_arrays(offsets, lines)],
+                names=["doc_id", "id", "font_size", "fits", "total_height", "lines"],
+            )
+
+    return rows.mapInArrow(run, "doc_id long, id string, font_size double, fits boolean, total_height double, lines array<struct<text: string, width: double, y_position: double>>")
 
 
 def place_lines(lines: DataFrame) -> DataFrame:

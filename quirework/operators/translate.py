@@ -64,7 +64,7 @@ def with_retries(call: Callable[[], list[str]], retries: int, delay: float, slee
 
 def translate_all(backend: Backend, texts: list[str], source: str, target: str, retries: int = 3, delay: float = 1.0, strict: bool = False, sleep=time.sleep) -> list[str]:
     """Blank texts stay as they are. On a mismatch the batch is halved; a single text that still fails stays as it is,
-    or raises in strict mode."""
+    or raises in strict mode. Other errors of a batch that was not halved are raised."""
 
     def ask(batch: list[str], halved: bool) -> list[str]:
         def once() -> list[str]:
@@ -79,7 +79,7 @@ def translate_all(backend: Backend, texts: list[str], source: str, target: str,
             if len(batch) > 1:
                 mid = len(batch) // 2
                 return ask(batch[:mid], True) + ask(batch[mid:], True)
-            if strict or not halved:
+            if strict:
                 raise
             return batch
         except TranslationError:

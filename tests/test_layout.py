@@ -221,3 +221,88 @@ def test_pipeline(spark):
     assert out.draw.count() >= 1 and out.base.count() == 1 and out.translations.count() == 1 and seen == ["categorize", "merge", "translate", "assemble"]
     with pytest.raises(pipeline.PipelineError):
         pipeline.run(p.drop("x0"), None, translate.MockBackend(), pipeline.PipelineConfig(), lambda n, df: df)
+
+
+def test_fit_is_brute_force_over_sizes():
+    import random
+
+    from quirework.operators import fit
+
+    rng, config = random.Random(0), fit.FitConfig()
+    fonts = (fit.Font(), fit.Font({" ": 0.25, **{c: 0.2 + (ord(c) % 7) / 8 for c in "abcimw."}}, default=0.0, cjk=0.0))
+    for n in range(400):
+        font = fonts[n % 2]
+        text = "".join(rng.choice("abcimw .      漢字かな。（」\n") for _ in range(rng.randrange(0, 200)))
+        w, h, size = rng.choice([15.0, 100.0, 230.0]), rng.choice([5.0, 40.0, 90.0, 300.0]), rng.choice([5.0, 10.0, 12.5])
+        want, s = None, size
+        while text and s >= config.smallest and want is None:
+            lines = fit.wrap_lines(text, w, font, s)
+            tall = font.line_height(s) * (len(lines) - lines.count(fit.BREAK) + config.break_factor * lines.count(fit.BREAK))
+            if not lines:
+                break
+            if tall <= h:
+                want = (s, True, lines)
+            s = round(s - config.step, 2)
+        got = fit.fit_text(text, w, h, size, font, config)
+        if not text:
+            assert got == (size, True, 0.0, [])
+        else:
+            assert (got[0], got[1], got[3]) == (want or (config.smallest, False, fit.wrap_lines(text, w, font, config.smallest)))
+
+
+def test_glyph_font(spark):
+    from quirework.operators import fit
+
+    rows = spark.createDataFrame([(97, 0.5), (97, 0.25), (128512, 1.5), (None, 1.0), (98, None)], "code int, width double")
+    font = fit.glyph_font(rows)
+    assert [font.width(c, 2.0) for c in ("a", "aa", "b", "漢", "😀", "😁", "")] == [1.0, 2.0, 0.0, 0.0, 3.0, 0.0, 0.0]
+    import pytest
+
+    with pytest.raises(ValueError):
+        fit.glyph_font(rows, most=1)
+
+
+def test_merged_paragraphs_keep_the_first_ones_style(spark):
+    from quirework.operators import drawing, merge
+
+    rows = [(1, 0, f"p{i}", f"line {i}", 10.0, 100.0 - 12 * i, 200.0, 110.0 - 12 * i, 1, 10.0, "text", 0.9, False, False, i, 90.0 + i, "center", f"b{i}", f"f{i}", {"k": i}) for i in range(2)]
+    names = "doc_id long, page_number int, id string, text string, x0 double, y0 double, x1 double, y1 double, line_count int, original_font_size double, category string, category_confidence double, is_bold boolean, is_italic boolean, input_pos int, rotation double, alignment string, layout_block_id string, font_name string, extra_map map<string,int>"
+    df = spark.createDataFrame(rows, names).drop("extra_map")
+    (got,) = merge.merge_paragraphs(df).collect()
+    assert (got.text, got.rotation, got.alignment, got.layout_block_id, got.font_name) == ("line 0\nline 1", 90.0, "center", "b0", "f0")
+    plan = drawing.draw_plan(merge.merge_paragraphs(df).withColumn("translated_text", got_text(df)))
+    assert {round(r.x, 3) for r in plan.collect()} and all(r.x < 200 for r in plan.collect())
+    import pytest
+
+    with pytest.raises(ValueError):
+        drawing.draw_plan(df.drop("rotation"))
+
+
+def got_text(df):
+    from pyspark.sql import functions as F
+
+    return F.lit("a b")
+
+
+def test_pipeline_draws_turned_text(spark, tmp_path):
+    from quirework.operators import translate
+    from quirework.plans import pipeline
+
+    rows = [(1, 0, "p0", "some words", 10.0, 10.0, 30.0, 400.0, 1, 10.0, "text", 0.9, False, False, 0, 90.0, "center")]
+    df = spark.createDataFrame(rows, "doc_id long, page_number int, id string, text string, x0 double, y0 double, x1 double, y1 double, line_count int, original_font_size double, category string, category_confidence double, is_bold boolean, is_italic boolean, input_pos int, rotation double, alignment string")
+
+    def keep(name, t):
+        t.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    out = pipeline.run(df, None, translate.MockBackend(), pipeline.PipelineConfig(), keep)
+    lines = out.draw.collect()
+    assert len(lines) == 1 and lines[0].y < 390  # one turned, centred line down the box
+
+
+def test_extraction_shuffles_nothing(spark):
+    from quirework.operators import extract
+
+    pages = spark.createDataFrame([], f"doc_id long, pages {extract.PAGES}")
+    plan = extract.paragraphs(pages)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Join" not in plan

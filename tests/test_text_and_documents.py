@@ -276,3 +276,40 @@ def test_charsets_have_the_margin(spark):
     got = {(r.is_bold, r.is_italic, r.ch) for r in summary.style_charsets(p).collect()}
     assert got == {(True, False, c) for c in "ab" + summary.MARGIN} | {(False, False, c) for c in "b" + summary.MARGIN}
     assert sorted(tuple(r) for r in summary.style_charsets(p, margin="").collect()) == [(False, False, "b"), (True, False, "1"), (True, False, "a"), (True, False, "b")]
+
+
+def test_documents_of_the_formats_own_shape(spark):
+    import json
+
+    from quirework.operators import documents
+
+    p = {"id": "para_p0_b0", "page_number": 0, "text": "A title", "block_bbox": {"x0": 117.25, "y0": 751.5, "x1": 478.0, "y1": 769.5}, "line_count": 1, "original_font_size": 14.3, "is_bold": True, "is_italic": False, "rotation": 0.0, "alignment": "center", "layout_block_id": "a3", "category": "doc_title", "category_confidence": 0.94, "font_name": "N-Medi"}
+    doc = {"schema_version": "2.0.0", "metadata": {"source_file": "s.pdf", "source_lang": "en", "page_count": 1, "paragraph_count": 1}, "summary": {"title": "A title", "thumbnail_width": 400, "title_source": "layout"}, "paragraphs": [p]}
+    docs = spark.createDataFrame([("s", json.dumps(doc))], "doc_id string, json string")
+    (r,) = documents.read_base(docs).collect()
+    assert (r.x0, r.y0, r.x1, r.y1) == (117.25, 751.5, 478.0, 769.5) and (r.source_file, r.alignment, r.layout_block_id, r.font_name) == ("s.pdf", "center", "a3", "N-Medi")
+    (s,) = documents.read_summaries(docs).collect()
+    assert (s.title, s.thumbnail_width, s.title_source, s.abstract) == ("A title", 400, "layout", None)
+    back = documents.base_documents(documents.read_base(docs), "en", "source_file", documents.read_summaries(docs)).first().json
+    assert json.loads(back) == doc
+    tr = {"schema_version": "2.0.0", "target_lang": "ja", "base_file": "s.json", "translated_at": "t", "translator_backend": "google", "translated_count": 1, "summary": {"title": "T"}, "paragraphs": {"para_p0_b0": "T"}}
+    trs = spark.createDataFrame([("s", json.dumps(tr))], "doc_id string, json string")
+    (t,) = documents.read_translations(trs).collect()
+    assert (t.base_file, t.translated_count, t.id, t.text) == ("s.json", 1, "para_p0_b0", "T") and documents.read_summaries(trs, True).first().title == "T"
+
+
+def test_a_mismatch_of_one_text():
+    from quirework.operators import translate
+
+    class Odd:
+        name, max_text_length = "odd", None
+
+        def translate_batch(self, texts, source, target):
+            return ["x"] * (len(texts) + 1)
+
+    import pytest
+
+    assert translate.translate_all(Odd(), ["one"], "en", "ja") == ["one"]
+    assert translate.translate_all(Odd(), ["one", "two"], "en", "ja") == ["one", "two"]
+    with pytest.raises(translate.LengthMismatch):
+        translate.translate_all(Odd(), ["one"], "en", "ja", strict=True)

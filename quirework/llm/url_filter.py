@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from .workspace import Workspace, table
+from .workspace import Workspace, settings, table
 
 #: (verdict, host, path) in the order of the contract.
 RULES = (("block", "com", "/en/"), ("allow", "example.com", "/en/7"), ("allow", "net", "/de/"), ("block", "example.net", "/de/8"), ("block", "org", "/es/"))
@@ -31,6 +31,8 @@ BUCKETS, PER = 2048, 64
 BROADCAST_WINDOWS = 500_000
 #: URLs whose scores are broadcast: at most so many and, all together, bytes.
 BROADCAST_URLS, BROADCAST_URL_BYTES = 200_000, 32 << 20
+#: Partitions of different URLs are kept small.
+SMALL = {"spark.sql.adaptive.advisoryPartitionSizeInBytes": "1m", "spark.sql.adaptive.coalescePartitions.minPartitionSize": "256k", "spark.sql.adaptive.coalescePartitions.parallelismFirst": "false"}
 
 
 def host_of(url: Column) -> Column:
@@ -123,7 +125,8 @@ def filter_urls(pages: DataFrame, ws: Workspace, rules=RULES) -> DataFrame:
     Spark splits at run time."""
     kept = pages.drop("host", "path", "rule", "score", "verdict")
     url = F.coalesce(F.col("url"), F.lit(""))
-    counted = ws.put("urls", pages.groupBy(url.alias("url")).agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
+    with settings(pages.sparkSession, SMALL):  # a URL becomes a row for each of its characters
+        counted = ws.put("urls", pages.groupBy(url.alias("url")).agg(F.count(F.lit(1)).alias("n")).withColumn("id", F.monotonically_increasing_id()))
     _, said = match_rules(host_of(F.col("url")), path_of(F.col("url")), rules)
     counted = counted.select("id", "url", "n", said.alias("verdict"), (F.pmod(F.crc32(F.col("url").cast("binary")), F.lit(5)) == 0).alias("held"))
     decided, free = counted.where("verdict IS NOT NULL"), counted.where("verdict IS NULL")

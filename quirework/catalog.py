@@ -593,19 +593,23 @@ def draw_plan(spark, d):
     return drawing.draw_plan(translated(spark, d).withColumns({"rotation": F.lit(0.0), "alignment": F.lit("left")}))
 
 
-@query("""SELECT doc_id, page_number, count(*)*2+2-count(*) FILTER (WHERE input_pos%3=0) AS ops FROM v_paragraphs GROUP BY 1,2""", "v_paragraphs")
-def content_stream_edit(spark, d):
-    """Every paragraph is moved to and shown; those at every third position lie in a box."""
-    from .operators import drawing
-
+def streams(spark: SparkSession, d: str) -> DataFrame:
+    """A content stream for each page, and boxes over every third paragraph's place."""
     p = paragraphs(spark, d)
     op = "flatten(transform(array_sort(collect_list(struct(input_pos, x0, y0))), p -> array(named_struct('op', 'Tm', 'args', array(1D, 0D, 0D, 1D, CAST(p.input_pos*10 AS DOUBLE), p.y0)), named_struct('op', 'Tj', 'args', CAST(array() AS ARRAY<DOUBLE>)))))"
     none = "CAST(array() AS ARRAY<DOUBLE>)"
-    rows = p.groupBy("doc_id", "page_number").agg(
+    return p.groupBy("doc_id", "page_number").agg(
         F.expr(f"concat(array(named_struct('op', 'BT', 'args', {none})), {op}, array(named_struct('op', 'ET', 'args', {none})))").alias("ops"),
         F.expr("collect_list(CASE WHEN input_pos % 3 = 0 THEN named_struct('x0', input_pos*10-1D, 'y0', y0-1, 'x1', input_pos*10+1D, 'y1', y0+1) END)").alias("boxes"),
     )
-    return drawing.edit_stream(rows).select("doc_id", "page_number", F.size("ops").cast("long").alias("ops"))
+
+
+@query("""SELECT doc_id, page_number, count(*)*2+2-count(*) FILTER (WHERE input_pos%3=0) AS ops FROM v_paragraphs GROUP BY 1,2""", "v_paragraphs")
+def content_stream_edit(spark, d):
+    """Every paragraph is moved to and shown; those at every third position lie in a box."""
+    from .operators import drawing
+
+    return drawing.edit_stream(streams(spark, d)).select("doc_id", "page_number", F.size("ops").cast("long").alias("ops"))
 
 
 @query("SELECT doc_id, id FROM v_paragraphs WHERE input_pos % 4 <> 1", "v_paragraphs")
@@ -679,3 +683,46 @@ def translate_corpus(spark, d):
 
     p = paragraphs(spark, d)
     return pipeline.run(p, spark_view(spark, d, "v_blocks"), translate.MockBackend(), pipeline.PipelineConfig(), lambda name, df: df).markdown
+
+
+# Tables on pages, listings and names
+
+
+@query("SELECT concat(CAST(b.doc_id AS VARCHAR), '/', b.block_id) AS table_id, CAST(o.input_pos AS BIGINT) AS pos, o.text FROM v_blocks b JOIN v_paragraphs o ON b.doc_id=o.doc_id AND b.page_number=o.page_number AND o.x0>=b.x0-5 AND o.x1<=b.x1+5 AND o.y0>=b.y0-5 AND o.y1<=b.y1+5 WHERE b.raw_category='text'", "v_blocks")
+def objects_in_tables(spark, d):
+    objects = paragraphs(spark, d).withColumn("pos", F.col("input_pos").cast("long"))
+    return tables.objects_in_tables(objects, spark_view(spark, d, "v_blocks").where("raw_category = 'text'")).select("table_id", "pos", "text")
+
+
+@query("SELECT l_orderkey AS table_id, bool_or(l_linenumber=7 OR l_quantity>49) AS is_complex FROM lineitem GROUP BY 1")
+def complex_merges(spark, d):
+    rows = spark.read.parquet(f"{d}/lineitem.parquet")
+    return tables.complex_merges(rows.selectExpr("l_orderkey AS table_id", "CASE WHEN l_linenumber = 7 THEN 2 END AS rowspan", "CASE WHEN l_quantity > 49 THEN 3 ELSE 1 END AS colspan"))
+
+
+@query("SELECT category, count(*) AS n FROM v_paragraphs GROUP BY 1", "v_paragraphs")
+def category_listing(spark, d):
+    return categories.listing(paragraphs(spark, d))
+
+
+@query("SELECT doc_id, concat('table_', printf('%03d', row_number() OVER (PARTITION BY doc_id ORDER BY input_pos)), '.png') AS file, id FROM v_paragraphs WHERE category='table'", "v_paragraphs")
+def asset_manifest(spark, d):
+    blocks = paragraphs(spark, d).where(categories.table_block(F.col("category"))).withColumn("block_id", F.col("id"))
+    return documents.asset_manifest(blocks, "table", "images").select("doc_id", F.substring_index("relative_path", "/", -1).alias("file"), F.col("layout_block_id").alias("id"))
+
+
+@query("SELECT doc_id, page_number, string_agg(CAST(CAST(x0 AS INTEGER) AS VARCHAR)||','||CAST(CAST(y0 AS INTEGER) AS VARCHAR)||','||CAST(CAST(x1 AS INTEGER) AS VARCHAR)||','||CAST(CAST(y1 AS INTEGER) AS VARCHAR), ' ' ORDER BY x0, y0, x1, y1) AS boxes FROM v_paragraphs p JOIN v_translations v USING (doc_id, id) WHERE v.translated_text<>'' GROUP BY 1,2", "v_translations")
+def page_box_list(spark, d):
+    from .operators import drawing
+
+    box = F.expr("array_join(transform(boxes, b -> concat_ws(',', CAST(b.x0 AS INT), CAST(b.y0 AS INT), CAST(b.x1 AS INT), CAST(b.y1 AS INT))), ' ')")
+    return drawing.page_boxes(translated(spark, d)).select("doc_id", "page_number", box.alias("boxes"))
+
+
+@query("SELECT doc_id, page_number, concat('BT ', string_agg(concat('Tm', CAST(input_pos*10 AS VARCHAR), ',', CAST(CAST(y0 AS INTEGER) AS VARCHAR), CASE WHEN input_pos%3=0 THEN '' ELSE ' Tj' END), ' ' ORDER BY input_pos), ' ET') AS ops FROM v_paragraphs GROUP BY 1,2", "v_paragraphs")
+def content_stream_ops(spark, d):
+    """As content_stream_edit, with every operation that stays and its place."""
+    from .operators import drawing
+
+    shown = "transform(ops, o -> CASE WHEN o.op = 'Tm' THEN concat('Tm', CAST(CAST(o.args[4] AS INT) AS STRING), ',', CAST(CAST(o.args[5] AS INT) AS STRING)) ELSE o.op END)"
+    return drawing.edit_stream(streams(spark, d)).select("doc_id", "page_number", F.expr(f"array_join({shown}, ' ')").alias("ops"))

@@ -1,22 +1,68 @@
-"""python -m quirework.cli QUERY FOLDER [--out PATH]: runs a query of the catalog over a folder of tables."""
+"""python -m quirework.cli query NAME FOLDER [--out PATH]: runs a query of the catalog over a folder of tables.
+
+python -m quirework.cli translate PARAGRAPHS OUT [--blocks PATH] [--backend NAME] ...: runs the pipeline over a table of
+paragraphs (and blocks) and writes paragraphs, Markdown, documents, translations, draw plans and statistics under OUT.
+The first form also goes without the word query."""
 
 from __future__ import annotations
 
 import argparse
+import os
+import sys
+
+from pyspark.sql import DataFrame, SparkSession
+
 
-from pyspark.sql import SparkSession
+def run_query(spark: SparkSession, args: argparse.Namespace) -> None:
+    from . import catalog
+
+    rows = catalog.QUERIES[args.query](spark, args.folder)
+    rows.write.mode("overwrite").parquet(args.out) if args.out else rows.show(truncate=80)
+
+
+def run_pipeline(spark: SparkSession, args: argparse.Namespace) -> None:
+    from .operators import backends
+    from .plans import pipeline
+
+    def keep(name: str, df: DataFrame) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{args.out}/{name}")
+        return spark.read.parquet(f"{args.out}/{name}")
+
+    config = pipeline.PipelineConfig(source_lang=args.source, target_lang=args.target, strict=args.strict, page_breaks=not args.no_page_breaks)
+    blocks = spark.read.parquet(args.blocks) if args.blocks else None
+    used = backends.backend(args.backend, os.environ.get(args.key_variable, ""), args.model)
+    out = pipeline.run(spark.read.parquet(args.paragraphs), blocks, used, config, keep)
+    for name in ("markdown", "base", "translations", "draw", "stats"):
+        keep(name, getattr(out, name))
 
 
 def main(argv: list[str] | None = None) -> None:
     from . import catalog
 
+    argv = list(sys.argv[1:] if argv is None else argv)
+    if argv and argv[0] in catalog.QUERIES:
+        argv.insert(0, "query")
     parser = argparse.ArgumentParser(description=__doc__)
-    parser.add_argument("query", choices=sorted(catalog.QUERIES))
-    parser.add_argument("folder")
-    parser.add_argument("--out")
+    modes = parser.add_subparsers(required=True)
+    q = modes.add_parser("query")
+    q.add_argument("query", choices=sorted(catalog.QUERIES))
+    q.add_argument("folder")
+    q.add_argument("--out")
+    q.set_defaults(run=run_query)
+    t = modes.add_parser("translate")
+    t.add_argument("paragraphs")
+    t.add_argument("out")
+    t.add_argument("--blocks")
+    t.add_argument("--backend", default="mock", choices=["mock", "google", "deepl", "openai"])
+    t.add_argument("--key-variable", default="TRANSLATION_KEY", help="the environment variable that holds the service's key")
+    t.add_argument("--model", default="gpt-4o-mini")
+    t.add_argument("--source", default="en")
+    t.add_argument("--target", default="ja")
+    t.add_argument("--strict", action="store_true")
+    t.add_argument("--no-page-breaks", action="store_true")
+    t.set_defaults(run=run_pipeline)
     args = parser.parse_args(argv)
-    rows = catalog.QUERIES[args.query](SparkSession.builder.getOrCreate(), args.folder)
-    rows.write.mode("overwrite").parquet(args.out) if args.out else rows.show(truncate=80)
+    args.run(SparkSession.builder.getOrCreate(), args)
 
 
 if __name__ == "__main__":

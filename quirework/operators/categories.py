@@ -60,3 +60,17 @@ def parse_filter(value: str | None) -> tuple[str, ...] | None:
     if value is None:
         return TRANSLATABLE
     return tuple(c for c, *_ in CATEGORIES) if value == "all" else tuple(x for x in map(str.strip, value.split(",")) if x)
+
+
+def image_block(category: Column) -> Column:
+    """Blocks whose pixels are cut out: images and charts."""
+    return F.coalesce(category.isin("image", "chart"), F.lit(False))
+
+
+def table_block(category: Column) -> Column:
+    return F.coalesce(category == "table", F.lit(False))
+
+
+def listing(rows: DataFrame, category: str = "category") -> DataFrame:
+    """(category, n), the most frequent first, then by name; null is a category of its own, last of equals."""
+    return rows.groupBy(F.col(category).alias("category")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), F.asc_nulls_last("category"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -19,6 +19,26 @@ class TableConfig:
     min_cols: int = 2
 
 
+def objects_in_tables(objects: DataFrame, blocks: DataFrame, config: TableConfig = TableConfig()) -> DataFrame:
+    """(table_id, pos, text, x0, y0, x1, y1) for each object whose whole box lies in a block's, give or take ``slack``.
+    ``objects`` (pos, text, box) and ``blocks`` (block_id, box) join on document and page; the boxes are the residual
+    condition. table_id names document and block, so the table operators run on the result as it is."""
+    inside = " AND ".join([f"o.{k}0 >= b.{k}0 - {config.slack}D AND o.{k}1 <= b.{k}1 + {config.slack}D" for k in "xy"])
+    rows = blocks.alias("b").join(objects.alias("o"), F.expr(f"b.doc_id = o.doc_id AND b.page_number = o.page_number AND {inside}"))
+    return rows.select(F.concat_ws("/", F.col("b.doc_id").cast("string"), "b.block_id").alias("table_id"), *[f"o.{c}" for c in ("pos", "text", "x0", "y0", "x1", "y1")])
+
+
+def complex_merges(found: DataFrame) -> DataFrame:
+    """(table_id, is_complex): has any cell that spans rows or columns?"""
+    spans = F.greatest(F.coalesce("rowspan", F.lit(1)), F.coalesce("colspan", F.lit(1))) > 1
+    return found.groupBy("table_id").agg(F.bool_or(spans).alias("is_complex"))
+
+
+def _or(found: DataFrame, name: str, default) -> Column:
+    """A cell's column, or its default where it is null or ``found`` hasn't got it."""
+    return F.coalesce(name, F.lit(default)) if name in found.columns else F.lit(default)
+
+
 def cluster_rows(objects: DataFrame, config: TableConfig = TableConfig()) -> DataFrame:
     """Objects with ``row`` (0 at the top) and ``in_row`` (left to right). A row takes what lies within the tolerance
     of its first object, so this is a fold."""
@@ -50,26 +70,30 @@ def cells(objects: DataFrame, config: TableConfig = TableConfig()) -> DataFrame:
     return found.groupBy("g.table_id", "g.row", "g.col").agg(text.alias("text")).withColumn("is_header", F.col("row") == 0)
 
 
-def _lines(made: DataFrame) -> DataFrame:
-    return made.groupBy("table_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"]).alias("lines"), F.max("n").alias("n"))
-
-
 def to_markdown(found: DataFrame) -> DataFrame:
-    """(table_id, markdown). The first row is the header; short rows are padded."""
-    cell = F.transform(F.array_sort(F.collect_list(F.struct("col", t.escape_cell(F.col("text")).alias("text")))), lambda x: x["text"])
-    rows = found.groupBy("table_id", "row").agg(cell.alias("cs")).withColumn("n", F.max(F.size("cs")).over(Window.partitionBy("table_id")))
-    padded = F.concat("cs", F.array_repeat(F.lit(""), F.col("n") - F.size("cs")))
-    made = rows.withColumn("line", F.concat(F.lit("| "), F.array_join(padded, " | "), F.lit(" |")))
-    rule = F.concat(F.lit("| "), F.array_join(F.array_repeat(F.lit("---"), F.col("n")), " | "), F.lit(" |"))
-    return _lines(made).select("table_id", F.array_join(F.concat(F.slice("lines", 1, 1), F.array(rule), F.slice("lines", F.lit(2), F.size("lines"))), "\n").alias("markdown"))
+    """(table_id, markdown). The first row is the header and gives the columns' ``alignment``, where there is one; short
+    rows are padded."""
+    rule = F.when(_or(found, "alignment", "left") == "center", ":---:").when(_or(found, "alignment", "left") == "right", "---:").otherwise("---")
+    sorted_ = F.array_sort(F.collect_list(F.struct("col", t.escape_cell(F.col("text")).alias("text"), rule.alias("rule"))))
+    rows = found.groupBy("table_id", "row").agg(F.transform(sorted_, lambda x: x["text"]).alias("cs"), F.transform(sorted_, lambda x: x["rule"]).alias("rs"))
+    rows = rows.withColumn("n", F.max(F.size("cs")).over(Window.partitionBy("table_id")))
+    line = lambda c, fill: F.concat(F.lit("| "), F.array_join(F.concat(c, F.array_repeat(F.lit(fill), F.col("n") - F.size(c))), " | "), F.lit(" |"))
+    made = rows.withColumn("line", line("cs", "")).withColumn("rule", line("rs", "---"))
+    both = F.array_sort(F.collect_list(F.struct("row", "line", "rule")))
+    lines = F.flatten(F.transform(both, lambda x, i: F.when(i == 0, F.array(x["line"], x["rule"])).otherwise(F.array(x["line"]))))
+    return made.groupBy("table_id").agg(F.array_join(lines, "\n").alias("markdown"))
 
 
 def to_html(found: DataFrame, header_rows: int = 1) -> DataFrame:
+    """(table_id, html); cells may have rowspan, colspan and alignment."""
     tag = F.when(F.col("is_header") | (F.col("row") < header_rows), "th").otherwise("td")
-    one = F.concat(F.lit("    <"), tag, F.lit(">"), t.escape_html(F.col("text")), F.lit("</"), tag, F.lit(">"))
+    span = lambda c: F.when(_or(found, c, 1) > 1, F.concat(F.lit(f' {c}="'), _or(found, c, 1).cast("string"), F.lit('"'))).otherwise("")
+    style = F.when(_or(found, "alignment", "left") != "left", F.concat(F.lit(' style="text-align: '), _or(found, "alignment", "left"), F.lit('"'))).otherwise("")
+    one = F.concat(F.lit("    <"), tag, span("rowspan"), span("colspan"), style, F.lit(">"), t.escape_html(F.col("text")), F.lit("</"), tag, F.lit(">"))
     cell = F.transform(F.array_sort(F.collect_list(F.struct("col", one.alias("one")))), lambda x: x["one"])
-    rows = found.groupBy("table_id", "row").agg(F.concat(F.lit("  <tr>\n"), F.array_join(cell, "\n"), F.lit("\n  </tr>")).alias("line"), F.count(F.lit(1)).alias("n"))
-    return _lines(rows).select("table_id", F.concat(F.lit("<table>\n"), F.array_join("lines", "\n"), F.lit("\n</table>")).alias("html"))
+    rows = found.groupBy("table_id", "row").agg(F.concat(F.lit("  <tr>\n"), F.array_join(cell, "\n"), F.lit("\n  </tr>")).alias("line"))
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("row", "line"))), lambda x: x["line"])
+    return rows.groupBy("table_id").agg(F.concat(F.lit("<table>\n"), F.array_join(lines, "\n"), F.lit("\n</table>")).alias("html"))
 
 
 def methods(found: DataFrame, mode: str = "heuristic", lined: bool = False, config: TableConfig = TableConfig()) -> DataFrame:

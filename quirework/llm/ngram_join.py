@@ -36,11 +36,13 @@ from .workspace import Workspace, table
 WORDS, PERCENT = 5, 75
 #: A shingle is frequent if so many different sets have it; at most FREQUENT of them (8 MB) are sent to executors. The
 #: rest counts as rare: this changes the order of comparison only, no result.
-HOT_DF, FREQUENT, CROWD = 24, 1 << 20, 2048
+HOT_DF, FREQUENT, CROWD = 24, 1 << 20, 128
+#: Digests of sets that a task remembers, so as to deal each once.
+SEEN = 200_000
 #: Shingles that a set's walk of a trie looks up a step.
 STEP = 32
 #: Shingles of a shuffle bucket; batches of shingles that a task buckets at once; sets of a family's block; sets that a task's group gets, about.
-BUCKET, BATCH, BLOCK, CELL = 1 << 19, 1 << 20, 1024, 512
+BUCKET, BATCH, BLOCK, CELL = 1 << 19, 1 << 19, 1024, 512
 #: Ids of documents to be compared that are broadcast: at most so many (under 32 MB); beyond it their join is shuffled.
 BROADCAST_IDS = 1 << 20
 _MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
@@ -95,7 +97,7 @@ def _sets(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[tuple[int, np.n
         for text in b.column(b.schema.get_field_index("text")):
             tokens = _words.shingles(text.as_py(), n)
             if len(tokens) and (d := digest(tokens)) not in seen:
-                if len(seen) > 1_000_000:
+                if len(seen) > SEEN:
                     seen.clear()  # a set met again later only costs time
                 seen.add(d)
                 yield d, tokens
@@ -142,7 +144,9 @@ def read_sets(docs: DataFrame, buckets: int, n: int = WORDS) -> DataFrame:
             return pa.RecordBatch.from_arrays([fill(x, k, kind) for x, kind in zip((ids, ns, ds, hs, at, blobs, more), kinds.values())], names=list(kinds))
 
         def flush() -> pa.RecordBatch:
-            top, counts = np.unique(np.concatenate(held) >> np.uint64(20), return_counts=True)
+            top = np.sort(np.concatenate(held)) >> np.uint64(20)
+            first = np.flatnonzero(np.concatenate([[True], top[1:] != top[:-1]]))
+            top, counts = top[first], np.diff(np.append(first, len(top)))
             cut, blobs, more = list(_bucketed(top << np.uint64(20), buckets)), [], []
             for _, s in cut:
                 steps, n = np.diff(top[s], prepend=top[s][:1]), counts[s]
@@ -159,7 +163,7 @@ def read_sets(docs: DataFrame, buckets: int, n: int = WORDS) -> DataFrame:
                 ns.append(len(tokens))
                 ds.append(digest(tokens) if len(tokens) else None)
                 if len(tokens) and ds[-1] not in seen:
-                    if len(seen) > 1_000_000:
+                    if len(seen) > SEEN:
                         seen.clear()
                     seen.add(ds[-1])
                     held.append(tokens)

@@ -726,3 +726,15 @@ def content_stream_ops(spark, d):
 
     shown = "transform(ops, o -> CASE WHEN o.op = 'Tm' THEN concat('Tm', CAST(CAST(o.args[4] AS INT) AS STRING), ',', CAST(CAST(o.args[5] AS INT) AS STRING)) ELSE o.op END)"
     return drawing.edit_stream(streams(spark, d)).select("doc_id", "page_number", F.expr(f"array_join({shown}, ' ')").alias("ops"))
+
+
+@query("SELECT doc_id, id, CASE (doc_id+input_pos)%3 WHEN 0 THEN 'Times-Roman' WHEN 1 THEN concat('Helvetica', CASE WHEN is_bold AND is_italic THEN '-BoldOblique' WHEN is_bold THEN '-Bold' WHEN is_italic THEN '-Oblique' ELSE '' END) ELSE 'Courier-BoldOblique' END AS font_name, original_font_size AS font_size, length(text) AS n FROM v_paragraphs WHERE page_number<2", "v_paragraphs")
+def template_plan(spark, d):
+    """A template of two pages; the fonts are two standard ones and one that falls back."""
+    from .operators import drawing
+
+    p = paragraphs(spark, d)
+    name = F.expr("element_at(array('Times-Roman','Odd-Face','Courier-BoldOblique'), CAST((doc_id+input_pos)%3 AS INT)+1)")
+    objects = p.select("doc_id", "page_number", "id", "text", "x0", "y0", "x1", "y1", F.struct(name.alias("name"), F.col("original_font_size").alias("size"), "is_bold", "is_italic").alias("font"), F.expr("CAST(NULL AS STRUCT<r:INT,g:INT,b:INT>)").alias("color"), F.lit(None).cast("string").alias("transform"))
+    plain = objects.withColumn("text", F.repeat(F.lit("a"), F.length("text")))
+    return drawing.template_plan(plain, p.where("page_number < 2")).select("doc_id", "id", "font_name", "font_size", F.length("text").alias("n"))

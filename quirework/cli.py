@@ -31,9 +31,11 @@ def run_pipeline(spark: SparkSession, args: argparse.Namespace) -> None:
     config = pipeline.PipelineConfig(source_lang=args.source, target_lang=args.target, strict=args.strict, page_breaks=not args.no_page_breaks)
     blocks = spark.read.parquet(args.blocks) if args.blocks else None
     used = backends.backend(args.backend, os.environ.get(args.key_variable, ""), args.model)
-    out = pipeline.run(spark.read.parquet(args.paragraphs), blocks, used, config, keep)
-    for name in ("markdown", "base", "translations", "draw", "stats"):
-        keep(name, getattr(out, name))
+    objects = spark.read.parquet(args.objects) if args.objects else None
+    out = pipeline.run(spark.read.parquet(args.paragraphs), blocks, used, config, keep, objects=objects)
+    for name in ("markdown", "base", "translations", "draw", "stats", "images"):
+        if (made := getattr(out, name)) is not None:
+            keep(name, made)
 
 
 def main(argv: list[str] | None = None) -> None:
@@ -53,6 +55,7 @@ def main(argv: list[str] | None = None) -> None:
     t.add_argument("paragraphs")
     t.add_argument("out")
     t.add_argument("--blocks")
+    t.add_argument("--objects", help="text objects of the pages, for tables")
     t.add_argument("--backend", default="mock", choices=["mock", "google", "deepl", "openai"])
     t.add_argument("--key-variable", default="TRANSLATION_KEY", help="the environment variable that holds the service's key")
     t.add_argument("--model", default="gpt-4o-mini")

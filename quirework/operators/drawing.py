@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import fit
+from ..functions import text as t
+from . import documents, fit
 
 
 def page_boxes(paragraphs: DataFrame) -> DataFrame:
@@ -27,6 +28,22 @@ def draw_plan(paragraphs: DataFrame, font: fit.Font = fit.Font(), config: fit.Fi
     return fit.place_lines(lines).select("doc_id", "page_number", "id", "line_no", F.col("l.text").alias("text"), "font_size", "x", "y")
 
 
+# Fonts that every reader has.
+STANDARD_FONTS = ("Helvetica", "Helvetica-Bold", "Helvetica-Oblique", "Helvetica-BoldOblique", "Times-Roman", "Times-Bold", "Times-Italic", "Times-BoldItalic", "Courier", "Courier-Bold", "Courier-Oblique", "Courier-BoldOblique")
+
+
+def template_plan(objects: DataFrame, pages: DataFrame) -> DataFrame:
+    """(doc_id, page_number, id, text, font_name, font_size, box, color, transform): what is drawn on a template whose own
+    text has been removed. Objects of pages that the template hasn't got go; fonts that are not standard fall back to
+    one that is, and texts to what such a font can show. ``pages``: doc_id, page_number of the template."""
+    name, size = F.coalesce("font.name", F.lit("Times-Roman")), F.coalesce("font.size", F.lit(12.0))
+    is_ = lambda c: F.coalesce(f"font.{c}", F.lit(False))
+    font = F.when(name.isin(*STANDARD_FONTS), name).otherwise(documents.fallback_font(name, is_("is_bold"), is_("is_italic")))
+    rows = objects.join(pages.select("doc_id", "page_number").distinct(), ["doc_id", "page_number"], "left_semi")
+    text = t.ascii_fallback(t.normalise_controls(F.col("text")))
+    return rows.select("doc_id", "page_number", "id", text.alias("text"), font.alias("font_name"), size.alias("font_size"), "x0", "y0", "x1", "y1", "color", "transform")
+
+
 def remove_objects(objects: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     """Objects without those named in ``ids`` (doc_id, page_number, id); without ids, none is left."""
     return objects.limit(0) if ids is None else objects.join(ids, ["doc_id", "page_number", "id"], "left_anti")

@@ -8,7 +8,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators import documents, drawing, markdown, match, merge, translate
+from ..operators import assets, documents, drawing, markdown, match, merge, translate
 
 
 class PipelineError(Exception):
@@ -36,19 +36,24 @@ class Result:
     translations: DataFrame
     draw: DataFrame
     stats: DataFrame
+    images: DataFrame | None = None
+    tables: DataFrame | None = None
 
 
-def run(paragraphs: DataFrame, blocks: DataFrame | None, backend: translate.Backend, config: PipelineConfig, keep: Callable[[str, DataFrame], DataFrame], progress: Callable[[str, int, int], None] | None = None) -> Result:
-    """``keep`` writes a table and reads it again: the backend is called once, whatever is made of its answers."""
-    stages = ["categorize", "merge", "translate", "assemble"]
+def run(paragraphs: DataFrame, blocks: DataFrame | None, backend: translate.Backend, config: PipelineConfig, keep: Callable[[str, DataFrame], DataFrame], progress: Callable[[str, int, int], None] | None = None, objects: DataFrame | None = None) -> Result:
+    """``keep`` writes a table and reads it again: the backend is called once, whatever is made of its answers. With
+    ``blocks`` and ``objects`` (the pages' text objects), Markdown has the tables and images of the blocks. ``progress``
+    hears of a stage when it is done."""
+    stages = ["categorize", "merge", "translate", *["tables"] * (blocks is not None and objects is not None), "assemble"]
 
     def at(i: int, f: Callable[[], DataFrame]) -> DataFrame:
-        if progress:
-            progress(stages[i], i, len(stages))
         try:
-            return f()
+            out = f()
         except Exception as e:
             raise PipelineError(stages[i], e) from e
+        if progress:
+            progress(stages[i], i, len(stages))
+        return out
 
     sorted_ = at(0, lambda: paragraphs if blocks is None else match.assign_categories(paragraphs, blocks))
     merged = at(1, lambda: keep("merged", merge.merge_paragraphs(sorted_, config.merge)).drop("input_pos"))
@@ -59,5 +64,10 @@ def run(paragraphs: DataFrame, blocks: DataFrame | None, backend: translate.Back
         if name not in done.columns:  # paragraphs that came without styles are upright and left
             styled = styled.withColumn(name, default)
     look = markdown.MarkdownConfig(metadata={"source_lang": config.source_lang, "target_lang": config.target_lang}, translated_at=config.translated_at, page_breaks=config.page_breaks)
-    made = at(3, lambda: markdown.documents(done, look))
-    return Result(done, made, documents.base_documents(done, config.source_lang), documents.translation_documents(done, config.target_lang, backend.name, config.translated_at or ""), drawing.draw_plan(styled), documents.run_stats(paragraphs, merged))
+    tables_ = images = None
+    if blocks is not None:
+        tables_ = at(3, lambda: keep("tables", assets.page_tables(blocks, objects))) if objects is not None else None
+        images = assets.page_images(blocks, tables_)
+    shown = None if tables_ is None else tables_.where("markdown IS NOT NULL")
+    made = at(3 if tables_ is None else 4, lambda: markdown.documents(done, look, images, shown))
+    return Result(done, made, documents.base_documents(done, config.source_lang), documents.translation_documents(done, config.target_lang, backend.name, config.translated_at or ""), drawing.draw_plan(styled), documents.run_stats(paragraphs, merged), images, tables_)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import categories
 from ..operators.documents import checked
+from ..operators.extract import PAGES
 
 BOX = "struct<x0: double, y0: double, x1: double, y1: double>"
 FONT = "struct<name: string, size: double, is_bold: boolean, is_italic: boolean>"
@@ -28,6 +29,11 @@ def read_texts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(name.alias("doc_id"), F.col("value").alias("json"))
 
 
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, pages) of JSON files of nested page, block, line and span records, as extract.paragraphs takes them."""
+    return read_texts(spark, path).select("doc_id", F.from_json("json", PAGES).alias("pages"))
+
+
 def parse_core(docs: DataFrame) -> DataFrame:
     """(doc_id, version, metadata, pages) of ``json``. A missing version counts as 1.0.0, another one raises."""
     d = docs.select("doc_id", F.from_json("json", CORE).alias("d"))

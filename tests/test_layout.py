@@ -306,3 +306,47 @@ def test_extraction_shuffles_nothing(spark):
     pages = spark.createDataFrame([], f"doc_id long, pages {extract.PAGES}")
     plan = extract.paragraphs(pages)._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "Join" not in plan
+
+
+def test_pipeline_writes_tables_and_images(spark, tmp_path):
+    from quirework.operators import assets, translate
+    from quirework.plans import pipeline
+
+    names = "doc_id long, page_number int, id string, text string, x0 double, y0 double, x1 double, y1 double, line_count int, original_font_size double, category string, category_confidence double, is_bold boolean, is_italic boolean, input_pos int"
+    p = [(1, 0, "p0", "Words here", 50.0, 700.0, 300.0, 720.0), (1, 0, "p1", "a b c d", 50.0, 500.0, 300.0, 600.0), (1, 0, "p2", "x", 50.0, 300.0, 300.0, 400.0), (1, 0, "p3", "lone", 50.0, 100.0, 300.0, 200.0)]
+    paragraphs = spark.createDataFrame([(*r, 1, 10.0, None, None, False, False, i) for i, r in enumerate(p)], names)
+    kinds = ("text", "table", "image", "table")
+    blocks = spark.createDataFrame([(1, 0, f"b{i}", k, *r[4:], 0.9, i) for i, (k, r) in enumerate(zip(kinds, p))], "doc_id long, page_number int, block_id string, raw_category string, x0 double, y0 double, x1 double, y1 double, confidence double, block_pos long")
+    at = [(60.0, 580.0, "h1"), (160.0, 580.0, "h|2"), (60.0, 540.0, "v1"), (160.0, 540.0, "v2"), (60.0, 150.0, "lone"), (400.0, 150.0, "outside")]
+    objects = spark.createDataFrame([(1, 0, i, t, x, y, x + 40, y + 9) for i, (x, y, t) in enumerate(at)], "doc_id long, page_number int, pos long, text string, x0 double, y0 double, x1 double, y1 double")
+    found = {r.layout_block_id: (r.method, r.markdown) for r in assets.page_tables(blocks, objects).collect()}
+    assert found == {"b1": ("heuristic", "| h1 | h\\|2 |\n| --- | --- |\n| v1 | v2 |"), "b3": ("image", None)}
+
+    def keep(name, t):
+        t.write.mode("overwrite").parquet(f"{tmp_path}/{name}")
+        return spark.read.parquet(f"{tmp_path}/{name}")
+
+    seen = []
+    out = pipeline.run(paragraphs, blocks, translate.MockBackend(), pipeline.PipelineConfig(), keep, lambda s, i, n: seen.append(s), objects=objects)
+    assert out.markdown.first().markdown == "[translated]Words here\n\n| h1 | h\\|2 |\n| --- | --- |\n| v1 | v2 |\n\n![Image](images/image_001.png)\n\n![Table](images/table_001.png)\n"
+    assert seen == ["categorize", "merge", "translate", "tables", "assemble"]
+
+
+def test_cells_with_spans(spark):
+    from quirework.operators import tables
+
+    rows = [("t", 0, 0, "a<", True, 1, 2, "center"), ("t", 1, 0, "b", False, None, None, None), ("t", 1, 1, "c", False, 2, 1, "right"), ("u", 0, 0, "x", True, 1, 1, "left")]
+    cells = spark.createDataFrame(rows, "table_id string, row int, col int, text string, is_header boolean, rowspan int, colspan int, alignment string")
+    html = {r.table_id: r.html for r in tables.to_html(cells).collect()}
+    assert html["t"] == '<table>\n  <tr>\n    <th colspan="2" style="text-align: center">a&lt;</th>\n  </tr>\n  <tr>\n    <td>b</td>\n    <td rowspan="2" style="text-align: right">c</td>\n  </tr>\n</table>'
+    assert {r.table_id: r.markdown for r in tables.to_markdown(cells).collect()}["t"] == "| a< |  |\n| :---: | --- |\n| b | c |"
+    assert {r.table_id: r.is_complex for r in tables.complex_merges(cells).collect()} == {"t": True, "u": False}
+
+
+def test_pages_from_files(spark, tmp_path):
+    from quirework.operators import extract
+    from quirework.sources import documents as sources
+
+    (tmp_path / "one.json").write_text('[{"bbox": [0, 0, 600, 800], "blocks": [{"bbox": [10, 20, 100, 40], "lines": [{"bbox": [10, 20, 100, 30], "spans": [{"text": "Hello", "font": {"size": 12}}]}, {"bbox": [10, 30, 100, 40], "spans": [{"text": "world"}]}]}]}]')
+    (r,) = extract.paragraphs(sources.read_pages(spark, str(tmp_path))).collect()
+    assert (r.doc_id, r.id, r.text, r.y0, r.y1, r.line_count, r.original_font_size) == ("one", "para_p0_b0", "Hello world", 760.0, 780.0, 2, 12.0)

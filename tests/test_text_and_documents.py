@@ -313,3 +313,59 @@ def test_a_mismatch_of_one_text():
     assert translate.translate_all(Odd(), ["one", "two"], "en", "ja") == ["one", "two"]
     with pytest.raises(translate.LengthMismatch):
         translate.translate_all(Odd(), ["one"], "en", "ja", strict=True)
+
+
+def test_replies_and_limits(spark):
+    import json
+
+    from quirework.operators import backends
+
+    texts = ['{"a": 1}', 'So:\n```json\n{"a": 2}\n```\nthat', "```\n[1]\n```", "```json\n{\"a\": 3}", "none", "", None]
+    got = [r.j for r in spark.createDataFrame([(i, x) for i, x in enumerate(texts)], "i int, x string").orderBy("i").select(backends.reply_json(F_col("x")).alias("j")).collect()]
+    assert got == ['{"a":1}', '{"a":2}', "[1]", '{"a":3}', None, None, None]
+    assert [backends.extract_json(x) for x in texts[:5]] == [{"a": 1}, {"a": 2}, [1], {"a": 3}, None]
+    assert [backends.context_of(m) for m in ("gpt-4o-mini-2024", "gpt-5-chat-latest", "gpt-5.1-codex", "gpt-4", "gpt-4-turbo-preview", "other")] == [128_000, 128_000, 400_000, 8_000, 128_000, 8_000]
+    assert (backends.language("JA"), backends.language("uk"), backends.language("auto"), backends.language("xx")) == ("Japanese", "Ukrainian", "the source language", "xx")
+    assert backends.byte_chunks(["a" * 3, "b" * 3, "c"], 2, 5) == [["aaa"], ["bbb", "c"]]
+    asked = []
+
+    def send(url, body, headers):
+        asked.append(json.loads(body))
+        texts = json.loads(asked[-1]["messages"][0]["content"].split("\n", 1)[1])
+        return 200, json.dumps({"choices": [{"message": {"content": json.dumps({"translations": [{"index": x["index"], "translation": x["text"].upper()} for x in texts]})}}]})
+
+    chat = backends.ChatBackend("u", "k", "gpt-4", send=send)
+    assert chat.max_text_length == 2000 and chat.translate_batch(["a" * 3000, "b" * 3000, "c"], "en", "ja") == ["A" * 3000, "B" * 3000, "C"]
+    assert len(asked) == 2 and asked[0]["response_format"]["type"] == "json_schema"
+    assert backends.translated_sentences('[[["Hallo ","Hello "],["Welt","world"]],null,"en"]') == "Hallo Welt" and backends.translated_sentences("plain") == "plain"
+    import pytest
+
+    from quirework.operators.translate import ConfigurationError
+
+    assert backends.backend("mock").name == "mock" and backends.backend("openai", "k").model == "gpt-4o-mini" and "api-free" in backends.backend("deepl", "k:fx").url
+    for name, key in (("deepl", ""), ("other", "k")):
+        with pytest.raises(ConfigurationError):
+            backends.backend(name, key)
+
+
+def test_generated_summaries(spark):
+    from quirework.operators import backends
+
+    rows = [(1, "# T ![x](y.png) body", "page one"), (2, None, None), (3, "boom", "boom")]
+    docs = spark.createDataFrame(rows, "doc_id long, markdown string, first_page string")
+    got = {r.doc_id: tuple(r)[1:] for r in backends.generated(docs, _answer, "ja").collect()}
+    assert got == {1: ("T", None, "Lab", "sum of # T  body in Japanese"), 2: (None,) * 4, 3: (None,) * 4}
+    assert backends.generated(docs.limit(0), _answer).collect() == []
+
+
+def _answer(question):
+    head, text = question.split("\n\n", 1)
+    if text == "boom":
+        raise ValueError(text)
+    return f"sum of {text} in Japanese" if "in Japanese" in head else '```json\n{"title": "T", "abstract": null, "organization": "Lab"}\n```'
+
+
+def F_col(name):
+    from pyspark.sql import functions as F
+
+    return F.col(name)

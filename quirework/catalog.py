@@ -738,3 +738,26 @@ def template_plan(spark, d):
     objects = p.select("doc_id", "page_number", "id", "text", "x0", "y0", "x1", "y1", F.struct(name.alias("name"), F.col("original_font_size").alias("size"), "is_bold", "is_italic").alias("font"), F.expr("CAST(NULL AS STRUCT<r:INT,g:INT,b:INT>)").alias("color"), F.lit(None).cast("string").alias("transform"))
     plain = objects.withColumn("text", F.repeat(F.lit("a"), F.length("text")))
     return drawing.template_plan(plain, p.where("page_number < 2")).select("doc_id", "id", "font_name", "font_size", F.length("text").alias("n"))
+
+
+@query("SELECT doc_id, page_number, string_agg(text, ' ' ORDER BY -y1, x0, input_pos) AS text FROM v_paragraphs GROUP BY 1,2", "v_paragraphs")
+def page_text(spark, d):
+    return sources.page_text(paragraphs(spark, d).withColumn("pos", F.col("input_pos")))
+
+
+@query("SELECT doc_id, id, text FROM v_paragraphs WHERE input_pos%5=2", "v_paragraphs")
+def objects_by_id(spark, d):
+    p = paragraphs(spark, d)
+    ids = p.where("input_pos % 5 = 2").select("doc_id", "id")
+    return sources.objects_by_id(p, ids.unionByName(ids)).select("doc_id", "id", "text")
+
+
+@query("""SELECT DISTINCT concat('F', CAST(p_size AS VARCHAR), CASE WHEN p_size%3=0 THEN '-Regular' ELSE '' END, '.ttf') AS font, p_partkey%2=0 AS is_bold, p_partkey%3=0 AS is_italic,
+ concat('F', CAST(p_size AS VARCHAR), CASE WHEN p_partkey%2=0 AND p_partkey%3=0 AND p_size%4=0 THEN 'BoldItalic.ttf' WHEN p_partkey%2=0 AND p_partkey%3<>0 AND p_size%5=0 THEN '-Bold.ttf' WHEN p_partkey%2=0 AND p_partkey%3<>0 AND p_size%7=0 THEN '-Medium.ttf'
+  WHEN p_partkey%2=1 AND p_partkey%3=0 AND p_size%2=0 THEN '-Oblique.ttf' WHEN p_size%3=0 THEN '-Regular.ttf' ELSE '.ttf' END) AS file FROM part""")
+def style_variant(spark, d):
+    part = spark.read.parquet(f"{d}/part.parquet")
+    made = "inline(filter(array(named_struct('ok', p_size%4=0, 'e', 'BoldItalic'), named_struct('ok', p_size%5=0, 'e', '-Bold'), named_struct('ok', p_size%7=0, 'e', '-Medium'), named_struct('ok', p_size%2=0, 'e', '-Oblique')), x -> x.ok))"
+    fonts = part.select("p_size").distinct().selectExpr("p_size", made).selectExpr("concat('F', CAST(p_size AS STRING), e, '.ttf') AS file")
+    wanted = part.selectExpr("concat('F', CAST(p_size AS STRING), CASE WHEN p_size%3=0 THEN '-Regular' ELSE '' END, '.ttf') AS font", "p_partkey%2=0 AS is_bold", "p_partkey%3=0 AS is_italic")
+    return sources.style_variant(fonts, wanted)

@@ -96,5 +96,42 @@ def variant(fonts: DataFrame, wanted: DataFrame) -> DataFrame:
     return wanted.withColumn("__file", name).join(fonts.select("file"), F.col("__file") == F.col("file"), "left").drop("__file")
 
 
+# What a plain face's name may end with, and endings of styled faces, the first found counts.
+PLAIN_ENDINGS = ("-Regular", "-Text", "-Normal", "-Book", "Regular", "Text")
+BOLD_ITALIC_ENDINGS = ("-BoldItalic", "-Bold Italic", "BoldItalic", "-SemiBoldItalic")
+BOLD_ENDINGS = ("-Bold", "Bold", "-SemiBold", "-Medium")
+ITALIC_ENDINGS = ("-Italic", "Italic", "-Oblique", "-TextItalic")
+
+
+def style_variant(fonts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """``wanted`` (font, is_bold, is_italic) with ``file``: the first styled face of the family that ``fonts`` (file)
+    has, else the font itself. Null styles are plain; repeated rows are one."""
+    endings = lambda names: F.array(*[F.lit(x) for x in names])
+    bold, italic = F.coalesce("is_bold", F.lit(False)), F.coalesce("is_italic", F.lit(False))
+    family, ending = F.regexp_replace("font", rf"(?:{'|'.join(PLAIN_ENDINGS)})?(?:\.[^.]*)?$", ""), F.regexp_extract("font", r"(\.[^.]*)?$", 1)
+    styles = F.when(bold & italic, endings(BOLD_ITALIC_ENDINGS)).when(bold, endings(BOLD_ENDINGS)).when(italic, endings(ITALIC_ENDINGS))
+    rows = wanted.select("font", "is_bold", "is_italic").distinct().withColumns({"family": family, "ending": ending})
+    tried = rows.select("font", "is_bold", "is_italic", F.posexplode_outer(F.transform(styles, lambda x: F.concat("family", x, "ending"))).alias("at", "name"))
+    found = tried.join(fonts.select(F.col("file").alias("name")).distinct().withColumn("is_there", F.lit(True)), "name", "left")
+    first = F.min_by("name", F.when(F.col("is_there"), F.col("at")))
+    return found.groupBy("font", "is_bold", "is_italic").agg(F.coalesce(F.when(F.bool_or("is_there"), first), "font").alias("file"))
+
+
+def page_text(objects: DataFrame) -> DataFrame:
+    """(doc_id, page_number, text): a page's objects in reading order."""
+    item = F.struct((-F.col("y1")).alias("k"), F.col("x0").alias("x"), "pos", "text")
+    return objects.groupBy("doc_id", "page_number").agg(F.array_join(F.transform(F.array_sort(F.collect_list(item)), lambda x: x["text"]), " ").alias("text"))
+
+
+def objects_by_id(objects: DataFrame, ids: DataFrame) -> DataFrame:
+    """The objects that ``ids`` (doc_id, id) names."""
+    return objects.join(ids.select("doc_id", "id").distinct(), ["doc_id", "id"], "left_semi")
+
+
+def empty_core(spark: SparkSession) -> DataFrame:
+    """No documents, with the columns of :func:`parse_core`."""
+    return spark.createDataFrame([], f"doc_id string, version string, metadata {CORE.split('metadata: ')[1].split(', pages')[0]}, pages array<{PAGE}>")
+
+
 def ordered_pages(df: DataFrame) -> DataFrame:
     return df.withColumn("n", F.row_number().over(Window.partitionBy("doc_id").orderBy("page_number")))

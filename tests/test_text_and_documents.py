@@ -369,3 +369,11 @@ def F_col(name):
     from pyspark.sql import functions as F
 
     return F.col(name)
+
+
+def test_no_documents(spark):
+    from quirework.sources import documents as sources
+
+    empty = sources.empty_core(spark)
+    some = sources.parse_core(spark.createDataFrame([("a", '{"pages": []}')], "doc_id string, json string"))
+    assert empty.columns == some.columns and empty.unionByName(some).count() == 1 and sources.text_objects(empty).count() == 0

@@ -244,6 +244,7 @@ def families(docs: DataFrame, ws: Workspace, hot, buckets: int, n: int = WORDS,
                 rows = [pa.array((t[crowd] >> np.uint64(20)).astype(np.int64)), pa.array(d[crowd]), pa.array(m[crowd].astype(np.int64))]
                 yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int32()), *[pa.nulls(k, pa.binary())] * 3, *rows], names=names)
                 t, d, m = t[~crowd], d[~crowd], m[~crowd]
+            t = _mix(t)  # prefixes are their sets' low hashes; mixed again (one to one), they fill all buckets alike
             order = np.argsort(t, kind="stable")
             t, d, m = t[order], d[order], m[order]
             cut = list(_bucketed(t, buckets))
@@ -481,7 +482,6 @@ def components(edges: DataFrame, ws: Workspace, name: str) -> DataFrame:
     i = 0
     while True:
         near = both.join(labels.select(F.col("d").alias("b"), "label"), "b").groupBy(F.col("a").alias("d")).agg(F.min("label").alias("near"))
-        near = ws.put(f"{name}-near", near)
         passed = labels.join(near, "d").select("d", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         passed = ws.put(f"{name}-passed", passed)
         heads = passed.select(F.col("d").alias("label"), F.col("label").alias("head"))

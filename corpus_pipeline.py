@@ -41,9 +41,9 @@ def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     a doc_id are one holder, and each keeps what it holds; a null doc_id is less than any other. All columns pass, those
     named n_lines and n_dropped too; an empty table gives an empty table."""
     _ready(spark)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "doc_id", "text")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns if c != "text"]).alias("row"), "doc_id", "text")
     out = line_dedup.dedup_lines(rows, Workspace(spark, "lines"))
-    follow = {"text": F.col("text"), "n_chars": F.length("text")}
+    follow = {"text": F.col("text"), "n_chars": F.length("text")}  # the text is moved once, not in ``row`` too
     return out.select(*[follow[f.name].cast(f.dataType).alias(f.name) if f.name in follow else F.col(f"row.`{f.name}`") for f in docs.schema])
 
 

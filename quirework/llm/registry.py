@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express one, its SQL."""
 
-from . import exact_dedup, license_scan, line_dedup, ngram_join, packing, quality, segment, sharding, topk, url_filter
+from . import decontaminate, exact_dedup, license_scan, line_dedup, ngram_join, packing, periodic, quality, segment, sharding, topk, url_filter
 
 QUERIES = {
     "op1_segment": segment.op1_segment,
@@ -13,6 +13,14 @@ QUERIES = {
     "op8_packing": packing.op8_packing,
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
+    "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op13_decontaminate": decontaminate.op13_decontaminate,
 }
 
-ORACLE = {"op2_top_k": topk.SQL, "op5_exact_dedup": exact_dedup.SQL, "op9_line_dedup": line_dedup.SQL}
+ORACLE = {
+    "op2_top_k": topk.SQL,
+    "op5_exact_dedup": exact_dedup.SQL,
+    "op9_line_dedup": line_dedup.SQL,
+    "op11_periodic_runs": periodic.SQL,
+    "op13_decontaminate": decontaminate.SQL,
+}

@@ -1,6 +1,6 @@
 """Queries of this subpackage and, where SQL can express one, its SQL."""
 
-from . import decontaminate, exact_dedup, license_scan, line_dedup, ngram_join, packing, periodic, quality, segment, sharding, topk, url_filter
+from . import decontaminate, exact_dedup, license_scan, line_dedup, ngram_join, packing, periodic, quality, segment, sharding, token_align, topk, url_filter
 
 QUERIES = {
     "op1_segment": segment.op1_segment,
@@ -14,6 +14,7 @@ QUERIES = {
     "op9_line_dedup": line_dedup.op9_line_dedup,
     "op10_sharding": sharding.op10_sharding,
     "op11_periodic_runs": periodic.op11_periodic_runs,
+    "op12_token_alignment": token_align.op12_token_alignment,
     "op13_decontaminate": decontaminate.op13_decontaminate,
 }
 
@@ -22,5 +23,6 @@ ORACLE = {
     "op5_exact_dedup": exact_dedup.SQL,
     "op9_line_dedup": line_dedup.SQL,
     "op11_periodic_runs": periodic.SQL,
+    "op12_token_alignment": token_align.op12_token_alignment,
     "op13_decontaminate": decontaminate.SQL,
 }

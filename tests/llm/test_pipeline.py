@@ -44,7 +44,7 @@ def test_registered(spark):
     import __spark_entry__ as entry
 
     names = entry.queries()
-    assert "pipeline" in names and {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in names}
+    assert "pipeline" in names and {f"op{n}" for n in range(1, 14)} <= {q.split("_")[0] for q in names}
 
 
 def test_stages_with_odd_rows(spark, tmp_path):

@@ -296,6 +296,7 @@ def contaminated_documents(docs: DataFrame, items: DataFrame, ws: Workspace, win
     no_spans, no_items = F.expr("cast(array() as array<struct<start:long,length:long>>)"), F.expr("cast(array() as array<string>)")
     if hits is None:
         return rows.select("doc_id", "n_words", no_spans.alias("spans"), no_items.alias("items"))
+    hits = ws.put("hits", hits)  # both spans and items come from one search
     # spans of several blocks may overlap: each is cut to what lies behind those before it
     before = Window.partitionBy("shard", "doc_no").orderBy("start", "length").rowsBetween(Window.unboundedPreceding, -1)
     each = hits.select("shard", "doc_no", F.inline("spans")).withColumn("reach", F.coalesce(F.max(F.col("start") + F.col("length")).over(before), F.lit(0)))

@@ -48,22 +48,37 @@ def line_keys(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
 
 
 class LineRuns:
-    """The runs, each a table bucketed by key under the workspace."""
+    """The runs, each a table bucketed by key under the workspace, one sorted file a bucket.
+
+    The session's catalog must be able to hold bucketed tables; they leave it with :meth:`close`, or the ``with`` block,
+    also after a failure."""
 
     def __init__(self, ws: Workspace, fanout: int = FANOUT, buckets: int = 8):
-        self.ws, self.fanout, self.buckets, self.levels, self.made = ws, fanout, buckets, {}, 0
+        self.ws, self.fanout, self.buckets, self.levels, self.made, self.tables = ws, fanout, buckets, {}, 0, []
+
+    def __enter__(self) -> LineRuns:
+        return self
+
+    def __exit__(self, *_) -> None:
+        self.close()
 
     def _put(self, rows: DataFrame) -> str:
-        """Writes a run. Rows come in partitions by key, so each bucket is one file."""
+        """Writes a run. Rows must come in one partition a bucket: from a join of runs, or from :meth:`_dealt`."""
         self.made += 1
         name = f"run_{self.ws.root.rpartition('-')[2]}_{self.made}"
+        self.tables.append(name)
         with settings(self.ws.spark, ORDERED):
             rows.write.bucketBy(self.buckets, *KEY).sortBy(*KEY).format("parquet").option("path", self.ws.path(name)).saveAsTable(name)
         return name
 
+    def _dealt(self, rows: DataFrame) -> DataFrame:
+        """``rows`` in one partition a bucket. An aggregate by key is dealt so already where it shuffles to as many partitions."""
+        return rows.repartition(self.buckets, *KEY)
+
     def _drop(self, name: str) -> None:
-        self.ws.spark.sql(f"DROP TABLE {name}")
+        self.ws.spark.sql(f"DROP TABLE IF EXISTS {name}")
         self.ws.drop(name)
+        self.tables.remove(name)
 
     def runs(self) -> list[str]:
         return [r for level in sorted(self.levels) for r in self.levels[level]]
@@ -88,7 +103,8 @@ class LineRuns:
         """``batch``: (doc_id, h1, h2). Adds its run, and compacts every level that is full. Keys are made unique in each
         document and counted by key, both map-side first."""
         own = batch.groupBy(*KEY, "doc_id").agg(F.lit(1).alias("one")).groupBy(*KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("doc_id").alias("holder"))
-        made = self._put(own)
+        with settings(self.ws.spark, {"spark.sql.shuffle.partitions": str(self.buckets), "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+            made = self._put(self._dealt(own))
         if self.levels:
             with settings(self.ws.spark, ORDERED):
                 own = self._table(made)
@@ -118,7 +134,7 @@ class LineRuns:
         return self.ws.put("frequent", self._table(last).where(F.col("n_docs") >= min_docs).select(*KEY, "holder"))
 
     def close(self) -> None:
-        for name in self.runs():
+        for name in list(self.tables):
             self._drop(name)
         self.levels = {}
 
@@ -139,17 +155,16 @@ def dedup_lines(docs: DataFrame, ws: Workspace, min_chars: int = MIN_CHARS, min_
     keys = ws.put("keys", line_keys(plain, min_chars))
     size = keys.count()
     cuts = keys.agg(F.percentile_approx("doc_id", [i / batches for i in range(1, batches)])).first()[0] if batches > 1 else []
-    runs = LineRuns(ws, buckets=min(MOST_BUCKETS, max(1, -(-size // BUCKET))))
     edges = [None, *sorted(set(cuts or []), reverse=True), None]
-    for above, below in zip(edges, edges[1:]):
-        part = keys
-        if above is not None:
-            part = part.where(F.col("doc_id") <= above)
-        if below is not None:
-            part = part.where(F.col("doc_id") > below)
-        runs.add(part.select("doc_id", *KEY))
-    frequent = runs.frequent(min_docs)
-    runs.close()
+    with LineRuns(ws, buckets=min(MOST_BUCKETS, max(1, -(-size // BUCKET)))) as runs:
+        for above, below in zip(edges, edges[1:]):
+            part = keys
+            if above is not None:
+                part = part.where(F.col("doc_id") <= above)
+            if below is not None:
+                part = part.where(F.col("doc_id") > below)
+            runs.add(part.select("doc_id", *KEY))
+        frequent = runs.frequent(min_docs)
     found = keys.join(F.broadcast(frequent) if frequent.count() <= BROADCAST_KEYS else frequent.hint("merge"), KEY).where("doc_id <> holder")
     at = F.array_sort(F.collect_set("pos"))
     drops = ws.put("drops", found.groupBy("doc_id", "body").agg(at.alias("drops")))
@@ -176,14 +191,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 SQL = r"""
-WITH l AS (
-  SELECT doc_id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(doc_id, -9223372036854775808) AS id, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+l AS (
+  SELECT r, doc_id, id, pos, line, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)),
          'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS k
-  FROM (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line,
-               unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos FROM documents)),
-f AS (SELECT k, max(doc_id) AS holder FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT doc_id) >= 3),
-m AS (SELECT l.*, f.k IS NOT NULL AND l.doc_id <> f.holder AS dropped FROM l LEFT JOIN f ON l.k = f.k)
-SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+  FROM (SELECT r, doc_id, id, unnest(lines) AS line, unnest(range(len(lines))) AS pos FROM d)),
+f AS (SELECT k, max(id) AS holder FROM l WHERE length(k) >= 20 GROUP BY k HAVING count(DISTINCT id) >= 3),
+m AS (SELECT l.*, f.k IS NOT NULL AND l.id <> f.holder AS dropped FROM l LEFT JOIN f ON l.k = f.k)
+SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
        sha256(coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT dropped), '')) AS kept_sha256
-FROM m GROUP BY doc_id
+FROM m GROUP BY r
 """

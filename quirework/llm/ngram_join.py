@@ -522,7 +522,9 @@ def _judged(docs: DataFrame, ws: Workspace, n: int, percent: int) -> tuple[DataF
     few = ids.count() <= BROADCAST_IDS
     # rows that share a doc_id may have other texts, so the text's hash must agree too
     at = F.col("doc_id").eqNullSafe(F.col("__id")) & (F.xxhash64("text") == F.col("__h"))
-    texts = ws.put("texts", _packed(plain.join(F.broadcast(ids) if few else ids, at)))
+    # of rows with one doc_id and text, one text a set
+    held = plain.join(F.broadcast(ids) if few else ids, at).dropDuplicates(["d"])
+    texts = ws.put("texts", _packed(held))
     edges = compare(found, texts, ws, hot, n, percent)
     labels = components(edges, ws, "labels")
     ws.drop("texts", "families", "ids")

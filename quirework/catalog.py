@@ -77,15 +77,17 @@ def markdown_parallel(spark, d):
 @query(
     f"""WITH k AS (SELECT *, concat('k', CAST(input_pos // 3 AS VARCHAR)) AS key FROM v_paragraphs),
  im AS (SELECT doc_id, key, concat('images/', CAST(max(input_pos) AS VARCHAR), '.png') AS path FROM k WHERE input_pos%2=0 GROUP BY 1,2),
- e AS (SELECT k.*, path FROM k JOIN im USING (doc_id, key) WHERE category='table')
- SELECT doc_id, input_pos AS pos, concat('![Table](', path, ')', chr(10)) AS md FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY input_pos)=1""",
+ e AS (SELECT k.*, path FROM k JOIN im USING (doc_id, key) WHERE category='table' OR (category='display_formula' AND text<>''))
+ SELECT doc_id, input_pos AS pos, concat('![', CASE WHEN category='table' THEN 'Table' ELSE 'Image' END, '](', path, ')', chr(10)) AS md FROM e QUALIFY row_number() OVER (PARTITION BY doc_id, key ORDER BY input_pos)=1""",
     "v_paragraphs",
 )
 def markdown_assets_once(spark, d):
+    """Formulas count as images here, as the tables have no image paragraphs."""
     p = paragraphs(spark, d).withColumn("layout_block_id", F.expr("concat('k', CAST(input_pos div 3 AS STRING))"))
+    p = p.withColumn("category", F.when(F.col("category") == "display_formula", "image").otherwise(F.col("category")))
     images = p.where("input_pos % 2 = 0").withColumn("relative_path", F.format_string("images/%d.png", "input_pos"))
     out = markdown.blocks(p, markdown.MarkdownConfig(mode="original", page_breaks=False), images)
-    return out.where("md LIKE '![Table](%'").select("doc_id", "pos", "md")
+    return out.where("md LIKE '![Table](%' OR md LIKE '![Image](%'").select("doc_id", "pos", "md")
 
 
 # Matching
@@ -282,11 +284,21 @@ def translation_document_fields(spark, d):
 
 @query(f"""SELECT doc_id, string_agg(text, chr(10)||chr(10) ORDER BY page_number, -y1, input_pos) FILTER (WHERE category='doc_title' AND text<>'') AS title,
  string_agg(text, chr(10)||chr(10) ORDER BY page_number, -y1, input_pos) FILTER (WHERE category='paragraph_title' AND text<>'') AS abstract,
- CASE WHEN bool_or(coalesce(category='doc_title',false)) THEN 'layout' ELSE 'llm' END AS title_source FROM v_paragraphs GROUP BY 1""", "v_paragraphs")
+ 'layout' AS title_source FROM v_paragraphs GROUP BY 1""", "v_paragraphs")
 def summary_title_abstract(spark, d):
     return summary.layout_summary(paragraphs(spark, d), "doc_title", "paragraph_title").select("doc_id", "title", "abstract", "title_source")
 
 
+@query("""WITH g AS (SELECT doc_id, CASE doc_id%3 WHEN 0 THEN '' WHEN 1 THEN concat('t', CAST(doc_id AS VARCHAR)) END AS gt, CASE doc_id%2 WHEN 0 THEN 'an abstract' ELSE '' END AS ga FROM documents),
+ f AS (SELECT doc_id, string_agg(text, chr(10)||chr(10) ORDER BY page_number, -y1, input_pos) FILTER (WHERE category='aside_text' AND text<>'') AS t, string_agg(text, chr(10)||chr(10) ORDER BY page_number, -y1, input_pos) FILTER (WHERE category='footnote' AND text<>'') AS a FROM v_paragraphs GROUP BY 1)
+ SELECT doc_id, coalesce(t, nullif(gt, '')) AS title, coalesce(a, nullif(ga, '')) AS abstract, concat('o', CAST(doc_id AS VARCHAR)) AS organization,
+ CASE WHEN t IS NULL AND gt<>'' THEN 'llm' ELSE 'layout' END AS title_source, CASE WHEN a IS NULL AND ga<>'' THEN 'llm' ELSE 'layout' END AS abstract_source FROM f JOIN g USING (doc_id)""", "v_paragraphs")
+def summary_sources(spark, d):
+    """Titles and abstracts of categories that many documents lack, with a model's texts for some of these, empty ones too."""
+    made = spark.read.parquet(f"{d}/documents.parquet").selectExpr("doc_id", "CASE doc_id%3 WHEN 0 THEN '' WHEN 1 THEN concat('t', doc_id) END AS title", "CASE doc_id%2 WHEN 0 THEN 'an abstract' ELSE '' END AS abstract", "concat('o', doc_id) AS organization")
+    return summary.layout_summary(paragraphs(spark, d), "aside_text", "footnote", made)
+
+
 @query("SELECT doc_id, string_agg(text, chr(10) ORDER BY -y1, input_pos) AS text FROM v_paragraphs WHERE page_number=0 GROUP BY 1", "v_paragraphs")
 def first_page_text(spark, d):
     return summary.first_page_text(paragraphs(spark, d))
@@ -302,6 +314,19 @@ def subset_charsets(spark, d):
     return summary.style_charsets(paragraphs(spark, d))
 
 
+_DOCUMENT_CHARS = f"SELECT doc_id, is_bold, is_italic, string_agg(ch, '' ORDER BY ch) AS chars FROM (SELECT DISTINCT doc_id, is_bold, is_italic, unnest(list_concat(string_split(text, ''), string_split('{summary.MARGIN}', ''))) AS ch FROM v_paragraphs WHERE text<>'') GROUP BY 1,2,3"
+
+
+@query(_DOCUMENT_CHARS, "v_paragraphs")
+def document_charsets(spark, d):
+    return summary.charsets(paragraphs(spark, d))
+
+
+@query(f"SELECT doc_id, is_bold, is_italic, substr(sha256(concat('font:0:', chars)), 1, 16) AS cache_key FROM ({_DOCUMENT_CHARS})", "v_paragraphs")
+def document_subset_keys(spark, d):
+    return summary.subset_keys(summary.charsets(paragraphs(spark, d)), "font")
+
+
 @query("SELECT coalesce(category,'none') AS category, count(*) FILTER (WHERE doc_id%2=0) AS model_a, count(*) FILTER (WHERE doc_id%2=1) AS model_b FROM v_paragraphs GROUP BY 1", "v_paragraphs")
 def category_comparison(spark, d):
     return evaluate.category_counts(paragraphs(spark, d).withColumn("model", F.when(F.col("doc_id") % 2 == 0, "model_a").otherwise("model_b")), ["model_a", "model_b"])
@@ -354,6 +379,9 @@ def normalize_text(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", t.normalise_controls(F.col("text")).alias("text"))
 
 
+_ASCII = """replace(replace(replace(replace(translate(translate(replace(text, chr(9), ' '), concat(chr(2), chr(173), chr(11), chr(12), chr(13), chr(127), chr(255)), '--'), '×÷–‘’“”•°·', concat('x/-', chr(39), chr(39), '""*o.')), '—', '--'), '…', '...'), '±', '+/-'), 'μ', 'mu')"""
+
+
 @query("""SELECT doc_id, replace(replace(replace(replace(translate(text, '×÷–‘’“”•°·', concat('x/-', chr(39), chr(39), '""*o.')), '—', '--'), '…', '...'), '±', '+/-'), 'μ', 'mu') AS text FROM documents""")
 def ascii_fallback(spark, d):
     return spark.read.parquet(f"{d}/documents.parquet").select("doc_id", t.ascii_fallback(F.col("text")).alias("text"))
@@ -486,22 +514,22 @@ def page_range_renumber(spark, d):
 
 @query(_S + " SELECT doc_id, bl AS block, sz AS font_size FROM (SELECT doc_id, bl, sz, sum(w) AS w FROM s GROUP BY 1,2,3) QUALIFY row_number() OVER (PARTITION BY doc_id, bl ORDER BY w DESC, sz)=1", "v_spans")
 def font_size_mode(spark, d):
-    return extract.font_size_mode(extract.spans(extract.select_pages(pages(spark, d), None))).select("doc_id", F.col("block").cast("long").alias("block"), "font_size")
+    return extract.paragraphs(pages(spark, d)).select("doc_id", F.col("block").cast("long").alias("block"), F.col("original_font_size").alias("font_size"))
 
 
 @query(_S + " SELECT doc_id, bl AS block, name AS font_name FROM (SELECT doc_id, bl, name, sum(w) AS w, min(i) AS f FROM s GROUP BY 1,2,3) QUALIFY row_number() OVER (PARTITION BY doc_id, bl ORDER BY w DESC, f)=1", "v_spans")
 def font_name_mode(spark, d):
-    return extract.font_name_mode(extract.spans(extract.select_pages(pages(spark, d), None))).select("doc_id", F.col("block").cast("long").alias("block"), "font_name")
+    return extract.paragraphs(pages(spark, d)).select("doc_id", F.col("block").cast("long").alias("block"), "font_name")
 
 
 @query(_S + " SELECT doc_id, bl AS block, sum(CASE WHEN weight>=700 OR lower(name) LIKE '%bold%' THEN w ELSE 0 END)*2>sum(w) AS is_bold, sum(CASE WHEN flags=64 THEN w ELSE 0 END)*2>sum(w) AS is_italic FROM s GROUP BY 1,2", "v_spans")
 def bold_italic_vote(spark, d):
-    return extract.style_votes(extract.spans(extract.select_pages(pages(spark, d), None))).select("doc_id", F.col("block").cast("long").alias("block"), "is_bold", "is_italic")
+    return extract.paragraphs(pages(spark, d)).select("doc_id", F.col("block").cast("long").alias("block"), "is_bold", "is_italic")
 
 
 @query(_S + " SELECT DISTINCT doc_id, bl AS block, CASE WHEN doc_id%10=7 THEN 90 ELSE 0 END AS degrees FROM s", "v_spans")
 def rotation_mode(spark, d):
-    return extract.rotation_mode(extract.spans(extract.select_pages(pages(spark, d), None))).select("doc_id", F.col("block").cast("long").alias("block"), F.round("rotation").cast("int").alias("degrees"))
+    return extract.paragraphs(pages(spark, d)).select("doc_id", F.col("block").cast("long").alias("block"), F.round("rotation").cast("int").alias("degrees"))
 
 
 @query(_S + """, l AS (SELECT DISTINCT doc_id, bl, line_no AS s FROM s), e AS (SELECT doc_id, bl, count(*) AS n, 50+(doc_id%5)*min(s) AS l0, list(50+(doc_id%5)*s ORDER BY s) AS ls, list(300-(doc_id%3)*s ORDER BY s) AS rs, list((50+(doc_id%5)*s+300-(doc_id%3)*s)/2 ORDER BY s) AS cs FROM l GROUP BY doc_id, bl)
@@ -634,12 +662,12 @@ def thumbnail_geometry(spark, d):
 
 @query("SELECT is_bold, is_italic, substr(sha256(concat('font:0:', string_agg(ch, '' ORDER BY ch))), 1, 16) AS cache_key FROM (SELECT DISTINCT is_bold, is_italic, unnest(string_split(text, '')) AS ch FROM v_paragraphs) GROUP BY 1,2", "v_paragraphs")
 def subset_cache_keys(spark, d):
-    return summary.subset_keys(summary.style_charsets(paragraphs(spark, d), margin=""), "font")
+    return summary.subset_keys(summary.charsets(paragraphs(spark, d), "", ()), "font")
 
 
 @query(f"SELECT is_bold, is_italic, substr(sha256(concat('font:0:', string_agg(ch, '' ORDER BY ch))), 1, 16) AS cache_key FROM (SELECT DISTINCT is_bold, is_italic, unnest(list_concat(string_split(text, ''), string_split('{summary.MARGIN}', ''))) AS ch FROM v_paragraphs) GROUP BY 1,2", "v_paragraphs")
 def subset_margin_keys(spark, d):
-    return summary.subset_keys(summary.style_charsets(paragraphs(spark, d)), "font")
+    return summary.subset_keys(summary.charsets(paragraphs(spark, d), keys=()), "font")
 
 
 @query("SELECT category, CASE WHEN a>0 AND b>0 THEN 'common' WHEN a>0 THEN 'only model_a' ELSE 'only model_b' END AS side FROM (SELECT coalesce(category,'none') AS category, count(*) FILTER (WHERE doc_id%2=0) AS a, count(*) FILTER (WHERE doc_id%2=1) AS b FROM v_paragraphs GROUP BY 1)", "v_paragraphs")
@@ -688,7 +716,7 @@ def translate_corpus(spark, d):
 # Tables on pages, listings and names
 
 
-@query("SELECT concat(CAST(b.doc_id AS VARCHAR), '/', b.block_id) AS table_id, CAST(o.input_pos AS BIGINT) AS pos, o.text FROM v_blocks b JOIN v_paragraphs o ON b.doc_id=o.doc_id AND b.page_number=o.page_number AND o.x0>=b.x0-5 AND o.x1<=b.x1+5 AND o.y0>=b.y0-5 AND o.y1<=b.y1+5 WHERE b.raw_category='text'", "v_blocks")
+@query("SELECT concat(CAST(b.doc_id AS VARCHAR), '/', CAST(b.page_number AS VARCHAR), '/', b.block_id) AS table_id, CAST(o.input_pos AS BIGINT) AS pos, o.text FROM v_blocks b JOIN v_paragraphs o ON b.doc_id=o.doc_id AND b.page_number=o.page_number AND o.x0>=b.x0-5 AND o.x1<=b.x1+5 AND o.y0>=b.y0-5 AND o.y1<=b.y1+5 WHERE b.raw_category='text'", "v_blocks")
 def objects_in_tables(spark, d):
     objects = paragraphs(spark, d).withColumn("pos", F.col("input_pos").cast("long"))
     return tables.objects_in_tables(objects, spark_view(spark, d, "v_blocks").where("raw_category = 'text'")).select("table_id", "pos", "text")
@@ -728,7 +756,7 @@ def content_stream_ops(spark, d):
     return drawing.edit_stream(streams(spark, d)).select("doc_id", "page_number", F.expr(f"array_join({shown}, ' ')").alias("ops"))
 
 
-@query("SELECT doc_id, id, CASE (doc_id+input_pos)%3 WHEN 0 THEN 'Times-Roman' WHEN 1 THEN concat('Helvetica', CASE WHEN is_bold AND is_italic THEN '-BoldOblique' WHEN is_bold THEN '-Bold' WHEN is_italic THEN '-Oblique' ELSE '' END) ELSE 'Courier-BoldOblique' END AS font_name, original_font_size AS font_size, length(text) AS n FROM v_paragraphs WHERE page_number<2", "v_paragraphs")
+@query(f"SELECT doc_id, id, CASE (doc_id+input_pos)%3 WHEN 0 THEN 'Times-Roman' WHEN 1 THEN concat('Helvetica', CASE WHEN is_bold AND is_italic THEN '-BoldOblique' WHEN is_bold THEN '-Bold' WHEN is_italic THEN '-Oblique' ELSE '' END) ELSE 'Courier-BoldOblique' END AS font_name, original_font_size AS font_size, {_ASCII} AS text FROM v_paragraphs WHERE page_number<2", "v_paragraphs")
 def template_plan(spark, d):
     """A template of two pages; the fonts are two standard ones and one that falls back."""
     from .operators import drawing
@@ -736,8 +764,7 @@ def template_plan(spark, d):
     p = paragraphs(spark, d)
     name = F.expr("element_at(array('Times-Roman','Odd-Face','Courier-BoldOblique'), CAST((doc_id+input_pos)%3 AS INT)+1)")
     objects = p.select("doc_id", "page_number", "id", "text", "x0", "y0", "x1", "y1", F.struct(name.alias("name"), F.col("original_font_size").alias("size"), "is_bold", "is_italic").alias("font"), F.expr("CAST(NULL AS STRUCT<r:INT,g:INT,b:INT>)").alias("color"), F.lit(None).cast("string").alias("transform"))
-    plain = objects.withColumn("text", F.repeat(F.lit("a"), F.length("text")))
-    return drawing.template_plan(plain, p.where("page_number < 2")).select("doc_id", "id", "font_name", "font_size", F.length("text").alias("n"))
+    return drawing.template_plan(objects, p.where("page_number < 2")).select("doc_id", "id", "font_name", "font_size", "text")
 
 
 @query("SELECT doc_id, page_number, string_agg(text, ' ' ORDER BY -y1, x0, input_pos) AS text FROM v_paragraphs GROUP BY 1,2", "v_paragraphs")

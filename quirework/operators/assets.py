@@ -17,7 +17,7 @@ def page_tables(blocks: DataFrame, objects: DataFrame, config: tables.TableConfi
     cells = tables.cells(tables.objects_in_tables(objects, some, config), config)
     made = tables.to_markdown(cells).join(tables.methods(cells, config=config), "table_id")
     made = made.select("table_id", "method", F.when(F.col("method") == "heuristic", F.col("markdown")).alias("markdown"))
-    named = some.withColumn("table_id", F.concat_ws("/", F.col("doc_id").cast("string"), "block_id"))
+    named = some.withColumn("table_id", tables.table_id())
     return named.join(made, "table_id", "left").select("doc_id", "page_number", F.col("block_id").alias("layout_block_id"), *BOX, F.col("block_pos").alias("input_pos"), F.coalesce("method", F.lit("image")).alias("method"), "markdown")
 
 
@@ -25,10 +25,10 @@ def page_images(blocks: DataFrame, found: DataFrame | None = None, folder: str =
     """(doc_id, page_number, layout_block_id, box, input_pos, relative_path): files for image and chart blocks, and for
     the tables of ``found`` (as :func:`page_tables`) that have no Markdown. Files are numbered by document."""
     rows = blocks.where(categories.image_block(F.col("raw_category"))).withColumn("input_pos", F.col("block_pos"))
-    parts = [documents.asset_manifest(rows, "image", folder).join(rows.select("doc_id", F.col("block_id").alias("layout_block_id"), "input_pos"), ["doc_id", "layout_block_id"])]
+    parts = [documents.asset_manifest(rows, "image", folder)]
     if found is not None:
         rest = found.where("markdown IS NULL").withColumnRenamed("layout_block_id", "block_id")
-        parts.append(documents.asset_manifest(rest, "table", folder).join(rest.select("doc_id", F.col("block_id").alias("layout_block_id"), "input_pos"), ["doc_id", "layout_block_id"]))
+        parts.append(documents.asset_manifest(rest, "table", folder))
     columns = ["doc_id", "page_number", "layout_block_id", *BOX, "input_pos", "relative_path"]
     out = parts[0].select(*columns)
     return out if len(parts) == 1 else out.unionByName(parts[1].select(*columns))

@@ -229,13 +229,15 @@ METADATA_PROMPT = "The text below is a paper's first page. Reply with a JSON obj
 def generated(docs: DataFrame, ask: Callable[[str], str], target: str | None = None) -> DataFrame:
     """(doc_id, title, abstract, organization, summary): what a language model says of ``markdown`` (the summary) and of
     ``first_page`` (the rest). ``ask`` runs in the tasks. A null text isn't sent; what fails is null, and so is what a
-    reply leaves out. doc_id must be a long; an empty table gives no rows. A task that is run again asks again: write the
+    reply leaves out; a refused key or a used-up quota is an error. doc_id must be a long; an empty table gives no rows. A task that is run again asks again: write the
     result before using it twice."""
     keys = ("title", "abstract", "organization")
 
     def attempt(head: str, text: str | None) -> str | None:
         try:
             return ask(head + text) if text else None
+        except (ConfigurationError, QuotaError):
+            raise
         except Exception:
             return None
 

@@ -122,7 +122,7 @@ def side_by_side_name(stem: Column, extension: str = ".pdf") -> Column:
 
 
 def asset_manifest(blocks: DataFrame, prefix: str, folder: str, by_page: bool = False) -> DataFrame:
-    """(doc_id, page_number, layout_block_id, box, name, relative_path): files that images, tables or crops are written
+    """(doc_id, page_number, layout_block_id, box, input_pos, name, relative_path): files that images, tables or crops are written
     to, numbered by document or page. ``blocks``: block_id, box, input_pos."""
     rows = numbered(blocks, prefix, by_page)
-    return rows.select("doc_id", "page_number", F.col("block_id").alias("layout_block_id"), "x0", "y0", "x1", "y1", "name", F.concat(F.lit(folder.rstrip("/") + "/"), "name", F.lit(".png")).alias("relative_path"))
+    return rows.select("doc_id", "page_number", F.col("block_id").alias("layout_block_id"), "x0", "y0", "x1", "y1", "input_pos", "name", F.concat(F.lit(folder.rstrip("/") + "/"), "name", F.lit(".png")).alias("relative_path"))

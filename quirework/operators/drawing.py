@@ -22,8 +22,7 @@ def draw_plan(paragraphs: DataFrame, font: fit.Font = fit.Font(), config: fit.Fi
     if missing:
         raise ValueError(f"paragraphs need {sorted(missing)}")
     some = paragraphs.where("translated_text <> ''").withColumns({"rotation": F.coalesce("rotation", F.lit(0.0)), "alignment": F.coalesce("alignment", F.lit("left"))})
-    fitted = fit.fit(some.withColumn("text", F.col("translated_text")), font, config)
-    rows = some.select("doc_id", "page_number", "id", "x0", "y0", "x1", "y1", "rotation", "alignment").join(fitted, ["doc_id", "id"])
+    rows = fit.fit(some.withColumn("text", F.col("translated_text")), font, config, ("doc_id", "page_number", "id", "x0", "y0", "x1", "y1", "rotation", "alignment"))
     lines = rows.select("*", F.posexplode("lines").alias("line_no", "l")).withColumn("width", F.col("l.width")).withColumn("y_position", F.col("l.y_position"))
     return fit.place_lines(lines).select("doc_id", "page_number", "id", "line_no", F.col("l.text").alias("text"), "font_size", "x", "y")
 

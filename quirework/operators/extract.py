@@ -23,55 +23,9 @@ def select_pages(docs: DataFrame, page_range: list[int] | None) -> DataFrame:
     return rows.select("doc_id", F.when(renumbered, F.try_element_at(numbers, F.col("at") + 1)).otherwise(F.col("at")).alias("page_number"), "page")
 
 
-def spans(pages: DataFrame) -> DataFrame:
-    """One row for each span, with the place of its block, line and itself."""
-    b = pages.select("doc_id", "page_number", F.posexplode("page.blocks").alias("block", "b"))
-    li = b.select("doc_id", "page_number", "block", F.posexplode("b.lines").alias("line_no", "li"))
-    s = li.select("doc_id", "page_number", "block", "line_no", F.posexplode("li.spans").alias("span_no", "s"))
-    return s.select("doc_id", "page_number", "block", "line_no", "span_no", F.coalesce("s.text", F.lit("")).alias("text"), F.col("s.font.size").alias("size"), F.coalesce("s.font.weight", F.lit(400)).alias("weight"), F.coalesce("s.font.flags", F.lit(0)).alias("flags"), F.coalesce("s.font.name", F.lit("")).alias("name"), F.coalesce("s.rotation", F.lit(0.0)).alias("rotation"))
-
-
 BLOCK = ["doc_id", "page_number", "block"]
 
 
-def _voted(rows: DataFrame, value: Column, name: str, first_seen: bool) -> DataFrame:
-    """Weighted mode: the value with most characters; of equals the first seen, or the smallest."""
-    v = rows.groupBy(*BLOCK, value.alias("v")).agg(F.sum(F.length("text")).alias("w"), F.min(F.struct("line_no", "span_no")).alias("first"))
-    order = F.struct(-F.col("w"), *([F.col("first")] if first_seen else []), "v")
-    return v.groupBy(*BLOCK).agg(F.min_by("v", order).alias(name))
-
-
-def font_size_mode(rows: DataFrame) -> DataFrame:
-    """Sizes on a grid of 0.1; 12 where no span has one."""
-    found = _voted(rows.where("size IS NOT NULL"), F.round("size", 1), "font_size", False)
-    return rows.select(*BLOCK).distinct().join(found, BLOCK, "left").select(*BLOCK, F.coalesce("font_size", F.lit(12.0)).alias("font_size"))
-
-
-def font_name_mode(rows: DataFrame) -> DataFrame:
-    return _voted(rows.where("name <> ''"), F.col("name"), "font_name", True)
-
-
-def rotation_mode(rows: DataFrame) -> DataFrame:
-    return _voted(rows, F.degrees("rotation"), "rotation", True)
-
-
-def style_votes(rows: DataFrame) -> DataFrame:
-    """Bold and italic by a majority of characters."""
-    name = F.lower("name")
-    bold = (F.col("weight") >= 700) | name.contains("bold") | name.contains("medi")
-    italic = (F.col("flags").bitwiseAND(64) != 0) | name.contains("italic") | name.contains("oblique")
-    share = lambda c: F.sum(F.when(c, F.length("text")).otherwise(0)) * 2 > F.sum(F.length("text"))
-    return rows.groupBy(*BLOCK).agg(share(bold).alias("is_bold"), share(italic).alias("is_italic"))
-
-
-def block_text(rows: DataFrame) -> DataFrame:
-    """text and line_count; blocks without text go."""
-    w = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("span_no", "text"))), lambda x: x["text"]), "")
-    lines = rows.groupBy(*BLOCK, "line_no").agg(t.strip(w).alias("line")).where("line <> ''")
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), " ")
-    return lines.groupBy(*BLOCK).agg(t.collapse(text).alias("text"), F.count(F.lit(1)).cast("int").alias("line_count"))
-
-
 def _block_mode(spans: str, value: str, first_seen: bool, some: str = "true") -> str:
     """SQL of the weighted mode of ``value`` over an array of spans ``s`` (text, w, and n, the place): the one with most
     characters; of equals the first seen, or the smallest. Null where no span is in ``some``."""

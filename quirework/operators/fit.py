@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # Characters that begin no line, and such that end none.
 NOT_FIRST = frozenset("。、．，：；！？）」』】〉》〕］｝)ぁぃぅぇぉっゃゅょゎァィゥェォッャュョヮー々ゝゞヽヾ")
@@ -178,19 +179,20 @@ def wrap(paragraphs: DataFrame, size: float, font: Font = Font()) -> DataFrame:
     return out.withColumn("is_break", F.col("line") == BREAK)
 
 
-def fit(paragraphs: DataFrame, font: Font = Font(), config: FitConfig = FitConfig()) -> DataFrame:
-    """(doc_id, id, font_size, fits, total_height, lines array<text, width, y_position>). Text near 90 or 270 degrees
-    runs along the box's height."""
+def fit(paragraphs: DataFrame, font: Font = Font(), config: FitConfig = FitConfig(), keep: tuple[str, ...] = ("doc_id", "id")) -> DataFrame:
+    """(the columns of ``keep``, font_size, fits, total_height, lines array<text, width, y_position>). Text near 90 or 270
+    degrees runs along the box's height."""
     turn = F.pmod(F.coalesce("rotation", F.lit(0.0)) if "rotation" in paragraphs.columns else F.lit(0.0), F.lit(360.0))
     sideways = turn.between(85, 95) | turn.between(265, 275)
     w, h = F.expr("x1 - x0"), F.expr("y1 - y0")
-    rows = paragraphs.select("doc_id", "id", "text", F.when(sideways, h).otherwise(w).alias("w"), F.when(sideways, w).otherwise(h).alias("h"), "y1", F.col("original_font_size").alias("size"))
+    kept = F.struct(*keep).alias("kept")
+    rows = paragraphs.select(kept, "text", F.when(sideways, h).otherwise(w).alias("w"), F.when(sideways, w).otherwise(h).alias("h"), "y1", F.col("original_font_size").alias("size"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             sizes, oks, talls, counts = [], [], [], []
             texts, widths, places = [], [], []
-            for text, w, h, top, size in zip(*(b.column(i).to_pylist() for i in range(2, 7))):
+            for text, w, h, top, size in zip(*(b.column(i).to_pylist() for i in range(1, 6))):
                 size, fits, tall, lines = fit_text(text or "", w, h, size, font, config)
                 y, step, before = top - font.ascent * size, font.line_height(size), len(texts)
                 for line in lines:
@@ -206,11 +208,13 @@ def fit(paragraphs: DataFrame, font: Font = Font(), config: FitConfig = FitConfi
             lines = pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(widths, pa.float64()), pa.array(places, pa.float64())], ["text", "width", "y_position"])
             offsets = pa.array(np.concatenate([[0], np.cumsum(counts)]).astype(np.int32))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array(sizes, pa.float64()), pa.array(oks, pa.bool_()), pa.array(talls, pa.float64()), pa.ListArray.from_arrays(offsets, lines)],
-                names=["doc_id", "id", "font_size", "fits", "total_height", "lines"],
+                [b.column(0), pa.array(sizes, pa.float64()), pa.array(oks, pa.bool_()), pa.array(talls, pa.float64()), pa.ListArray.from_arrays(offsets, lines)],
+                names=["kept", "font_size", "fits", "total_height", "lines"],
             )
 
-    return rows.mapInArrow(run, "doc_id long, id string, font_size double, fits boolean, total_height double, lines array<struct<text: string, width: double, y_position: double>>")
+    lines = "font_size double, fits boolean, total_height double, lines array<struct<text: string, width: double, y_position: double>>"
+    out = rows.mapInArrow(run, T.StructType([rows.schema["kept"], *T.StructType.fromDDL(lines)]))
+    return out.select("kept.*", "font_size", "fits", "total_height", "lines")
 
 
 def place_lines(lines: DataFrame) -> DataFrame:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .translate import ConfigurationError, QuotaError
+
 
 def _joined(rows: Column, sep: str) -> Column:
     return F.array_join(F.transform(F.array_sort(F.collect_list(rows)), lambda x: x["text"]), sep)
@@ -23,8 +25,13 @@ def layout_summary(paragraphs: DataFrame, title: str = "doc_title", abstract: st
         found = found.withColumns({c: F.lit(None).cast("string") for c in ("gt", "ga", "organization")})
     else:
         found = found.join(generated.select("doc_id", F.col("title").alias("gt"), F.col("abstract").alias("ga"), "organization"), "doc_id", "left")
-    source = lambda c: F.when(F.col(c).isNotNull(), "layout").otherwise("llm")
-    return found.select("doc_id", F.coalesce("t", "gt").alias("title"), F.coalesce("a", "ga").alias("abstract"), "organization", source("t").alias("title_source"), source("a").alias("abstract_source"))
+    # the source is layout unless a model's text stands in; an empty one does not
+    given = lambda c: F.nullif(F.col(c), F.lit(""))
+    source = lambda own, other: F.when(F.col(own).isNull() & given(other).isNotNull(), "llm").otherwise("layout")
+    return found.select(
+        "doc_id", F.coalesce("t", given("gt")).alias("title"), F.coalesce("a", given("ga")).alias("abstract"), "organization",
+        source("t", "gt").alias("title_source"), source("a", "ga").alias("abstract_source"),
+    )
 
 
 def has_content(title: Column, abstract: Column, summary: Column, thumbnail: Column) -> Column:
@@ -44,26 +51,40 @@ def document_text(paragraphs: DataFrame) -> DataFrame:
 MARGIN = "。、！？「」『』（）…―　0123456789"
 
 
+def charsets(paragraphs: DataFrame, margin: str = MARGIN, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """(keys, is_bold, is_italic, chars): the different characters of each document (or of other ``keys``) and style, with
+    those of ``margin``, in code point order; styles without text have none.
+
+    A paragraph's characters become bits in blocks of 64 code points, and blocks are joined by a bitwise or, map-side
+    first: what moves is one row a block, not one a character."""
+    points = F.array_distinct(F.transform(F.regexp_extract_all(F.concat("text", F.lit(margin)), F.lit("(?s)."), F.lit(0)), F.ascii))
+    blocks = F.expr("transform(array_distinct(transform(points, p -> p div 64)), b -> struct(b AS block, aggregate(filter(points, p -> p div 64 = b), 0L, (bits, p) -> bits | shiftleft(1L, p % 64)) AS bits))")
+    rows = paragraphs.where("text <> ''").select(*keys, "is_bold", "is_italic", points.alias("points")).select(*keys, "is_bold", "is_italic", F.inline(blocks))
+    style = [*keys, "is_bold", "is_italic"]
+    joined = rows.groupBy(*style, "block").agg(F.bit_or("bits").alias("bits"))
+    text = F.expr("array_join(flatten(transform(array_sort(collect_list(struct(block, bits))), x -> transform(filter(sequence(0, 63), i -> shiftrightunsigned(x.bits, i) & 1 = 1), i -> char_of(x.block * 64 + i)))), '')".replace("char_of(x.block * 64 + i)", "decode(unhex(lpad(hex(x.block * 64 + i), 8, '0')), 'UTF-32')"))
+    return joined.groupBy(*style).agg(text.alias("chars"))
+
+
 def style_charsets(paragraphs: DataFrame, margin: str = MARGIN) -> DataFrame:
-    """Different characters by style, and those of ``margin`` for each style that has any; rows are made distinct
-    map-side before they move."""
-    chars = F.concat(F.split("text", ""), F.lit(list(margin)).cast("array<string>"))
-    return paragraphs.where("text <> ''").select("is_bold", "is_italic", F.explode(F.array_distinct(chars)).alias("ch")).where("ch <> ''").distinct()
+    """(is_bold, is_italic, ch): the different characters of the whole corpus by style, a row for each."""
+    return charsets(paragraphs, margin, ()).select("is_bold", "is_italic", F.explode(F.regexp_extract_all("chars", F.lit("(?s)."), F.lit(0))).alias("ch"))
 
 
 def subset_keys(charsets: DataFrame, identity: str, number: int = 0) -> DataFrame:
-    """A cache key for each style: 16 hex digits of a digest of font, number and sorted characters."""
-    chars = F.array_join(F.array_sort(F.collect_set("ch")), "")
-    return charsets.groupBy("is_bold", "is_italic").agg(F.substring(F.sha2(F.concat(F.lit(f"{identity}:{number}:"), chars), 256), 1, 16).alias("cache_key"))
+    """A cache key for each row of :func:`charsets`: 16 hex digits of a digest of font, number and sorted characters."""
+    return charsets.select("*", F.substring(F.sha2(F.concat(F.lit(f"{identity}:{number}:"), "chars"), 256), 1, 16).alias("cache_key")).drop("chars")
 
 
 def translated_summary(summaries: DataFrame, backend, source: str, target: str, write: Callable[[str], str] | None = None) -> DataFrame:
     """(doc_id, title, abstract, summary) in the target language; ``write`` makes the summary of ``markdown``. What
-    fails is null, and documents of which all is null are left out."""
+    fails is null, and documents of which all is null are left out; a refused key or a used-up quota is an error."""
 
     def attempt(f, x):
         try:
             return f(x) if x else None
+        except (ConfigurationError, QuotaError):
+            raise
         except Exception:
             return None
 

@@ -19,13 +19,18 @@ class TableConfig:
     min_cols: int = 2
 
 
+def table_id(prefix: str = "") -> Column:
+    """A block's table, by document, page and block: a block's id may be found on several pages."""
+    return F.concat_ws("/", F.col(f"{prefix}doc_id").cast("string"), F.col(f"{prefix}page_number").cast("string"), f"{prefix}block_id")
+
+
 def objects_in_tables(objects: DataFrame, blocks: DataFrame, config: TableConfig = TableConfig()) -> DataFrame:
     """(table_id, pos, text, x0, y0, x1, y1) for each object whose whole box lies in a block's, give or take ``slack``.
     ``objects`` (pos, text, box) and ``blocks`` (block_id, box) join on document and page; the boxes are the residual
-    condition. table_id names document and block, so the table operators run on the result as it is."""
+    condition. table_id names document, page and block, so the table operators run on the result as it is."""
     inside = " AND ".join([f"o.{k}0 >= b.{k}0 - {config.slack}D AND o.{k}1 <= b.{k}1 + {config.slack}D" for k in "xy"])
     rows = blocks.alias("b").join(objects.alias("o"), F.expr(f"b.doc_id = o.doc_id AND b.page_number = o.page_number AND {inside}"))
-    return rows.select(F.concat_ws("/", F.col("b.doc_id").cast("string"), "b.block_id").alias("table_id"), *[f"o.{c}" for c in ("pos", "text", "x0", "y0", "x1", "y1")])
+    return rows.select(table_id("b.").alias("table_id"), *[f"o.{c}" for c in ("pos", "text", "x0", "y0", "x1", "y1")])
 
 
 def complex_merges(found: DataFrame) -> DataFrame:

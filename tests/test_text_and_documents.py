@@ -377,3 +377,49 @@ def test_no_documents(spark):
     empty = sources.empty_core(spark)
     some = sources.parse_core(spark.createDataFrame([("a", '{"pages": []}')], "doc_id string, json string"))
     assert empty.columns == some.columns and empty.unionByName(some).count() == 1 and sources.text_objects(empty).count() == 0
+
+
+def test_summary_sources(spark):
+    """Layout is the source unless a model's text stands in; an empty text of a model does not."""
+    p = spark.createDataFrame([(i, 0, "text", "b", 1.0, 0) for i in range(3)] + [(3, 0, "doc_title", "T", 1.0, 0)], "doc_id long, page_number int, category string, text string, y1 double, input_pos int")
+    made = spark.createDataFrame([(0, "made", ""), (1, "", "a"), (3, "made", None)], "doc_id long, title string, abstract string").withColumn("organization", F.lit(None).cast("string"))
+    got = {r.doc_id: (r.title, r.abstract, r.title_source, r.abstract_source) for r in summary.layout_summary(p, generated=made).collect()}
+    assert got == {0: ("made", None, "llm", "layout"), 1: (None, "a", "layout", "llm"), 2: (None, None, "layout", "layout"), 3: ("T", None, "layout", "layout")}
+    assert {r.title_source for r in summary.layout_summary(p).collect()} == {"layout"}
+
+
+def test_refused_keys_are_errors(spark):
+    class Refusing:
+        name, max_text_length = "refusing", None
+
+        def translate_batch(self, texts, source, target):
+            raise translate.ConfigurationError("the key was refused")
+
+    def used_up(prompt):
+        raise translate.QuotaError("the quota is used up")
+
+    rows = spark.createDataFrame([(1, "T", None, "md")], "doc_id long, title string, abstract string, markdown string")
+    with pytest.raises(Exception, match="the key was refused"):
+        summary.translated_summary(rows, Refusing(), "en", "ja").collect()
+    with pytest.raises(Exception, match="the quota is used up"):
+        backends.generated(rows.withColumn("first_page", F.lit("x")), used_up).collect()
+
+
+def test_character_sets_of_documents(spark):
+    rows = [(1, False, False, "ab\U0001f600"), (1, False, False, "日bé"), (1, True, False, "z"), (2, False, False, ""), (3, None, False, "\x7f\x80\xff")]
+    p = spark.createDataFrame(rows, "doc_id long, is_bold boolean, is_italic boolean, text string")
+    got = {(r.doc_id, r.is_bold): r.chars for r in summary.charsets(p, "").collect()}
+    assert got == {(1, False): "abé日\U0001f600", (1, True): "z", (3, None): "\x7f\x80\xff"}
+    plan = summary.charsets(p)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Generate inline" in plan and "explode" not in plan  # blocks of code points, not characters
+    whole = {(r.is_bold): r.chars for r in summary.charsets(p, "", ()).collect()}
+    assert whole[False] == "abé日\U0001f600"
+
+
+def test_tables_of_different_pages_stay_apart(spark):
+    from quirework.operators import tables
+
+    box = "doc_id long, page_number int, {} x0 double, y0 double, x1 double, y1 double"
+    blocks = spark.createDataFrame([(1, n, "b", 0.0, 0.0, 100.0, 100.0) for n in (0, 1)], box.format("block_id string,"))
+    objects = spark.createDataFrame([(1, n, n, f"t{n}", 5.0, 5.0, 9.0, 9.0) for n in (0, 1)], box.format("pos long, text string,"))
+    assert sorted((r.table_id, r.text) for r in tables.objects_in_tables(objects, blocks).collect()) == [("1/0/b", "t0"), ("1/1/b", "t1")]

@@ -6,9 +6,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import text as t
-from .operators import categories, chunking, documents, evaluate, extract, geometry, markdown, match, merge, splitting, summary, tables, translate
+from .operators import categories, chunking, documents, evaluate, extract, geometry, markdown, match, merge, splitting, summary, tables, translate, translation_cache
 from .plans.views import duck, spark_view
 from .sources import documents as sources
+from .sources import scratch
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -434,6 +435,33 @@ def mock_translate(spark, d):
     return translate.translate_paragraphs(paragraphs(spark, d), translate.MockBackend(), "en", "ja").select("doc_id", "id", "translated_text")
 
 
+class _FlakyBackend(translate.MockBackend):
+    """Texts of which the length is a multiple of seven fail in the first run."""
+
+    name = "flaky"
+
+    def __init__(self, failing: bool):
+        super().__init__()
+        self.failing, self.concurrency, self.batch_size = failing, 4, 1
+
+    def translate_batch(self, texts, source, target):
+        if self.failing and any(len(x) % 7 == 0 for x in texts):
+            raise translate.ConfigurationError("refused")
+        return super().translate_batch(texts, source, target)
+
+
+@query(f"""SELECT sha256(concat_ws(chr(31), 'flaky', 'en', 'ja', text)) AS key, concat('[translated]', text) AS result, CASE WHEN length(text)%7=0 THEN 2 ELSE 1 END AS asked, CASE WHEN length(text)%7=0 THEN 'ConfigurationError' END AS first_error
+ FROM (SELECT DISTINCT text FROM v_paragraphs WHERE (category IS NULL OR category IN {IN_SET}) AND trim(text)<>'')""", "v_paragraphs")
+def translate_cached(spark, d):
+    """Two runs over the same paragraphs: the second one asks for what failed in the first, and every different text has one answer."""
+    cache = translation_cache.TranslationCache(spark, scratch.shared_folder(spark, "translations"))
+    p = paragraphs(spark, d).where("trim(text) <> ''")
+    for run in ("1", "2"):
+        translation_cache.translate_cached(p, _FlakyBackend(run == "1"), "en", "ja", cache, run, size=1000)
+    first = cache.rows().where("run = '1'").select("key", F.col("error_class").alias("first_error"))
+    return cache.outcomes().join(first, "key", "left").select("key", "result", "asked", "first_error")
+
+
 @query("""WITH l(prefix, lim) AS (VALUES ('promo', 10), ('PROMO B', 11), ('STANDARD', 20), ('ECONOMY', 30), ('ECONOMY A', 31), ('SMALL', 40))
  SELECT p_partkey, p_type, coalesce((SELECT lim FROM l WHERE starts_with(upper(p_type), upper(prefix)) ORDER BY length(prefix) DESC LIMIT 1), 5) AS lim FROM part""")
 def model_limit_prefix(spark, d):

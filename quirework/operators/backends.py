@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .translate import ConfigurationError, LengthMismatch, MockBackend, QuotaError, TranslationError, batches
+from .translate import ConfigurationError, LengthMismatch, MockBackend, QuotaError, RateLimited, TranslationError, batches
 
 # Names of languages in prompts.
 LANGUAGES = {
@@ -55,6 +55,8 @@ def post(url: str, body: bytes, headers: dict[str, str]) -> tuple[int, str]:
 def check_status(status: int) -> None:
     if status in (401, 403):
         raise ConfigurationError("the key was refused")
+    if status == 429:
+        raise RateLimited("too many requests")
     if status == 456:
         raise QuotaError("the quota is used up")
     if status != 200:
@@ -158,6 +160,9 @@ class QueryBackend:
     name: str = "google"
     max_text_length: int | None = 5000
     send: Post = post
+    #: One text a request, so five requests in flight are five texts.
+    concurrency: int = 5
+    batch_size: int = 1
 
     def translate_batch(self, texts: list[str], source: str, target: str) -> list[str]:
         out = []

@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import categories
-from .splitting import split_long_text
 
 
 class TranslationError(Exception):
@@ -26,6 +25,14 @@ class QuotaError(Exception):
     """Not worth another attempt."""
 
 
+class RateLimited(TranslationError):
+    """The service asks for a pause of ``seconds``; worth another attempt after it."""
+
+    def __init__(self, message: str, seconds: float = 1.0):
+        super().__init__(message)
+        self.seconds = seconds
+
+
 class LengthMismatch(TranslationError):
     """A backend returned another number of texts than it got."""
 
@@ -109,21 +116,22 @@ def batches(texts: list[str], size: int, most_tokens: int | None, tokens: Callab
 
 def translate_paragraphs(paragraphs: DataFrame, backend: Backend, source: str, target: str, size: int = 20, most_tokens: int | None = None, strict: bool = False) -> DataFrame:
     """``paragraphs`` with translated_text; rows that are not translatable keep null and never reach the backend. Long
-    texts go in parts. Calls happen in the tasks, and a task that is run again calls again: write the result before
-    using it twice."""
+    texts go in parts, and a backend's number of batches is in flight at a time. Calls happen in the tasks, and a task
+    that is run again calls again: write the result before using it twice, or use a cache (translation_cache)."""
+    from . import asking
+
     rest = paragraphs.drop("translated_text")
     need = categories.translatable(F.col("category")) & F.col("text").isNotNull()
     schema = rest.select("*", F.lit("").alias("translated_text")).schema
     schema["translated_text"].nullable = True
-    sep = "" if target.lower() in ("ja", "zh") else " "
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            most = backend.max_text_length
-            parts = [split_long_text(t, most) if most else [t] for t in pdf["text"]]
-            flat = [p for ps in parts for p in ps]
-            done = iter([t for b in batches(flat, size, most_tokens) for t in translate_all(backend, b, source, target, strict=strict)])
-            yield pdf.assign(translated_text=[sep.join([next(done) for _ in ps]) for ps in parts])
+            found = asking.ask(backend, list(pdf["text"]), source, target, size, most_tokens, strict=strict)
+            for o in found:
+                if o.error_class:
+                    raise asking.raised(o)
+            yield pdf.assign(translated_text=[o.result for o in found])
 
     got = rest.where(need).mapInPandas(run, schema)
     return got.unionByName(rest.where(~need).withColumn("translated_text", F.lit(None).cast("string")))

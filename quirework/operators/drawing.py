@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from . import documents, fit
+from . import documents, fit, folds
 
 
 def page_boxes(paragraphs: DataFrame) -> DataFrame:
@@ -51,7 +51,7 @@ def remove_objects(objects: DataFrame, ids: DataFrame | None = None) -> DataFram
 def edit_stream(pages: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """(doc_id, page_number, ops) of ``ops array<struct<op string, args array<double>>>`` and ``boxes``: text shown at a
     point in any box goes. The text position is the state of a fold over the page's operations; those that also move
-    to the next line or set spacing keep that."""
+    to the next line or set spacing keep that. Linear in a page's operations."""
     at = "(s.x BETWEEN b.x0 - {t} AND b.x1 + {t} AND {y} BETWEEN b.y0 - {t} AND b.y1 + {t})"
     here = f"exists(boxes, b -> {at.format(t=f'{tolerance}D', y='s.y')})"
     below = f"exists(boxes, b -> {at.format(t=f'{tolerance}D', y='(s.y - s.lead)')})"
@@ -67,4 +67,14 @@ def edit_stream(pages: DataFrame, tolerance: float = 0.5) -> DataFrame:
       ELSE array(e) END"""
     start = "named_struct('inside', false, 'x', 0D, 'y', 0D, 'lead', 0D, 'out', slice(ops, 1, 0))"
     step = f"named_struct('inside', CASE WHEN e.op = 'BT' THEN true WHEN e.op = 'ET' THEN false ELSE s.inside END, 'x', {x}, 'y', {y}, 'lead', {lead}, 'out', concat(s.out, {kept}))"
-    return pages.withColumn("ops", F.expr(f"aggregate(ops, {start}, (s, e) -> {step}, s -> s.out)"))
+    fold = F.expr(f"aggregate(ops, {start}, (s, e) -> {step}, s -> s.out)")
+    # many operations: what becomes of each, then all at once
+    code = "array_position(array({}), o.op)".format(", ".join("'" + n.replace("'", "\\'") + "'" for n in folds.OPS))
+    six = f"array({', '.join(f'coalesce(get(o.args, {i}), 0D)' for i in range(6))})"
+    sides = "flatten(transform(filter(boxes, b -> b IS NOT NULL), b -> array(b.x0, b.y0, b.x1, b.y1)))"
+    given = [F.expr(f"transform(ops, o -> CAST({code} AS INT))"), F.expr("transform(ops, o -> coalesce(size(o.args), 0))"), F.expr(f"flatten(transform(ops, o -> {six}))"), F.expr(sides)]
+    changed = f"""CASE a WHEN {folds.DROP} THEN slice(array(e), 1, 0) WHEN {folds.NEXT_LINE} THEN array({op('T*')})
+      WHEN {folds.SPACED_NEXT_LINE} THEN array({op('Tw', f'array({arg(0)})')}, {op('Tc', f'array({arg(1)})')}, {op('T*')}) ELSE array(e) END"""
+    actions = folds.routed(F.lit(None).cast("array<int>"), F.size("ops"), folds.stream(tolerance), *given)
+    made = F.when(F.col("__actions").isNull(), fold).otherwise(F.expr(f"flatten(zip_with(ops, __actions, (e, a) -> {changed}))"))
+    return pages.withColumn("__actions", actions).withColumn("ops", made).drop("__actions")

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
+from . import folds
 
 
 @dataclass(frozen=True)
@@ -46,12 +47,13 @@ def _or(found: DataFrame, name: str, default) -> Column:
 
 def cluster_rows(objects: DataFrame, config: TableConfig = TableConfig()) -> DataFrame:
     """Objects with ``row`` (0 at the top) and ``in_row`` (left to right). A row takes what lies within the tolerance
-    of its first object, so this is a fold."""
+    of its first object, so this is a fold; linear in a table's objects."""
     arr = objects.groupBy("table_id").agg(F.array_sort(F.collect_list(F.struct((-F.col("y0")).alias("k"), "pos", "text", "x0", "y0", "x1", "y1"))).alias("ts"))
     new = f"s.n < 0 OR abs(e.y0 - s.y) > {config.y_tolerance}D"
     fold = f"""aggregate(ts, named_struct('n', -1, 'y', 0D, 'out', CAST(array() AS ARRAY<INT>)), (s, e) -> named_struct('n', CASE WHEN {new} THEN s.n + 1 ELSE s.n END,
       'y', CASE WHEN {new} THEN e.y0 ELSE s.y END, 'out', concat(s.out, array(CASE WHEN {new} THEN s.n + 1 ELSE s.n END))), s -> s.out)"""
-    z = arr.select("table_id", F.posexplode(F.arrays_zip("ts", F.expr(fold).alias("row"))).alias("seq", "z"))
+    row = folds.routed(F.expr(fold), F.size("ts"), folds.rows(config.y_tolerance), F.transform("ts", lambda x: x["y0"]))
+    z = arr.withColumn("row", row).select("table_id", F.posexplode(F.arrays_zip("ts", "row")).alias("seq", "z"))
     rows = z.select("table_id", F.col("z.row").alias("row"), "seq", "z.ts.pos", "z.ts.text", "z.ts.x0", "z.ts.y0", "z.ts.x1", "z.ts.y1")
     return rows.withColumn("in_row", F.row_number().over(Window.partitionBy("table_id", "row").orderBy("x0", "seq")) - 1).drop("seq")
 

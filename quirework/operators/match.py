@@ -6,15 +6,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
-from . import categories
+from . import categories, spatial
 
 THRESHOLD = 0.5
 
 
 def containment_pairs(inner: DataFrame, outer: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """Pairs on one page whose containment reaches the threshold. The join is a hash or merge join on (document,
-    page), so a page's boxes meet each other only."""
-    pairs = inner.alias("p").join(outer.alias("b"), F.expr(f"p.doc_id = b.doc_id AND p.page_number = b.page_number AND {g.containment('p', 'b')} >= {threshold}D AND {g.intersection_area('p', 'b')} > 0"))
+    """Structs p and b: pairs on one page whose containment reaches the threshold. The join is a hash or merge join on
+    (document, page), so a page's boxes meet each other only, and those of a crowded page by tiles."""
+    pairs = spatial.page_join(inner, outer, f"{g.containment('p', 'b')} >= {threshold}D AND {g.intersection_area('p', 'b')} > 0")
     return pairs.withColumn("containment", F.expr(g.containment("p", "b")))
 
 
@@ -43,8 +43,8 @@ def translatable_objects(matched: DataFrame) -> DataFrame:
 
 def uncovered(points: DataFrame, boxes: DataFrame, tolerance: float = 0.5) -> DataFrame:
     """Points (doc_id, page_number, x, y) that lie in no box of their page."""
-    inside = F.expr(f"p.doc_id = b.doc_id AND p.page_number = b.page_number AND p.x BETWEEN b.x0 - {tolerance}D AND b.x1 + {tolerance}D AND p.y BETWEEN b.y0 - {tolerance}D AND b.y1 + {tolerance}D")
-    return points.alias("p").join(boxes.alias("b"), inside, "left_anti")
+    inside = f"p.x BETWEEN b.x0 - {tolerance}D AND b.x1 + {tolerance}D AND p.y BETWEEN b.y0 - {tolerance}D AND b.y1 + {tolerance}D"
+    return spatial.page_join(points, boxes, inside, "left_anti", tolerance, points=True)
 
 
 def first_by(df: DataFrame, keys: list[str], *order) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
-from . import folds
+from . import folds, spatial
 
 
 @dataclass(frozen=True)
@@ -28,10 +28,10 @@ def table_id(prefix: str = "") -> Column:
 def objects_in_tables(objects: DataFrame, blocks: DataFrame, config: TableConfig = TableConfig()) -> DataFrame:
     """(table_id, pos, text, x0, y0, x1, y1) for each object whose whole box lies in a block's, give or take ``slack``.
     ``objects`` (pos, text, box) and ``blocks`` (block_id, box) join on document and page; the boxes are the residual
-    condition. table_id names document, page and block, so the table operators run on the result as it is."""
-    inside = " AND ".join([f"o.{k}0 >= b.{k}0 - {config.slack}D AND o.{k}1 <= b.{k}1 + {config.slack}D" for k in "xy"])
-    rows = blocks.alias("b").join(objects.alias("o"), F.expr(f"b.doc_id = o.doc_id AND b.page_number = o.page_number AND {inside}"))
-    return rows.select(table_id("b.").alias("table_id"), *[f"o.{c}" for c in ("pos", "text", "x0", "y0", "x1", "y1")])
+    condition, and those of a crowded page meet by tiles. table_id names document, page and block, so the table operators run on the result as it is."""
+    inside = " AND ".join([f"p.{k}0 >= b.{k}0 - {config.slack}D AND p.{k}1 <= b.{k}1 + {config.slack}D" for k in "xy"])
+    rows = spatial.page_join(objects, blocks, inside, slack=config.slack)
+    return rows.select(table_id("b.").alias("table_id"), *[f"p.{c}" for c in ("pos", "text", "x0", "y0", "x1", "y1")])
 
 
 def complex_merges(found: DataFrame) -> DataFrame:

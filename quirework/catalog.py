@@ -9,7 +9,8 @@ from .functions import text as t
 from .operators import categories, chunking, documents, evaluate, extract, geometry, markdown, match, merge, splitting, summary, tables, translate, translation_cache
 from .plans.views import duck, spark_view
 from .sources import documents as sources
-from .sources import scratch
+from .sources import files, scratch
+from .sources import pages as page_source
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -576,6 +577,31 @@ def font_fallback(spark, d):
     return part.select("p_partkey", documents.fallback_font(F.col("name"), F.col("p_size") % 2 == 0, F.col("p_size") % 3 == 0).alias("font"))
 
 
+@query("SELECT 'd' || CAST(doc_id AS VARCHAR) AS doc_id, page_number, count(*) AS paragraphs, string_agg(text, chr(10) ORDER BY input_pos) AS text FROM v_paragraphs WHERE page_number IN (0, 2, 3) GROUP BY 1, 2", "v_paragraphs")
+def page_scan(spark, d):
+    """Pages as page files, of which the source reads three by their number."""
+    p = paragraphs(spark, d)
+    texts = F.transform(F.array_sort(F.collect_list(F.struct("input_pos", "text"))), lambda x: x["text"])
+    made = p.groupBy(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "page_number").agg(F.to_json(F.struct(texts.alias("texts"))).alias("json"))
+    folder = scratch.shared_folder(spark, "pages")
+    # pages without paragraphs are pages, too
+    last = made.groupBy("doc_id").agg(F.max("page_number").alias("last")).select("doc_id", F.explode(F.sequence(F.lit(0), "last")).alias("page_number"))
+    files.write_documents(page_source.page_files(last.join(made, ["doc_id", "page_number"], "left").withColumn("json", F.coalesce("json", F.lit('{"texts":[]}')))), F.col("name"), "content", folder)
+    found = page_source.read_page_files(spark, folder, "0,2-3").withColumn("p", F.from_json("json", "texts array<string>"))
+    return found.where("size(p.texts) > 0").select("doc_id", "page_number", F.size("p.texts").cast("long").alias("paragraphs"), F.array_join("p.texts", "\n").alias("text"))
+
+
+@query("SELECT concat('d', CAST(doc_id AS VARCHAR), e) AS file, CASE WHEN e='.json' THEN n ELSE t END AS paragraphs FROM (SELECT doc_id, count(*) AS n FROM v_paragraphs GROUP BY 1) LEFT JOIN (SELECT doc_id, count(*) AS t FROM v_translations WHERE translated_text<>'' GROUP BY 1) USING (doc_id), (VALUES ('.json'), ('.ja.json')) v(e) WHERE e='.json' OR t IS NOT NULL", "v_paragraphs", "v_translations")
+def document_files(spark, d):
+    """A file for each base document and translation, written and read back."""
+    p, stem, folder = translated(spark, d), F.format_string("d%d.pdf", "doc_id"), scratch.shared_folder(spark, "files")
+    files.write_documents(documents.base_documents(p, "en"), files.base_name(stem), "json", f"{folder}/base")
+    files.write_documents(documents.translation_documents(p, "ja", "mock", "2024-01-01T00:00:00"), files.translation_name(stem, "ja"), "json", f"{folder}/ja")
+    read = lambda kind: spark.read.text(f"{folder}/{kind}", wholetext=True).select(F.element_at(F.split("_metadata.file_name", "/"), -1).alias("file"), F.col("value").alias("json"))
+    base = read("base").select("file", F.from_json("json", documents.BASE)["metadata"]["paragraph_count"].cast("long").alias("paragraphs"))
+    return base.unionByName(read("ja").select("file", F.size(F.from_json("json", documents.TRANSLATION)["paragraphs"]).cast("long").alias("paragraphs")))
+
+
 # Fitting
 
 

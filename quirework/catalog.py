@@ -301,7 +301,7 @@ def summary_sources(spark, d):
     return summary.layout_summary(paragraphs(spark, d), "aside_text", "footnote", made)
 
 
-@query("SELECT doc_id, string_agg(text, chr(10) ORDER BY -y1, input_pos) AS text FROM v_paragraphs WHERE page_number=0 GROUP BY 1", "v_paragraphs")
+@query("SELECT doc_id, string_agg(text, chr(10)||chr(10) ORDER BY -y1, input_pos) FILTER (WHERE text<>'') AS text FROM v_paragraphs WHERE page_number=0 GROUP BY 1", "v_paragraphs")
 def first_page_text(spark, d):
     return summary.first_page_text(paragraphs(spark, d))
 

@@ -14,6 +14,7 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .translate import ConfigurationError, LengthMismatch, MockBackend, QuotaError, RateLimited, TranslationError, batches
 
@@ -234,7 +235,7 @@ METADATA_PROMPT = "The text below is a paper's first page. Reply with a JSON obj
 def generated(docs: DataFrame, ask: Callable[[str], str], target: str | None = None) -> DataFrame:
     """(doc_id, title, abstract, organization, summary): what a language model says of ``markdown`` (the summary) and of
     ``first_page`` (the rest). ``ask`` runs in the tasks. A null text isn't sent; what fails is null, and so is what a
-    reply leaves out; a refused key or a used-up quota is an error. doc_id must be a long; an empty table gives no rows. A task that is run again asks again: write the
+    reply leaves out; a refused key or a used-up quota is an error. An empty table gives no rows. A task that is run again asks again: write the
     result before using it twice."""
     keys = ("title", "abstract", "organization")
 
@@ -254,7 +255,7 @@ def generated(docs: DataFrame, ask: Callable[[str], str], target: str | None = N
             yield pa.RecordBatch.from_arrays([b.column(0), *[pa.array(f, pa.string()) for f in fields], pa.array(said, pa.string())], names=["doc_id", *keys, "summary"])
 
     rows = docs.select("doc_id", summary_text(F.col("markdown")).alias("markdown"), "first_page")
-    return rows.mapInArrow(run, "doc_id long, title string, abstract string, organization string, summary string")
+    return rows.mapInArrow(run, T.StructType([docs.schema["doc_id"], *T.StructType.fromDDL("title string, abstract string, organization string, summary string")]))
 
 
 def summary_content(markdown: str, most: int = 500_000) -> str:

@@ -44,9 +44,9 @@ def element(category: Column, overrides: dict[str, str] | None = None) -> Column
     return F.when(category.isNull(), "p").otherwise(out)
 
 
-def translatable(category: Column, chosen: tuple[str, ...] = TRANSLATABLE) -> Column:
+def translatable(category: Column, chosen: tuple[str, ...] | None = None) -> Column:
     """A paragraph without category is translatable."""
-    return category.isNull() | category.isin(*chosen)
+    return category.isNull() | category.isin(*(TRANSLATABLE if chosen is None else chosen))
 
 
 def skipped(category: Column, chosen: tuple[str, ...] | None = None) -> Column:

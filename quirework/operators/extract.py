@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -97,6 +99,19 @@ def detections(found: DataFrame, known: list[str], scale: float, page_height_px:
     b = found.select("doc_id", "page_number", F.explode("boxes").alias("b")).where(F.size("b.coordinate") == 4)
     c = lambda i: F.get("b.coordinate", F.lit(i)) / scale
     y = lambda i: (F.lit(page_height_px) - F.get("b.coordinate", F.lit(i))) / scale
+    return _blocks(b, known, c, y)
+
+
+def page_detections(found: DataFrame, known: list[str], scale: float, pages: DataFrame) -> DataFrame:
+    """:func:`detections` of pages of different heights (``pages``: doc_id, page_number, h in points), with ``block_pos``, the place of a box among
+    its page's."""
+    b = found.select("doc_id", "page_number", F.posexplode("boxes").alias("block_pos", "b")).where(F.size("b.coordinate") == 4)
+    b = b.join(pages.select("doc_id", "page_number", "h"), ["doc_id", "page_number"])
+    c = lambda i: F.get("b.coordinate", F.lit(i)) / scale
+    return _blocks(b, known, c, lambda i: F.col("h") - c(i), F.col("block_pos").cast("long").alias("block_pos"))
+
+
+def _blocks(b: DataFrame, known: list[str], c: Callable[[int], Column], y: Callable[[int], Column], *more: Column) -> DataFrame:
     label = F.when(F.col("b.label").isin(*known), F.col("b.label")).otherwise("unknown")
     name = F.sha2(F.to_json(F.struct("doc_id", "page_number", "b")), 256)
-    return b.select("doc_id", "page_number", name.alias("block_id"), label.alias("raw_category"), F.col("b.score").alias("confidence"), c(0).alias("x0"), y(3).alias("y0"), c(2).alias("x1"), y(1).alias("y1"))
+    return b.select("doc_id", "page_number", name.alias("block_id"), label.alias("raw_category"), F.col("b.score").alias("confidence"), c(0).alias("x0"), y(3).alias("y0"), c(2).alias("x1"), y(1).alias("y1"), *more)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import geometry as g
@@ -103,6 +103,12 @@ def merge_paragraphs(paragraphs: DataFrame, config: MergeConfig = MergeConfig())
     return page.select("doc_id", "page_number", F.posexplode("ps").alias("out_pos", "r")).select("doc_id", "page_number", "out_pos", F.col("r.col").alias("col"), *[f"r.p.{f}" for f in FIELDS], *[F.col(f"r.p.extra.`{c}`") for c in extra])
 
 
+def unmerged(paragraphs: DataFrame) -> DataFrame:
+    """Paragraphs as :func:`merge_paragraphs` returns them, each by itself, in their own order."""
+    at = F.row_number().over(Window.partitionBy("doc_id", "page_number").orderBy("input_pos")) - 1
+    return paragraphs.withColumn("out_pos", at).withColumn("col", F.lit(0))
+
+
 def merge_growth(merged: DataFrame, original: DataFrame) -> DataFrame:
     """Merged paragraphs whose text grew by more than a tenth."""
     before = original.select("doc_id", "id", F.length("text").alias("before"))

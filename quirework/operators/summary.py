@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .translate import ConfigurationError, QuotaError
 
@@ -34,13 +35,32 @@ def layout_summary(paragraphs: DataFrame, title: str = "doc_title", abstract: st
     )
 
 
+def base_summaries(paragraphs: DataFrame, markdown: DataFrame | None = None, ask: Callable[[str], str] | None = None, language: str | None = None, fallback: bool = False, write: bool = False) -> DataFrame:
+    """(doc_id, title, abstract, organization, summary, page_count, title_source, abstract_source): from layout; with ``ask``, a
+    language model fills gaps from the first page (``fallback``) and writes a summary of ``markdown`` (doc_id, markdown)
+    in ``language`` (``write``). The model is asked once a document for each, so write the result before using it twice."""
+    from . import backends
+
+    pages = paragraphs.groupBy("doc_id").agg((F.max("page_number") + 1).cast("int").alias("page_count"))
+    made = None
+    if ask is not None and (fallback or write):
+        first = first_page_text(paragraphs).withColumnRenamed("text", "first_page") if fallback else pages.select("doc_id", F.lit(None).cast("string").alias("first_page"))
+        given = pages.select("doc_id").join(first, "doc_id", "left")
+        given = given.join(markdown, "doc_id", "left") if write and markdown is not None else given.withColumn("markdown", F.lit(None).cast("string"))
+        made = backends.generated(given, ask, language)
+    found = layout_summary(paragraphs, generated=made)
+    said = pages.withColumn("summary", F.lit(None).cast("string")) if made is None else pages.join(made.select("doc_id", "summary"), "doc_id", "left")
+    return found.join(said, "doc_id").select("doc_id", "title", "abstract", "organization", "summary", "page_count", "title_source", "abstract_source")
+
+
 def has_content(title: Column, abstract: Column, summary: Column, thumbnail: Column) -> Column:
     return F.coalesce(title, abstract, summary, thumbnail).isNotNull()
 
 
 def first_page_text(paragraphs: DataFrame) -> DataFrame:
-    place = F.struct((-F.col("y1")).alias("k"), "input_pos", "text")
-    return paragraphs.where("page_number = 0").groupBy("doc_id").agg(_joined(place, "\n").alias("text"))
+    """(doc_id, text): the first page's paragraphs from the top, those without text left out, with blank lines between."""
+    place = F.when(F.col("text") != "", F.struct((-F.col("y1")).alias("k"), "input_pos", "text"))
+    return paragraphs.where("page_number = 0").groupBy("doc_id").agg(_joined(place, "\n\n").alias("text"))
 
 
 def document_text(paragraphs: DataFrame) -> DataFrame:
@@ -96,4 +116,4 @@ def translated_summary(summaries: DataFrame, backend, source: str, target: str,
             yield out[out[["title", "abstract", "summary"]].notna().any(axis=1)]
 
     columns = summaries.select("doc_id", "title", "abstract", "markdown" if "markdown" in summaries.columns else F.lit(None).cast("string").alias("markdown"))
-    return columns.mapInPandas(run, "doc_id long, title string, abstract string, summary string")
+    return columns.mapInPandas(run, T.StructType([summaries.schema["doc_id"], *T.StructType.fromDDL("title string, abstract string, summary string")]))

@@ -114,20 +114,20 @@ def batches(texts: list[str], size: int, most_tokens: int | None, tokens: Callab
         yield batch
 
 
-def translate_paragraphs(paragraphs: DataFrame, backend: Backend, source: str, target: str, size: int = 20, most_tokens: int | None = None, strict: bool = False) -> DataFrame:
+def translate_paragraphs(paragraphs: DataFrame, backend: Backend, source: str, target: str, size: int = 20, most_tokens: int | None = None, strict: bool = False, categories_: tuple[str, ...] | None = None, retries: int = 3, delay: float = 1.0, limit: int | None = None) -> DataFrame:
     """``paragraphs`` with translated_text; rows that are not translatable keep null and never reach the backend. Long
     texts go in parts, and a backend's number of batches is in flight at a time. Calls happen in the tasks, and a task
     that is run again calls again: write the result before using it twice, or use a cache (translation_cache)."""
     from . import asking
 
     rest = paragraphs.drop("translated_text")
-    need = categories.translatable(F.col("category")) & F.col("text").isNotNull()
+    need = categories.translatable(F.col("category"), categories_) & F.col("text").isNotNull()
     schema = rest.select("*", F.lit("").alias("translated_text")).schema
     schema["translated_text"].nullable = True
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in frames:
-            found = asking.ask(backend, list(pdf["text"]), source, target, size, most_tokens, strict=strict)
+            found = asking.ask(backend, list(pdf["text"]), source, target, size, most_tokens, retries, delay, strict, limit)
             for o in found:
                 if o.error_class:
                     raise asking.raised(o)

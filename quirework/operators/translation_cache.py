@@ -72,11 +72,11 @@ class TranslationCache:
                 asked.write.mode("append").option("mapreduce.fileoutputcommitter.algorithm.version", "2").parquet(self.path)
 
 
-def translate_cached(paragraphs: DataFrame, backend: Backend, source: str, target: str, cache: TranslationCache, run: str, size: int = 20, strict: bool = False, **how) -> DataFrame:
+def translate_cached(paragraphs: DataFrame, backend: Backend, source: str, target: str, cache: TranslationCache, run: str, size: int = 20, strict: bool = False, categories_: tuple[str, ...] | None = None, **how) -> DataFrame:
     """``paragraphs`` with translated_text and error_class, which is null for a text that is translated or needs none.
 
     With ``strict``, a text that failed is an error once the run is over; all answers stay in the cache."""
-    need = categories.translatable(F.col("category")) & F.col("text").isNotNull()
+    need = categories.translatable(F.col("category"), categories_) & F.col("text").isNotNull()
     cache.ask(paragraphs.where(need).select("text"), backend, source, target, run, size, **how)
     rest = paragraphs.drop("translated_text", "error_class")
     keyed = rest.withColumn("__key", F.when(need, text_key(backend.name, source, target, F.col("text"))))

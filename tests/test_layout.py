@@ -218,7 +218,7 @@ def test_pipeline(spark):
     out = pipeline.run(p, None, translate.MockBackend(), pipeline.PipelineConfig(), lambda n, df: df, lambda stage, i, n: seen.append(stage))
     assert out.markdown.first().markdown == "# Title\n\n[translated]one\ntwo\n"
     assert out.stats.first().asDict() == {"doc_id": 1, "original": 3, "final": 2, "merged": 1, "translated": 1, "skipped": 1}
-    assert out.draw.count() >= 1 and out.base.count() == 1 and out.translations.count() == 1 and seen == ["categorize", "merge", "translate", "assemble"]
+    assert out.draw.count() >= 1 and out.base.count() == 1 and out.translations.count() == 1 and seen == ["categorize", "merge", "translate", "summary", "assemble"]
     with pytest.raises(pipeline.PipelineError):
         pipeline.run(p.drop("x0"), None, translate.MockBackend(), pipeline.PipelineConfig(), lambda n, df: df)
 
@@ -329,7 +329,7 @@ def test_pipeline_writes_tables_and_images(spark, tmp_path):
     seen = []
     out = pipeline.run(paragraphs, blocks, translate.MockBackend(), pipeline.PipelineConfig(), keep, lambda s, i, n: seen.append(s), objects=objects)
     assert out.markdown.first().markdown == "[translated]Words here\n\n| h1 | h\\|2 |\n| --- | --- |\n| v1 | v2 |\n\n![Image](images/image_001.png)\n\n![Table](images/table_001.png)\n"
-    assert seen == ["categorize", "merge", "translate", "tables", "assemble"]
+    assert seen == ["categorize", "merge", "translate", "tables", "summary", "assemble"]
 
 
 def test_cells_with_spans(spark):

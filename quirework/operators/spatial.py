@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 PAGE = ["doc_id", "page_number"]
 #: Pairs of a page up to which they are compared plainly; tiles of a page in one direction at most.
 PAIRS, TILES = 1 << 20, 256
+#: Crowded pages that the driver holds and broadcasts; more stay a table.
+FEW = 10_000
 
 
 def crowded_pages(inner: DataFrame, outer: DataFrame, limit: int = PAIRS, points: bool = False) -> DataFrame:
@@ -44,13 +46,20 @@ def _tiled(rows: DataFrame, pages: DataFrame, slack: float, points: bool = False
 
 def page_join(inner: DataFrame, outer: DataFrame, condition: str, how: str = "inner", slack: float = 0.0, limit: int = PAIRS, points: bool = False) -> DataFrame:
     """Structs ``p`` (of ``inner``) and ``b`` (of ``outer``) of one page for which ``condition`` on p and b holds; with ``how``
-    left_anti the rows of ``inner`` that meet none.
+    left_anti the rows of ``inner`` that meet none. A count of the pages' boxes runs first and says which pages are crowded.
 
     The condition must imply that the boxes, ``outer`` widened by ``slack``, have a place in common (with ``points``, that
     the point x, y of ``inner`` lies in the widened box). Rows without coordinates meet none."""
+    page = "p.doc_id = b.doc_id AND p.page_number = b.page_number"
+    pair = [F.struct(*[F.col(f"{n}.`{c}`") for c in df.columns]).alias(n) for n, df in (("p", inner), ("b", outer))]
     pages = crowded_pages(inner, outer, limit, points)
+    few = pages.limit(FEW + 1).collect()
+    if not few:
+        met = inner.alias("p").join(outer.alias("b"), F.expr(f"{page} AND {condition}"), how)
+        return met if how == "left_anti" else met.select(*pair)
+    if len(few) <= FEW:
+        pages = inner.sparkSession.createDataFrame(few, pages.schema)
     names = pages.select(*PAGE)
-    page = "p.doc_id = b.doc_id AND p.page_number = b.page_number"
     usual = inner.join(names, PAGE, "left_anti").alias("p").join(outer.join(names, PAGE, "left_anti").alias("b"), F.expr(f"{page} AND {condition}"), how)
     one, two = _tiled(inner, pages, 0.0, points).alias("p"), _tiled(outer, pages, slack).alias("b")
     tile = f"{page} AND p.__tx = b.__tx AND p.__ty = b.__ty AND {condition}"
@@ -58,5 +67,4 @@ def page_join(inner: DataFrame, outer: DataFrame, condition: str, how: str = "in
         return usual.select(*inner.columns).unionByName(one.join(two, F.expr(tile), "left_anti").select(*inner.columns))
     for k, start, size in (("x", "p.__left", "p.__wide"), ("y", "p.__bottom", "p.__high")):
         tile += f" AND p.__t{k} = {_tile(f'greatest(p.{k}' + ('' if points else '0') + f', b.{k}0 - {slack}D)', start, size)}"
-    pair = [F.struct(*[F.col(f"{n}.`{c}`") for c in df.columns]).alias(n) for n, df in (("p", inner), ("b", outer))]
     return usual.select(*pair).unionByName(one.join(two, F.expr(tile)).select(*pair))

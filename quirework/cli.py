@@ -19,7 +19,7 @@ from .plans import config as config_
 
 
 def run_query(spark: SparkSession, args: argparse.Namespace) -> None:
-    from . import catalog
+    from . import catalog, catalog_services  # noqa: F401
 
     rows = catalog.QUERIES[args.query](spark, args.folder)
     rows.write.mode("overwrite").parquet(args.out) if args.out else rows.show(truncate=80)
@@ -77,7 +77,7 @@ def run_pipeline(spark: SparkSession, args: argparse.Namespace) -> None:
 
 
 def main(argv: list[str] | None = None) -> None:
-    from . import catalog
+    from . import catalog, catalog_services  # noqa: F401
 
     argv = list(sys.argv[1:] if argv is None else argv)
     if argv and argv[0] in catalog.QUERIES:

@@ -11,8 +11,11 @@ def test_every_sql_has_a_query():
     assert set(entry.oracle_sql()) <= set(entry.queries())
 
 
+SERVICES = ["service_translations", "uneven_translations", "generated_summaries", "translated_summaries", "summary_sources", "model_replies", "text_object_scan", "layout_detections", "assets_by_place", "block_scan", "observed_counts", "document_charsets", "template_plan", "page_scan", "document_files", "translate_cached"]
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="no test data")
-@pytest.mark.parametrize("name", ["markdown_original", "merge_paragraphs", "detect_columns", "assign_categories", "table_markdown", "split_long_text", "chunk_tokens", "alignment", "document_diff"])
+@pytest.mark.parametrize("name", ["markdown_original", "merge_paragraphs", "detect_columns", "assign_categories", "table_markdown", "split_long_text", "chunk_tokens", "alignment", "document_diff", *SERVICES])
 def test_queries_match_their_sql(spark, name):
     import duckdb
 

@@ -581,12 +581,11 @@ def font_fallback(spark, d):
 def page_scan(spark, d):
     """Pages as page files, of which the source reads three by their number."""
     p = paragraphs(spark, d)
-    texts = F.transform(F.array_sort(F.collect_list(F.struct("input_pos", "text"))), lambda x: x["text"])
-    made = p.groupBy(F.concat(F.lit("d"), "doc_id").alias("doc_id"), "page_number").agg(F.to_json(F.struct(texts.alias("texts"))).alias("json"))
-    folder = scratch.shared_folder(spark, "pages")
+    rows = p.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("input_pos", "page_number", "text"))).alias("ps"))
     # pages without paragraphs are pages, too
-    last = made.groupBy("doc_id").agg(F.max("page_number").alias("last")).select("doc_id", F.explode(F.sequence(F.lit(0), "last")).alias("page_number"))
-    files.write_documents(page_source.page_files(last.join(made, ["doc_id", "page_number"], "left").withColumn("json", F.coalesce("json", F.lit('{"texts":[]}')))), F.col("name"), "content", folder)
+    numbered = F.expr("transform(sequence(0, array_max(transform(ps, p -> p.page_number))), n -> to_json(struct(transform(filter(ps, p -> p.page_number = n), p -> p.text) AS texts)))")
+    folder = scratch.shared_folder(spark, "pages")
+    files.write_documents(rows.withColumn("content", page_source.file_content(numbered)), F.format_string("d%d.pages", "doc_id"), "content", folder)
     found = page_source.read_page_files(spark, folder, "0,2-3").withColumn("p", F.from_json("json", "texts array<string>"))
     return found.where("size(p.texts) > 0").select("doc_id", "page_number", F.size("p.texts").cast("long").alias("paragraphs"), F.array_join("p.texts", "\n").alias("text"))
 

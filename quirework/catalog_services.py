@@ -184,11 +184,12 @@ def layout_detections(spark, d):
 def block_scan(spark, d):
     """Blocks extracted from page files, of which the one page is called the third."""
     folder = scratch.shared_folder(spark, "blocks")
-    made = pages(spark, d).select(F.concat(F.lit("d"), "doc_id").alias("doc_id"), F.posexplode("pages").alias("page_number", "page"))
-    files.write_documents(page_source.page_files(made.select("doc_id", "page_number", F.to_json("page").alias("json"))), F.col("name"), "content", folder)
-    back = page_source.read_page_files(spark, folder).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("page_number", "json"))), lambda x: x["json"]).alias("texts"))
-    found = back.select("doc_id", F.from_json(F.concat(F.lit("["), F.array_join("texts", ","), F.lit("]")), extract.PAGES).alias("pages"))
-    return extract.paragraphs(found, [2]).select("doc_id", "page_number", "id", "text")
+    block = F.expr("named_struct('bbox', array(50D, 0D, 300D, 20D), 'lines', array(named_struct('bbox', array(50D, 0D, 300D, 20D), 'spans', array(named_struct('text', text)))))")
+    docs = paragraphs(spark, d).groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("input_pos", block.alias("b")))).alias("bs"))
+    page = F.to_json(F.struct(F.expr("array(0D, 0D, 600D, 800D)").alias("bbox"), F.expr("transform(bs, x -> x.b)").alias("blocks")))
+    files.write_documents(docs.withColumn("content", page_source.file_content(F.array(page))), F.format_string("d%d.pages", "doc_id"), "content", folder)
+    back = page_source.read_page_files(spark, folder, "0")
+    return extract.paragraphs(back.select("doc_id", F.from_json(F.concat(F.lit("["), "json", F.lit("]")), extract.PAGES).alias("pages")), [2]).select("doc_id", "page_number", "id", "text")
 
 
 @query(f"SELECT CAST(sum(original) AS BIGINT) AS original, CAST(sum(final) AS BIGINT) AS final, CAST(sum(original-final) AS BIGINT) AS merged, CAST(sum(translated) AS BIGINT) AS translated, CAST(sum(final-translated) AS BIGINT) AS skipped FROM (SELECT doc_id, count(*) AS original, count(*) AS final, count(*) FILTER (WHERE {_NEED}) AS translated FROM v_paragraphs GROUP BY 1)", "v_paragraphs")

@@ -15,7 +15,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
@@ -152,12 +152,15 @@ def read_page_files(spark: SparkSession, path: str, pages: str | None = None, do
     return (reader if docs is None else reader.option("docs", json.dumps(docs))).load(path)
 
 
+def file_content(texts: Column) -> Column:
+    """A page file of an array of pages' JSON."""
+    places = F.aggregate(texts, F.array(F.lit(0).cast("long")), lambda s, x: F.concat(s, F.array(F.element_at(s, -1) + F.octet_length(x))))
+    return F.concat(F.lit("["), F.array_join(F.transform(places, lambda x: x.cast("string")), ", "), F.lit("]\n"), F.array_join(texts, ""))
+
+
 def page_files(pages: DataFrame) -> DataFrame:
-    """(name, content) of (doc_id, page_number, json): a file for each document, for files.write_files. Pages are numbered
+    """(name, content) of (doc_id, page_number, json): a file for each document, for files.write_documents. Pages are numbered
     by their order; a document's pages are held in one row."""
     made = F.array_sort(F.collect_list(F.struct("page_number", "json")))
     texts = pages.groupBy("doc_id").agg(F.transform(made, lambda x: x["json"]).alias("texts"))
-    sizes = F.transform("texts", F.octet_length)
-    places = F.aggregate(sizes, F.array(F.lit(0).cast("long")), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
-    content = F.concat(F.lit("["), F.array_join(F.transform(places, lambda x: x.cast("string")), ", "), F.lit("]\n"), F.array_join("texts", ""))
-    return texts.select(F.concat(F.col("doc_id").cast("string"), F.lit(ENDING)).alias("name"), content.alias("content"))
+    return texts.select(F.concat(F.col("doc_id").cast("string"), F.lit(ENDING)).alias("name"), file_content(F.col("texts")).alias("content"))

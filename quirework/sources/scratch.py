@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
@@ -10,7 +11,7 @@ from pyspark.sql import SparkSession
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under spark.checkpoint.dir, or under the context's checkpoint folder. Where neither is set and executors
-    run in the driver's own process (tests), under a temporary folder; on a cluster that is an error."""
+    run in the driver's own process (tests), under a temporary folder; on a cluster that is an error. What is written there goes when the driver ends."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
@@ -20,7 +21,18 @@ def shared_folder(spark: SparkSession, name: str) -> str:
             folder = tempfile.mkdtemp(prefix="quirework-")
         else:
             raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
+    atexit.register(_drop, spark, path)
+    return path
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    """What lies at ``path`` goes, if the JVM still runs."""
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the JVM may have ended before
+        pass
 
 
 def exists(spark: SparkSession, path: str) -> bool:

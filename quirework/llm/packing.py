@@ -9,6 +9,7 @@ found in log2(bins) steps. Groups are independent: a lost one is packed again al
 from __future__ import annotations
 
 import json
+import re
 import zlib
 from array import array
 from collections.abc import Iterator
@@ -17,14 +18,18 @@ from unicodedata import is_normalized
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .workspace import Workspace, table
 
 LENGTH, END_ID, GROUP = 2048, 1, 4096
-#: Words of a text that are looked up at a time.
-CHUNK = 1 << 16
+#: Words that are looked up at a time, and bytes of texts whose words are told apart at a time.
+CHUNK, SLICE = 1 << 16, 1 << 20
+SPACE = re.compile(rb"[\x20\x09-\x0D]")
+#: What the tokenizer's byte-level step turns the bytes of letters beyond ASCII into, read as Latin-1.
+BYTES = {b: 256 + i for i, b in enumerate([*range(33), *range(127, 161), 173])}
 #: Marks that the tokenizer cuts off from letters before them, and from which it takes no ending: those of ASCII but '.
 STOPS = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum() and c != 39)
 #: Letters that the tokenizer's normaliser turns into one letter, whatever stands beside them: Latin ones, by rule.
@@ -46,13 +51,14 @@ class WordIds(dict):
     """Word -> the bytes of its ids. A tokenizer of the rules above drops white space and never looks across it, so a
     text's ids are its words' ids one after another; nor does it look from plain letters to ASCII marks behind them, or
     at the case of plain letters. Words with other characters are encoded whole; by a tokenizer of other rules, texts
-    are. About ``most`` words are held in two halves: when the newer one is full, the older one goes, but for the words
-    met since. Long words are not held."""
+    are. Texts are looked up by slices: each different word of a slice once. About ``most`` words are held in two halves:
+    when the newer one is full, the older one goes, but for the words met since. Long words are not held."""
 
     def __init__(self, path: str, most: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.older = Tokenizer.from_file(path), most, {}
+        self.model = self.tokenizer.model
         rules = json.loads(self.tokenizer.to_str())
         inner = (rules.get("pre_tokenizer") or {}).get("pretokenizers") or [None]
         own = rules["model"].get("end_of_word_suffix") == "</w>" and inner[1:] == [{"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]
@@ -78,41 +84,67 @@ class WordIds(dict):
                 ids = self.encode(word.decode())
             elif tail or low.encode() != word:
                 ids = self[low.encode()] + (self[tail] if tail else b"")
-            else:
-                ids = self.encode(low)
+            else:  # the tokenizer's other steps leave plain letters in lower case as they are
+                letters = low if word.isascii() else word.decode("latin-1").translate(BYTES)
+                ids = array("I", [x.id for x in self.model.tokenize(letters)]).tobytes()
         if len(word) <= 64:
             self[word] = ids
         return ids
 
-    def learn(self, words: list[bytes]) -> None:
-        """Encodes the letters of new words together: the tokenizer takes each for a word of its own."""
-        parts = {w: self.parts(w) for w in {w for w in words if w not in self and w not in self.older}}
-        new = [x for x in {low for low, _ in parts.values()} if x and len(x) <= 20 and (y := x.encode()) not in self and y not in self.older]
-        if len(new) > 1:
-            got = self.tokenizer.encode(" ".join(new), add_special_tokens=False)
-            ids, at = array("I", got.ids).tobytes(), got.word_ids
-            if at[-1] == len(new) - 1:
-                starts = [4 * i for i, (v, w) in enumerate(zip([-1, *at], at)) if v != w]
-                self.update({x.encode(): ids[a:b] for x, a, b in zip(new, starts, [*starts[1:], len(ids)])})
-        for w, (low, tail) in parts.items():
-            if low and len(w) <= 64:
-                self[w] = self[low.encode()] + (self[tail] if tail else b"")
-
     def encode(self, word: str) -> bytes:
         return array("I", self.tokenizer.encode(word, add_special_tokens=False).ids).tobytes()
 
     def of(self, text: str) -> bytes:
+        return b"".join(self.of_all(pa.array([text], pa.string())))
+
+    def of_all(self, texts: pa.Array) -> Iterator[bytes | memoryview]:
+        """The bytes of the ids of each text; null has none. Arrow's free memory is given back after each slice."""
         if not self.by_word:
-            return self.encode(text)
-        words, out = text.encode().split(), []
-        for i in range(0, len(words), CHUNK):
+            yield from (self.encode(x.as_py() or "") for x in texts)
+            return
+        sizes = pc.binary_length(texts).fill_null(0).to_numpy().astype(np.int64)
+        windows = np.flatnonzero(np.diff((np.cumsum(sizes) - sizes) // SLICE)) + 1
+        long = np.flatnonzero(sizes > SLICE)  # each by itself
+        bounds = sorted({0, len(texts), *windows.tolist(), *long.tolist(), *(long + 1).tolist()})
+        for a, b in zip(bounds, bounds[1:]):
+            if sizes[a] > SLICE:
+                yield b"".join(ids for part in stretches(texts[a].as_py().encode()) for ids in self.looked_up(pa.array([part], pa.binary()).cast(pa.string())))
+            else:
+                yield from self.looked_up(texts.slice(a, b - a))
+            pa.default_memory_pool().release_unused()
+
+    def rest(self) -> None:
+        """Between tasks, whose workers may go on with other work: the older half goes, and Arrow's free memory."""
+        self.older = {}
+        pa.default_memory_pool().release_unused()
+
+    def looked_up(self, texts: pa.Array) -> Iterator[memoryview]:
+        """Looks each different word of all ``texts`` up once."""
+        lists = pc.ascii_split_whitespace(texts)
+        words = lists.flatten().dictionary_encode()
+        different, found = words.dictionary.cast(pa.binary()).to_numpy(zero_copy_only=False).tolist(), []
+        for i in range(0, len(different), CHUNK):
             if len(self) > self.most // 2:
                 self.older = dict(self)
                 self.clear()
-            some = words[i : i + CHUNK]
-            self.learn(some)
-            out.append(b"".join(map(self.__getitem__, some)))
-        return b"".join(out)
+            found += map(self.__getitem__, different[i : i + CHUNK])
+        ids = pa.array(found, pa.large_binary()).take(words.indices)
+        _, starts, data = ids.buffers()
+        at = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+        ends = np.frombuffer(starts, np.int64)[at].tolist() if len(ids) else [0] * len(at)
+        view = memoryview(data or b"")
+        for a, b in zip(ends, ends[1:]):
+            yield view[a:b]
+
+
+def stretches(text: bytes) -> Iterator[bytes]:
+    """``text`` cut behind white space, each stretch of ``SLICE`` bytes and the rest of a word."""
+    at = 0
+    while at < len(text):
+        space = SPACE.search(text, at + SLICE)
+        end = space.end() if space else len(text)
+        yield text[at:end]
+        at = end
 
 
 _held: dict[str, WordIds] = {}
@@ -126,14 +158,16 @@ def cut_documents(docs: DataFrame, tokenizer: str, length: int = LENGTH, end_id:
         words = _held.get(tokenizer) or _held.setdefault(tokenizer, WordIds(tokenizer))
         for b in batches:
             cols: list[list] = [[], [], [], [], [], []]
-            for doc, text, deal in zip(b.column(0).to_pylist(), b.column(1), b.column(2).to_pylist()):
-                ids = words.of(text.as_py() or "") + end
+            for doc, found, deal in zip(b.column(0).to_pylist(), words.of_all(b.column(1)), b.column(2).to_pylist()):
+                ids = b"".join((found, end))
                 n, view = len(ids) // 4, memoryview(ids)
                 for start in range(0, n, length):
                     part = view[4 * start : 4 * (start + length)]
                     for c, v in zip(cols, (doc, start, len(part) // 4, zlib.crc32(part), n, deal)):
                         c.append(v)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"])
+        b = found = None
+        words.rest()
 
     deal = F.xxhash64(F.lit(seed), F.monotonically_increasing_id())
     return docs.select(F.col("doc_id").cast("long"), "text", deal.alias("deal")).mapInArrow(cut, PIECES + ", deal long")

@@ -321,6 +321,43 @@ def test_packing_ids_are_the_tokenizers():
     assert words.of("KOCAELİ, 2 dedİ. İ- " * 3) == whole("KOCAELİ, 2 dedİ. İ- " * 3)
 
 
+def test_packing_looks_different_words_up_once(monkeypatch):
+    """Work follows a slice's different words, not all of them, and plain letters skip the tokenizer's text steps."""
+
+    class Counted(packing.WordIds):
+        looked = 0
+
+        def __getitem__(self, word):
+            self.looked += 1
+            return super().__getitem__(word)
+
+    words = Counted(packing.default_tokenizer())
+    whole = words.encode
+    want = whole("Same wörd, again. " * 10_000)
+    monkeypatch.setattr(words, "encode", lambda word: whole(word) if word in ",." else pytest.fail(f"{word} encoded as a text"))
+    assert words.of("Same wörd, again. " * 10_000) == want
+    assert words.looked < 20
+
+
+def test_packing_ids_of_many_texts(monkeypatch):
+    """Slices, long texts cut behind white space, empty texts, arrays that begin within another; few words held."""
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(packing, "SLICE", 64)
+    monkeypatch.setattr(packing, "CHUNK", 7)
+    tok, words = Tokenizer.from_file(packing.default_tokenizer()), packing.WordIds(packing.default_tokenizer(), most=40)
+    rng = random.Random(2)
+    letters = [*"abeéßAÉİſñ漢", "'s", ".", ",,", "7", "<|endoftext|>", "\u0301", "\xa0", " ", " ", "\n", "\t ", "\x1f"]
+    texts = ["", " ", "x" * 500, "\n" * 200, *("".join(rng.choices(letters, k=rng.choice([0, 3, 20, 60, 300]))) for _ in range(400))]
+    for some in (pa.array(texts), pa.array(texts, pa.large_string()), pa.array(["before", *texts, "behind"]).slice(1, len(texts)), pa.array([None, "a b", None, None, "c", None]), pa.array([None]).cast("string"), pa.array([], pa.string())):
+        got = [np.frombuffer(x, "<u4").tolist() for x in words.of_all(some)]
+        assert got == [tok.encode(t or "", add_special_tokens=False).ids for t in some.to_pylist()]
+        assert len(words) + len(words.older) < 80
+        words.rest()
+        assert not words.older
+
+
 def test_packing_with_another_tokenizer(spark):
     import public_tokenizers
     from tokenizers import Tokenizer

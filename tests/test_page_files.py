@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quirework.operators import documents
-from quirework.sources import files, pages
+from quirework.sources import files, pages, scratch
 
 
 def made(tmp_path, docs=6, each=9, size=200):
@@ -120,3 +120,35 @@ def test_documents_as_files(spark, tmp_path):
     files.write_documents(documents.translation_documents(p, "ja", "mock", "now"), files.translation_name(stem, "ja"), "json", str(tmp_path))
     assert left(str(tmp_path)) == sorted(f"sub{d % 2}/paper.v{d}{e}" for d in range(5) for e in (".json", ".ja.json"))
     assert all(open(f"{tmp_path}/sub{r.doc_id % 2}/paper.v{r.doc_id}.json", "rb").read() == r.json.encode() for r in base.collect())
+
+
+def test_document_files_lie_on_the_disk_in_rounds(spark, tmp_path, monkeypatch):
+    """All files are written and read back, and never more than about a quarter lies there; none is left at the end."""
+    import __spark_entry__ as entry
+
+    rows = [(i, f"title {i}\nfirst é\nsecond | cell\nthird\nfourth") for i in range(120)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    seen, most, write = {}, [], files.write_documents
+
+    def watched(*args):
+        write(*args)
+        found = [os.path.join(d, n) for d, _, names in os.walk(f"{tmp_path}/shared a%20b") for n in names if n.endswith(".json")]
+        most.append(len(found))
+        for f in found:
+            seen.setdefault(os.path.basename(f), json.load(open(f)))
+
+    monkeypatch.setattr(files, "write_documents", watched)
+    monkeypatch.setattr(files, "STORED", 10, raising=False)
+    monkeypatch.setattr(scratch, "shared_folder", lambda _, name: f"{tmp_path}/shared a%20b/{name}")
+    got = {r.file: r.paragraphs for r in entry.queries()["document_files"](spark, str(tmp_path)).collect()}
+    assert {f"d{i}.json" for i in range(120)} < set(got) == set(seen)
+    assert all(got[f] == len(x["paragraphs"]) for f, x in seen.items()) and all(got[f"d{i}.json"] == 5 for i in range(120))
+    assert max(most) <= 30 and sum(most) == len(got)
+    assert [n for _, _, names in os.walk(f"{tmp_path}/shared a%20b") for n in names if n.endswith(".json")] == []
+
+
+def test_no_documents_are_no_files(spark, tmp_path):
+    none = spark.createDataFrame([], "name string, json string")
+    read = lambda path: spark.read.text(path, wholetext=True).select(F.length("value").alias("n"))
+    found = files.written_and_read(none, F.col("name"), "json", f"{tmp_path}/none", read)
+    assert found.columns == ["n"] and found.collect() == []
